@@ -44,20 +44,26 @@ def clock_time(hhmm: str) -> tuple[int, int]:
 
 
 def local_instant(day: Column, hhmm: str, timezone: str) -> Column:
-    """Wall-clock HH:MM of a local date -> zone-less UTC instant."""
+    """Wall-clock HH:MM of a local date -> zone-less UTC instant.
+
+    Like all zone conversions here it needs a session zone of UTC (`session.pin_utc`); the
+    functions used look the zone up once per query and not once per row.
+    """
     hour, minute = clock_time(hhmm)
-    wall = F.make_timestamp_ntz(
-        F.year(day), F.month(day), F.dayofmonth(day), F.lit(hour), F.lit(minute), F.lit(0)
-    )
-    return F.convert_timezone(F.lit(timezone), F.lit("UTC"), wall)
+    seconds = F.unix_date(day).cast("bigint") * 86400 + (hour * 3600 + minute * 60)
+    return F.to_utc_timestamp(F.timestamp_seconds(seconds), timezone).cast("timestamp_ntz")
+
+
+def local_time(time: Column, timezone: str) -> Column:
+    return F.from_utc_timestamp(time.cast("timestamp"), timezone)
 
 
 def local_date(time: Column, timezone: str) -> Column:
-    return F.convert_timezone(F.lit("UTC"), F.lit(timezone), time).cast("date")
+    return local_time(time, timezone).cast("date")
 
 
 def local_hhmm(time: Column, timezone: str) -> Column:
-    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(timezone), time), "HH:mm")
+    return F.date_format(local_time(time, timezone), "HH:mm")
 
 
 def in_off_hours(

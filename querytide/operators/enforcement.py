@@ -17,7 +17,7 @@ def counter_deltas(
     samples: DataFrame,
     series: Sequence[str] = SERIES,
     counters: Sequence[str] = ("packets", "bytes"),
-    bucket: str = "day",
+    bucket: str = "hour",
 ) -> DataFrame:
     """Readings of ever-growing counters -> growth since the reading before.
 

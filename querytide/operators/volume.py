@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,20 @@ from querytide.operators.devices import label_clients
 from querytide.params import DAY, ReportParams
 
 
+def _population_stddev(counts: str, over: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Population deviation from exact sums of integers.
+
+    Adding up floating-point squares gives results that depend on the order of the rows,
+    which would decide at random about clients exactly on the limit.
+    """
+    value = F.col(counts).cast("decimal(19,0)")
+    days = over(F.count(counts))
+    total = over(F.sum(value))
+    squares = over(F.sum((value * value).cast("decimal(38,0)")))
+    spread = (days * squares - total * total).cast("double")
+    return F.when(days > 0, F.sqrt(spread) / days).otherwise(F.lit(0.0))
+
+
 def daily_volume(traffic: DataFrame) -> DataFrame:
     return traffic.groupBy(*DAY, "client").agg(F.sum("n").alias("query_count"))
 
@@ -44,7 +59,7 @@ def with_trailing_baseline(
     return volumes.select(
         "*",
         F.avg("query_count").over(frame).alias("mean"),
-        F.coalesce(F.stddev_pop("query_count").over(frame), F.lit(0.0)).alias("stddev"),
+        _population_stddev("query_count", lambda c: c.over(frame)).alias("stddev"),
         F.count("query_count").over(frame).alias("days"),
     )
 
@@ -74,7 +89,7 @@ def baseline_for_date(
         .groupBy("network_id", "client")
         .agg(
             F.avg("query_count").alias("mean"),
-            F.coalesce(F.stddev_pop("query_count"), F.lit(0.0)).alias("stddev"),
+            _population_stddev("query_count").alias("stddev"),
             F.count("query_count").alias("days"),
         )
         .select("network_id", day.alias("report_date"), "client", "mean", "stddev", "days")

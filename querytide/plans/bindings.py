@@ -190,6 +190,49 @@ def fingerprint_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter values on the report days of the event log."""
+    log = assign_report_days(
+        table(spark, sf_dir, "events").withColumn("time", F.col("ts"))
+    )
+    return log.select(
+        F.concat(F.lit("net"), (F.col("user_id") % 3).cast("string")).alias("network_id"),
+        "report_date",
+        F.when(F.col("event_type").isin("view", "click"), "udp").otherwise("tcp").alias("proto"),
+        F.col("time").alias("sample_time"),
+        F.floor(F.col("value")).alias("packets"),
+        F.floor(F.col("value") * 100).alias("bytes"),
+    )
+
+
+def event_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each client's span of activity on a report day as a fingerprint."""
+    return (
+        assign_report_days(event_log(spark, sf_dir))
+        .groupBy("network_id", "report_date", F.col("client").alias("ip"))
+        .agg(
+            F.min("time").alias("first_seen"),
+            F.max("time").alias("last_seen"),
+            F.max("query_type").alias("os_name"),
+            F.lit(None).cast("string").alias("os_flavor"),
+            F.lit(None).cast("string").alias("http_name"),
+            F.count("*").alias("distance"),
+            F.lit(0).alias("uptime_min"),
+        )
+    )
+
+
+def event_fingerprint_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_report_days(event_log(spark, sf_dir)).select(
+        "network_id",
+        "report_date",
+        F.col("client").alias("ip"),
+        F.col("time").alias("detected_at"),
+        F.col("query_type").alias("previous_os"),
+        F.col("reason").alias("current_os"),
+    )
+
+
 def response_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as response events: system turns carry no text, and every turn is
     followed by a stop event whose reason depends on who spoke."""

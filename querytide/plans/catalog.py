@@ -22,7 +22,6 @@ from querytide.operators import (
 from querytide.params import DAY, ReportParams
 from querytide.plans import bindings as b
 from querytide.plans import packet
-from querytide.schemas import ENTRY_SCHEMA, KNOWN_DOMAINS_SCHEMA
 from querytide.session import pin_utc, scratch_path, write_and_read
 from querytide.sources import archive, pages
 from querytide.sources.side_inputs import (
@@ -56,11 +55,11 @@ def query(run: Query) -> Query:
 
 @query
 def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = b.raw_entries(b.event_log(spark, sf_dir)).withColumn("entry", F.to_json("entry"))
-    raw = text.select(
-        "network_id", "seq", F.from_json("entry", ENTRY_SCHEMA).alias("entry")
-    ).select("network_id", "seq", "entry.*")
-    return pages.log_rows(pages.parse_entries(raw))
+    """Every entry as a captured page of its own, parsed back."""
+    captured = b.raw_entries(b.event_log(spark, sf_dir)).select(
+        "network_id", F.to_json(F.struct(F.array("entry").alias("data"))).alias("page")
+    )
+    return pages.log_rows(pages.parse_entries(pages.pages_from_text(captured))).drop("seq")
 
 
 @query
@@ -418,20 +417,47 @@ def packet_client_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def packet_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packets_with_side_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = replace(PARAMS, known_domains_window_days=NOVELTY_DAYS)
     log = report_days.assign_report_days(b.event_log(spark, sf_dir), params)
-    packets = packet.backfill_packets(
+    return packet.backfill_packets(
         log,
         params,
         b.base_devices(spark, sf_dir),
-        enforcement.intercept_stats(b.counter_values(spark, sf_dir)),
+        enforcement.intercept_stats(b.event_counters(spark, sf_dir)),
         fingerprints.fingerprint_snapshot(
-            b.fingerprints(spark, sf_dir), b.fingerprint_changes(spark, sf_dir)
+            b.event_fingerprints(spark, sf_dir), b.event_fingerprint_changes(spark, sf_dir)
         ),
     )
-    return archive.packet_documents(packets)
+
+
+@query
+def packet_side_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The optional sections of the packet."""
+    profiles = F.col("packet.device_profiles")
+    counters = F.col("packet.dns_enforcement")
+    page = F.col("page") == 0
+    return (
+        _packets_with_side_inputs(spark, sf_dir)
+        .groupBy(*DAY)
+        .agg(
+            F.sum(F.size(profiles["devices"])).cast("bigint").alias("profiles"),
+            F.max(F.when(page, F.get(profiles["devices"], F.lit(0))["device"])).alias("newest"),
+            F.sum(F.size(profiles["recent_changes"])).cast("bigint").alias("changes"),
+            F.max(
+                F.when(page, F.get(profiles["recent_changes"], F.lit(0))["detected_at"])
+            ).alias("last_change"),
+            F.max(counters["intercepted_queries"]).alias("intercepted_queries"),
+            F.max(counters["intercepted_bytes"]).alias("intercepted_bytes"),
+            F.max(counters["udp_queries"]).alias("udp_queries"),
+            F.max(counters["tcp_queries"]).alias("tcp_queries"),
+        )
+    )
+
+
+@query
+def packet_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.packet_documents(_packets_with_side_inputs(spark, sf_dir))
 
 
 @query

@@ -149,11 +149,22 @@ BASELINE_ROWS = """
 SELECT network_id, report_date, client, round(mean, 6) AS mean, round(stddev, 6) AS stddev, days
 FROM baseline"""
 
+# Decisions at the limit need a deviation that does not depend on the order of addition, so
+# this is STDDEV_POP written out over whole numbers.
 ANOMALIES = """
+exact AS (
+  SELECT t.network_id, t.report_date, t.client, t.query_count, AVG(h.query_count) AS mean,
+         sqrt(CAST(COUNT(*) * SUM(h.query_count * h.query_count)
+                   - SUM(h.query_count) * SUM(h.query_count) AS DOUBLE)) / COUNT(*) AS stddev,
+         COUNT(*) AS days
+  FROM volumes t JOIN volumes h
+    ON h.network_id = t.network_id AND h.client = t.client
+   AND h.report_date >= t.report_date - 14 AND h.report_date < t.report_date
+  GROUP BY ALL),
 scored AS (
   SELECT *, CASE WHEN stddev > 0 THEN (query_count - mean) / stddev
                  WHEN mean > 0 THEN (query_count - mean) / mean ELSE 0 END AS z
-  FROM baseline),
+  FROM exact),
 anomalies AS (
   SELECT s.network_id, report_date, client, query_count AS today_count,
          round(mean, 1) AS baseline_mean, round(stddev, 1) AS baseline_stddev,
@@ -173,7 +184,7 @@ def with_(*parts: str) -> str:
     return "WITH " + ",".join(part for part in parts[:-1]) + parts[-1]
 
 
-PACKET_PARTS = f"""{DATED},{DEVICES},{VOLUMES},{BASELINE},{ANOMALIES},{QUIET},{novel(7)},{found("arg_max")},
+PACKET_PARTS = f"""{DATED},{DEVICES},{VOLUMES},{ANOMALIES},{QUIET},{novel(7)},{found("arg_max")},
 clients AS ({CLIENTS}), client_top AS ({CLIENT_TOP}), top AS ({TOP}), blocked AS ({BLOCKED}),
 quiet_devices AS ({QUIET_DEVICES}), new_domains AS ({FOUND}), totals AS ({SUMMARY}),
 span AS (SELECT network_id, MIN(report_date) AS a, MAX(report_date) AS z FROM dated GROUP BY ALL),
@@ -229,7 +240,7 @@ seen AS (
   FROM orders)"""
 
 ORACLES: dict[str, str] = {
-    "log_parse": with_(LOG, " SELECT * FROM log"),
+    "log_parse": with_(LOG, " SELECT * EXCLUDE (seq) FROM log"),
     "log_rejects": """
 WITH faults AS (
   SELECT 'net' || (user_id % 3) AS network_id,
@@ -312,12 +323,11 @@ FROM volumes WHERE report_date >= DATE '2024-01-06' AND report_date < DATE '2024
 GROUP BY ALL""",
     ),
     "volume_anomalies": with_(
-        DATED, VOLUMES, BASELINE, DEVICES, ANOMALIES, " SELECT * FROM anomalies"
+        DATED, VOLUMES, DEVICES, ANOMALIES, " SELECT * FROM anomalies"
     ),
     "volume_vs_baseline": with_(
         DATED,
         VOLUMES,
-        BASELINE,
         DEVICES,
         ANOMALIES,
         " SELECT * FROM anomalies WHERE report_date = DATE '2024-01-20'",
@@ -380,6 +390,34 @@ FROM seen QUALIFY rank <= 20""",
         """
 SELECT network_id, report_date, client, device, total, blocked, rank, domain, count
 FROM client_top JOIN clients USING (network_id, report_date, client)""",
+    ),
+    "packet_side_sections": with_(
+        DATED,
+        DEVICES,
+        """
+, spans AS (
+  SELECT network_id, report_date, client, MAX(time) AS last_seen FROM dated GROUP BY ALL),
+profiled AS (
+  SELECT s.network_id, report_date, COUNT(*) AS profiles,
+         first(COALESCE(device, client) ORDER BY date_trunc('second', last_seen) DESC, client)
+           AS newest
+  FROM spans s LEFT JOIN devices v ON v.network_id = s.network_id AND v.ip = s.client
+  GROUP BY ALL),
+counted AS (
+  SELECT 'net' || (user_id % 3) AS network_id,
+         CAST(ts - INTERVAL 15 HOURS AS DATE) + 1 AS report_date,
+         least(COUNT(*), 20) AS changes,
+         strftime(MAX(ts), '%Y-%m-%dT%H:%M:%S') AS last_change,
+         CAST(SUM(floor(value)) AS BIGINT) AS intercepted_queries,
+         CAST(SUM(floor(value * 100)) AS BIGINT) AS intercepted_bytes,
+         CAST(SUM(CASE WHEN event_type IN ('view', 'click') THEN floor(value) ELSE 0 END)
+           AS BIGINT) AS udp_queries,
+         CAST(SUM(CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE floor(value) END)
+           AS BIGINT) AS tcp_queries
+  FROM events GROUP BY ALL)
+SELECT network_id, report_date, profiles, newest, changes, last_change, intercepted_queries,
+       intercepted_bytes, udp_queries, tcp_queries
+FROM profiled JOIN counted USING (network_id, report_date)""",
     ),
     "response_text": RESPONSES,
     "response_truncated": """
@@ -426,6 +464,6 @@ FROM dated GROUP BY ALL""",
     "bulk_new_domains": with_(BULK, SUPPLIERS, novel(30), found("arg_max"), FOUND),
     "bulk_volume_baseline": with_(BULK, VOLUMES, BASELINE, BASELINE_ROWS),
     "bulk_volume_anomalies": with_(
-        BULK, VOLUMES, BASELINE, SUPPLIERS, ANOMALIES, " SELECT * FROM anomalies"
+        BULK, VOLUMES, SUPPLIERS, ANOMALIES, " SELECT * FROM anomalies"
     ),
 }

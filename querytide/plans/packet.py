@@ -157,10 +157,19 @@ def assemble(
             ),
         ),
     ]
+    if calendar is not None:
+        sections.append(calendar.select(*DAY, first_page))
+    reported = totals.select(*DAY) if calendar is None else (
+        totals.select(*DAY).unionByName(calendar.select(*DAY))
+    )
+
+    def of_reports(side_input: DataFrame) -> DataFrame:
+        return side_input.join(reported, list(DAY), "left_semi")
+
     if intercepts is not None:
         sections.append(
             single(
-                enforcement.enforcement_section(intercepts),
+                enforcement.enforcement_section(of_reports(intercepts)),
                 "dns_enforcement",
                 "intercepted_queries",
                 "intercepted_bytes",
@@ -171,12 +180,10 @@ def assemble(
         )
     if snapshots is not None:
         sections.append(
-            fingerprints.profile_section(snapshots, devices).select(
+            fingerprints.profile_section(of_reports(snapshots), devices).select(
                 *PAGE, F.struct("devices", "recent_changes", "note").alias("device_profiles")
             )
         )
-    if calendar is not None:
-        sections.append(calendar.select(*DAY, first_page))
     rows = sections[0]
     for section in sections[1:]:
         rows = rows.unionByName(section, allowMissingColumns=True)

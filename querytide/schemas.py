@@ -15,14 +15,6 @@ PAGE_SCHEMA = """
     _corrupt_record STRING
 """
 
-ENTRY_SCHEMA = """
-    client STRING,
-    question STRUCT<name: STRING, type: STRING>,
-    reason STRING,
-    rule STRING,
-    time STRING
-"""
-
 LOG_COLUMNS = (
     "network_id",
     "seq",

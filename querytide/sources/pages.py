@@ -35,12 +35,39 @@ def read_pages(
         .json(paths if isinstance(paths, str) else list(paths))
     )
     network = F.col(network_id) if isinstance(network_id, str) else network_id
-    entries = pages.filter(
-        (F.size("data") > 0) | F.col("_corrupt_record").isNotNull()
-    ).select(
-        network.alias("network_id"),
-        F.col("_corrupt_record").alias("raw_page"),
-        F.posexplode_outer("data").alias("seq", "entry"),
+    return _unwrap(
+        pages.select(
+            network.alias("network_id"), F.col("_corrupt_record").alias("raw_page"), "data"
+        )
+    )
+
+
+def pages_from_text(captured: DataFrame, column: str = "page") -> DataFrame:
+    """The same for pages kept as a text column next to their `network_id`."""
+    parsed = F.from_json(
+        column,
+        PAGE_SCHEMA,
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
+    )
+    return _unwrap(
+        captured.select("network_id", parsed.alias("_page")).select(
+            "network_id", F.col("_page._corrupt_record").alias("raw_page"), "_page.data"
+        )
+    )
+
+
+def _unwrap(pages: DataFrame) -> DataFrame:
+    """One row per entry, numbered in arrival order within its page.
+
+    The explode also keeps later filters from being pushed into the JSON parser, which would
+    parse every page twice.
+    """
+    unreadable = F.col("raw_page").isNotNull()
+    missing = F.array(F.lit(None).cast(pages.schema["data"].dataType.elementType))
+    entries = pages.select(
+        "network_id",
+        "raw_page",
+        F.posexplode(F.when(unreadable, missing).otherwise(F.col("data"))).alias("seq", "entry"),
     )
     return entries.select(
         "network_id", F.col("seq").cast("bigint").alias("seq"), "raw_page", "entry.*"

@@ -8,31 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 from querytide.schemas import FINGERPRINT_SCHEMA, INTERCEPT_SCHEMA
 from querytide.sources.files import path_exists
+from querytide.sources.state_tables import replace_days
 
 logger = logging.getLogger(__name__)
 
 
-def read_optional_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_optional_json(
+    spark: SparkSession, path: str, schema: str, layout: str = "lines"
+) -> DataFrame:
     """JSON documents under a path; no rows and a warning when there is nothing to read.
 
-    Documents that are not JSON come back with NULL fields, which the gates drop.
+    `layout="lines"` is what `write_documents` writes, `layout="documents"` one indented
+    document per file. Documents that are not JSON come back with NULL fields, which the
+    gates drop.
     """
     if not path_exists(spark, path):
         logger.warning("optional input not found: %s", path)
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", layout == "documents").json(path)
 
 
-def read_intercept_stats(spark: SparkSession, path: str) -> DataFrame:
-    return read_optional_json(spark, path, INTERCEPT_SCHEMA)
+def read_intercept_stats(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
+    return read_optional_json(spark, path, INTERCEPT_SCHEMA, layout)
 
 
-def read_fingerprint_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return read_optional_json(spark, path, FINGERPRINT_SCHEMA).fillna({"page": 0})
+def read_fingerprint_snapshots(
+    spark: SparkSession, path: str, layout: str = "lines"
+) -> DataFrame:
+    return read_optional_json(spark, path, FINGERPRINT_SCHEMA, layout).fillna({"page": 0})
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """Write side-input documents, one folder per report day."""
-    docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "report_date"
-    ).json(path)
+def write_documents(docs: DataFrame, path: str, by_day: bool = False) -> None:
+    """Write side-input documents; `by_day` makes one folder per report day, which a later
+    run of that day replaces."""
+    if by_day:
+        replace_days(docs, path, "json")
+    else:
+        docs.write.mode("overwrite").json(path)

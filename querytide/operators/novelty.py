@@ -71,6 +71,44 @@ def novel_against_state(
     )
 
 
+def novel_after_state(
+    days: DataFrame,
+    known: DataFrame,
+    window_days: int = ReportParams.known_domains_window_days,
+) -> DataFrame:
+    """New domains over several days that follow on a state, in one pass.
+
+    The state's last day takes part as an earlier sighting; a day the state already covers
+    is known.
+    """
+    earlier = known.join(
+        days.select("network_id", "domain").distinct(), ["network_id", "domain"], "left_semi"
+    ).select(
+        "network_id",
+        F.col("last_seen").alias("report_date"),
+        "domain",
+        F.lit(False).alias("_sighting"),
+    )
+    order = W.partitionBy("network_id", "domain").orderBy("report_date", "_sighting")
+    last = F.max(F.col("report_date")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    state_day = F.max(F.when(~F.col("_sighting"), F.col("report_date"))).over(
+        W.partitionBy("network_id", "domain")
+    )
+    return (
+        days.select(*DAY, "domain", F.lit(True).alias("_sighting"))
+        .unionByName(earlier)
+        .withColumns({"_last": F.greatest(last, state_day)})
+        .filter(
+            F.col("_sighting")
+            & (
+                F.col("_last").isNull()
+                | (F.datediff("report_date", "_last") > F.lit(window_days))
+            )
+        )
+        .select(*DAY, "domain")
+    )
+
+
 def first_sightings(traffic: DataFrame) -> DataFrame:
     """Distinct domains per report day."""
     return traffic.select(*DAY, "domain").distinct()

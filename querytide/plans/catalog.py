@@ -30,10 +30,10 @@ from querytide.sources.side_inputs import (
     write_documents,
 )
 from querytide.sources.state_tables import StateTables
+from querytide.streaming import novelty as novelty_stream
+from querytide.streaming import volume as volume_stream
 from querytide.streaming.files import append_available, log_stream
-from querytide.streaming.novelty import stream_novel_domains
 from querytide.streaming.upkeep import StateUpkeep
-from querytide.streaming.volume import stream_daily_volume
 
 PARAMS = ReportParams()
 WRAPPED = replace(PARAMS, off_hours_start="22:00", wrap_off_hours=True)
@@ -417,6 +417,34 @@ def packet_client_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def packet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets written as JSON by date, read back and flattened."""
+    path = scratch_path(spark, "packet-files")
+    archive.write_packets(_packets(spark, sf_dir), path)
+    packets = archive.read_packets(spark, path).select(*DAY, "packet.*")
+
+    def flat(section: str, entries, amount: str, *name: str) -> DataFrame:
+        return packets.select(*DAY, F.explode(entries).alias("e")).select(
+            *DAY,
+            F.lit(section).alias("section"),
+            F.concat_ws(" ", *[F.col(f"e.{field}") for field in name]).alias("name"),
+            F.col(f"e.{amount}").alias("amount"),
+        )
+
+    parts = [
+        flat("top_domains", "top_domains", "count", "domain"),
+        flat("blocked_domains", "blocked_domains", "count", "domain", "rule"),
+        flat("new_domains", "new_domains", "count", "domain", "first_client"),
+        flat("by_device", "off_hours_activity.by_device", "total", "device", "client"),
+        flat("volume_anomalies", "volume_anomalies", "today_count", "device", "client"),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
 def _packets_with_side_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = replace(PARAMS, known_domains_window_days=NOVELTY_DAYS)
     log = report_days.assign_report_days(b.event_log(spark, sf_dir), params)
@@ -539,25 +567,29 @@ def _streamed(spark: SparkSession, sf_dir: str, operator) -> DataFrame:
 
 
 @query
-def stream_daily_volume_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, stream_daily_volume)
+def stream_daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, volume_stream.stream_daily_volume)
 
 
 @query
-def stream_new_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda log: stream_novel_domains(log, NOVELTY_DAYS))
+def stream_novel_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(
+        spark, sf_dir, lambda log: novelty_stream.stream_novel_domains(log, NOVELTY_DAYS)
+    )
 
 
 def _upkeep(spark: SparkSession, sf_dir: str) -> StateUpkeep:
+    """State kept batch by batch, merged into a base after every second batch."""
     pin_utc(spark)
-    upkeep = StateUpkeep(scratch_path(spark, "upkeep"))
+    params = replace(PARAMS, known_domains_window_days=NOVELTY_DAYS)
+    upkeep = StateUpkeep(scratch_path(spark, "upkeep"), params, compact_every=2)
     checkpoint = scratch_path(spark, "upkeep-state")
     _deliver(spark, sf_dir, lambda log: upkeep.start(log, checkpoint).awaitTermination())
     return upkeep
 
 
 @query
-def stream_known_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_state_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upkeep(spark, sf_dir).known_domains(spark)
 
 
@@ -566,6 +598,11 @@ def stream_volume_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upkeep(spark, sf_dir).daily_volume(spark)
 
 
+@query
+def stream_batch_novel_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _upkeep(spark, sf_dir).alerts(spark)
+
+
 # The same operators over the largest table.
 
 

@@ -219,13 +219,19 @@ LEFT JOIN (SELECT network_id, report_date, COUNT(*) AS quiet_total FROM quiet GR
 {_section("blocked", "rank", "rule", "blocked", "blocked_first_rule")}"""
 
 HEADLINE = """
-SELECT network_id, report_date, COALESCE(total_queries, 0) AS total_queries, total_blocked,
-       COALESCE(unique_clients, 0) AS unique_clients, b.domain AS top_blocked_domain,
-       b.count AS top_blocked_count,
-       printf('%.1f', CASE WHEN total_queries > 0 THEN round(total_blocked / total_queries * 100, 1)
-                           ELSE 0.0 END) || '%' AS blocked_percent
-FROM days LEFT JOIN totals USING (network_id, report_date)
-LEFT JOIN (SELECT * FROM blocked WHERE rank = 1) b USING (network_id, report_date)"""
+, numbers AS (
+  SELECT network_id, report_date, COALESCE(total_queries, 0) AS total_queries, total_blocked,
+         COALESCE(unique_clients, 0) AS unique_clients, b.domain AS top_blocked_domain,
+         b.count AS top_blocked_count,
+         printf('%.1f', CASE WHEN total_queries > 0 THEN total_blocked / total_queries * 100
+                             ELSE 0.0 END) || '%' AS blocked_percent
+  FROM days LEFT JOIN totals USING (network_id, report_date)
+  LEFT JOIN (SELECT * FROM blocked WHERE rank = 1) b USING (network_id, report_date))
+SELECT *, format('{:,}', total_queries) || ' queries | ' || blocked_percent || ' blocked | '
+          || unique_clients || ' clients'
+          || COALESCE(' | top blocked ' || top_blocked_domain || ' ('
+                      || format('{:,}', top_blocked_count) || ')', '') AS stat_line
+FROM numbers"""
 
 ARCHIVE = f"""{DATED}, totals AS ({SUMMARY}),
 reports AS (
@@ -391,6 +397,18 @@ FROM seen QUALIFY rank <= 20""",
 SELECT network_id, report_date, client, device, total, blocked, rank, domain, count
 FROM client_top JOIN clients USING (network_id, report_date, client)""",
     ),
+    "packet_roundtrip": with_(
+        PACKET_PARTS,
+        """
+SELECT network_id, report_date, 'top_domains' AS section, domain AS name, count AS amount FROM top
+UNION ALL SELECT network_id, report_date, 'blocked_domains', domain || ' ' || rule, count FROM blocked
+UNION ALL SELECT network_id, report_date, 'new_domains', domain || ' ' || first_client, count
+          FROM new_domains
+UNION ALL SELECT network_id, report_date, 'by_device', device || ' ' || client, total
+          FROM quiet_devices
+UNION ALL SELECT network_id, report_date, 'volume_anomalies', device || ' ' || client, today_count
+          FROM anomalies""",
+    ),
     "packet_side_sections": with_(
         DATED,
         DEVICES,
@@ -439,17 +457,20 @@ SELECT network_id, report_date, strftime(report_date, '%Y/%m/%d') AS storage_key
        strftime(report_date, '%A, %B %-d, %Y') AS display_date
 FROM reports""",
     ),
-    "stream_daily_volume_final": with_(
+    "stream_daily_volume": with_(
         DATED,
         VOLUMES,
         """
 SELECT * FROM volumes
 WHERE report_date + INTERVAL 15 HOURS <= (SELECT MAX(time) - INTERVAL 1 HOUR FROM log)""",
     ),
-    "stream_new_domains": with_(
+    "stream_novel_domains": with_(
+        DATED, novel(7), " SELECT network_id, report_date, domain FROM novel"
+    ),
+    "stream_batch_novel_domains": with_(
         DATED, novel(7), " SELECT network_id, report_date, domain FROM novel"
     ),
-    "stream_known_domains": with_(
+    "stream_state_upkeep": with_(
         DATED,
         """
 SELECT network_id, domain, MIN(report_date) AS first_seen, MAX(report_date) AS last_seen

@@ -249,6 +249,22 @@ def headline_stats(packets: DataFrame) -> DataFrame:
     top_blocked = F.get("packet.blocked_domains", F.lit(0))
     total = F.coalesce(F.col("packet.summary.total_queries"), F.lit(0))
     blocked = F.coalesce(F.col("packet.summary.total_blocked"), F.lit(0))
+    percent = blocked_percent(blocked, total)
+    line = F.concat_ws(
+        " | ",
+        F.concat(F.format_number(total, 0), F.lit(" queries")),
+        F.concat(percent, F.lit(" blocked")),
+        F.concat(
+            F.coalesce(F.col("packet.summary.unique_clients"), F.lit(0)), F.lit(" clients")
+        ),
+        F.concat(
+            F.lit("top blocked "),
+            top_blocked["domain"],
+            F.lit(" ("),
+            F.format_number(top_blocked["count"], 0),
+            F.lit(")"),
+        ),
+    )
     return packets.filter(F.col("page") == 0).select(
         *DAY,
         F.col("packet.summary.total_queries").alias("total_queries"),
@@ -256,7 +272,8 @@ def headline_stats(packets: DataFrame) -> DataFrame:
         F.col("packet.summary.unique_clients").alias("unique_clients"),
         top_blocked["domain"].alias("top_blocked_domain"),
         top_blocked["count"].alias("top_blocked_count"),
-        blocked_percent(blocked, total).alias("blocked_percent"),
+        percent.alias("blocked_percent"),
+        line.alias("stat_line"),
     )
 
 

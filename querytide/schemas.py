@@ -61,28 +61,28 @@ RESPONSE_EVENT_SCHEMA = """
     delta STRUCT<type: STRING, text: STRING, stop_reason: STRING>
 """
 
-PACKET_SCHEMA = """
-    summary STRUCT<date: STRING, total_queries: BIGINT, unique_clients: BIGINT,
+PACKET_STRUCT = """STRUCT<
+    summary: STRUCT<date: STRING, total_queries: BIGINT, unique_clients: BIGINT,
         unique_domains: BIGINT, total_blocked: BIGINT>,
-    top_domains ARRAY<STRUCT<domain: STRING, count: BIGINT>>,
-    per_client ARRAY<STRUCT<client: STRING, device: STRING, total: BIGINT, blocked: BIGINT,
+    top_domains: ARRAY<STRUCT<domain: STRING, count: BIGINT>>,
+    per_client: ARRAY<STRUCT<client: STRING, device: STRING, total: BIGINT, blocked: BIGINT,
         top_domains: ARRAY<STRUCT<domain: STRING, count: BIGINT>>>>,
-    off_hours_activity STRUCT<window_start: STRING, window_end: STRING, timezone: STRING,
+    off_hours_activity: STRUCT<window_start: STRING, window_end: STRING, timezone: STRING,
         total_queries: BIGINT,
         by_device: ARRAY<STRUCT<device: STRING, client: STRING, total: BIGINT,
             top_domains: ARRAY<STRUCT<domain: STRING, count: BIGINT, blocked: BOOLEAN,
                 first_seen_local: STRING, last_seen_local: STRING>>>>>,
-    new_domains ARRAY<STRUCT<domain: STRING, count: BIGINT, first_client: STRING>>,
-    volume_anomalies ARRAY<STRUCT<client: STRING, device: STRING, today_count: BIGINT,
+    new_domains: ARRAY<STRUCT<domain: STRING, count: BIGINT, first_client: STRING>>,
+    volume_anomalies: ARRAY<STRUCT<client: STRING, device: STRING, today_count: BIGINT,
         baseline_mean: DOUBLE, baseline_stddev: DOUBLE, z_score: DOUBLE, baseline_days: BIGINT>>,
-    blocked_domains ARRAY<STRUCT<domain: STRING, count: BIGINT, rule: STRING>>,
-    device_profiles STRUCT<
+    blocked_domains: ARRAY<STRUCT<domain: STRING, count: BIGINT, rule: STRING>>,
+    device_profiles: STRUCT<
         devices: ARRAY<STRUCT<ip: STRING, first_seen: STRING, last_seen: STRING, os: STRING,
             http_os: STRING, distance_hops: INT, uptime_min: INT, link_type: STRING,
             device: STRING>>,
         recent_changes: ARRAY<STRUCT<ip: STRING, detected_at: STRING, previous_os: STRING,
             current_os: STRING, device: STRING>>,
         note: STRING>,
-    dns_enforcement STRUCT<intercepted_queries: BIGINT, intercepted_bytes: BIGINT,
-        udp_queries: BIGINT, tcp_queries: BIGINT, note: STRING>
+    dns_enforcement: STRUCT<intercepted_queries: BIGINT, intercepted_bytes: BIGINT,
+        udp_queries: BIGINT, tcp_queries: BIGINT, note: STRING>>
 """

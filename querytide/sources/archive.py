@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from querytide.functions.scalar import long_date, storage_key
 from querytide.operators.messages import packet_json
 from querytide.params import DAY
+from querytide.schemas import PACKET_STRUCT
 from querytide.sources.state_tables import replace_days
 
 REPORT_SCHEMA = "network_id STRING, report STRING, report_date DATE"
@@ -75,6 +76,11 @@ def write_packets(packets: DataFrame, path: str) -> None:
     replace_days(packets.select("network_id", "page", "packet", "report_date"), path, "json")
 
 
+def read_packets(spark: SparkSession, path: str) -> DataFrame:
+    schema = f"network_id STRING, page BIGINT, packet {PACKET_STRUCT}, report_date DATE"
+    return spark.read.schema(schema).json(path)
+
+
 def packet_documents(packets: DataFrame) -> DataFrame:
     """Packets as indented JSON text."""
     return packets.select(*DAY, "page", packet_json().alias("packet_json"))

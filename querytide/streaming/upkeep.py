@@ -1,33 +1,95 @@
 """Upkeep of the state tables from a stream of log rows.
 
-Each micro-batch writes its own share of the state to folders named by its batch number, so
-a batch that is repeated after a failure replaces its own files and nothing is counted
-twice. Readers add the shares up; a batch job may fold them into the daily tables.
+Each micro-batch writes its own share of the state to a folder named by its batch number,
+so a batch that is repeated after a failure replaces its own files and nothing is counted
+twice. Readers merge the shares. Every so many batches the shares are merged into a base,
+which keeps the number of folders a reader opens bounded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from querytide.operators.novelty import first_sightings, upsert_known_domains
+from querytide.operators.novelty import (
+    first_sightings,
+    novel_after_state,
+    upsert_known_domains,
+)
 from querytide.operators.report_days import assign_report_days
 from querytide.params import DAY, ReportParams
 from querytide.schemas import KNOWN_DOMAINS_SCHEMA
+from querytide.sources.files import finished_folders
 
 COUNTS_SCHEMA = "network_id STRING, report_date DATE, client STRING, domain STRING, n BIGINT"
+VOLUME_SCHEMA = "network_id STRING, report_date DATE, client STRING, query_count BIGINT"
+ALERT_SCHEMA = "network_id STRING, report_date DATE, domain STRING"
+
+
+def merge_known(shares: DataFrame) -> DataFrame:
+    return shares.groupBy("network_id", "domain").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+    )
+
+
+def merge_volume(shares: DataFrame) -> DataFrame:
+    return shares.groupBy(*DAY, "client").agg(F.sum("query_count").alias("query_count"))
+
+
+class ShareTable:
+    """A table kept as one folder per micro-batch plus an occasional merged base."""
+
+    def __init__(self, root: str, schema: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+        self._shares = f"{root}/shares"
+        self._bases = f"{root}/bases"
+        self._schema = schema
+        self._merge = merge
+
+    def write(self, share: DataFrame, batch_id: int) -> None:
+        share.write.mode("overwrite").parquet(f"{self._shares}/{_folder(batch_id)}")
+
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """State after all batches, or after the batches before a given one."""
+        end = "batch=~" if before is None else _folder(before)
+        bases = [name for name in finished_folders(spark, self._bases) if name < end]
+        start = bases[-1] if bases else ""
+        paths = [f"{self._bases}/{name}" for name in bases[-1:]] + [
+            f"{self._shares}/{name}"
+            for name in finished_folders(spark, self._shares)
+            if start < name < end
+        ]
+        if not paths:
+            return spark.createDataFrame([], self._schema)
+        return self._merge(spark.read.schema(self._schema).parquet(*paths))
+
+    def compact(self, spark: SparkSession, batch_id: int) -> None:
+        """Merge everything up to a batch; run after that batch has written its share."""
+        self.read(spark, batch_id + 1).write.mode("overwrite").parquet(
+            f"{self._bases}/{_folder(batch_id)}"
+        )
 
 
 class StateUpkeep:
-    def __init__(self, root: str, params: ReportParams = ReportParams()) -> None:
-        self._root = root.rstrip("/")
+    """A `foreachBatch` function that keeps known domains, daily volumes and alerts."""
+
+    def __init__(
+        self, root: str, params: ReportParams = ReportParams(), compact_every: int = 96
+    ) -> None:
+        root = root.rstrip("/")
         self._params = params
+        self._compact_every = compact_every
+        self._counts = f"{root}/counts"
+        self._alerts = f"{root}/alerts"
+        self.known = ShareTable(f"{root}/known_domains", KNOWN_DOMAINS_SCHEMA, merge_known)
+        self.volumes = ShareTable(f"{root}/daily_volume", VOLUME_SCHEMA, merge_volume)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        """Count the batch once, then write both shares from that small table."""
+        """Count the batch once, then derive everything from that small table."""
         spark = batch.sparkSession
-        counts = f"{self._root}/counts/batch={batch_id}"
+        counts = f"{self._counts}/{_folder(batch_id)}"
         (
             assign_report_days(batch, self._params)
             .groupBy(*DAY, "client", "domain")
@@ -36,13 +98,20 @@ class StateUpkeep:
             .parquet(counts)
         )
         counted = spark.read.schema(COUNTS_SCHEMA).parquet(counts)
+        sightings = first_sightings(counted)
+        novel_after_state(
+            sightings,
+            self.known.read(spark, batch_id),
+            self._params.known_domains_window_days,
+        ).write.mode("overwrite").parquet(f"{self._alerts}/{_folder(batch_id)}")
         nothing = spark.createDataFrame([], KNOWN_DOMAINS_SCHEMA)
-        upsert_known_domains(nothing, first_sightings(counted)).write.mode("overwrite").parquet(
-            f"{self._root}/known_domains/batch={batch_id}"
+        self.known.write(upsert_known_domains(nothing, sightings), batch_id)
+        self.volumes.write(
+            counted.groupBy(*DAY, "client").agg(F.sum("n").alias("query_count")), batch_id
         )
-        counted.groupBy(*DAY, "client").agg(F.sum("n").alias("query_count")).write.mode(
-            "overwrite"
-        ).parquet(f"{self._root}/daily_volume/batch={batch_id}")
+        if (batch_id + 1) % self._compact_every == 0:
+            self.known.compact(spark, batch_id)
+            self.volumes.compact(spark, batch_id)
 
     def start(self, log: DataFrame, checkpoint: str) -> StreamingQuery:
         return (
@@ -53,15 +122,16 @@ class StateUpkeep:
         )
 
     def known_domains(self, spark: SparkSession) -> DataFrame:
-        shares = spark.read.schema(KNOWN_DOMAINS_SCHEMA).parquet(
-            f"{self._root}/known_domains"
-        )
-        return shares.groupBy("network_id", "domain").agg(
-            F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
-        )
+        return self.known.read(spark)
 
     def daily_volume(self, spark: SparkSession) -> DataFrame:
-        shares = spark.read.schema(
-            "network_id STRING, report_date DATE, client STRING, query_count BIGINT"
-        ).parquet(f"{self._root}/daily_volume")
-        return shares.groupBy(*DAY, "client").agg(F.sum("query_count").alias("query_count"))
+        return self.volumes.read(spark)
+
+    def alerts(self, spark: SparkSession) -> DataFrame:
+        """New domains as found batch by batch."""
+        return spark.read.schema(ALERT_SCHEMA).parquet(f"{self._alerts}/batch=*")
+
+
+def _folder(batch_id: int) -> str:
+    """Batch folders in an order that sorts as text."""
+    return f"batch={batch_id:012d}"

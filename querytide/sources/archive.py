@@ -50,9 +50,8 @@ def read_dated_files(spark: SparkSession, path: str, suffix: str = "md") -> Data
     """Whole report files named by date in a flat folder; other files are ignored."""
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d{4}-\d{2}-\d{2})\.", 1)
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", f"????-??-??.{suffix}")
-        .text(path)
+        spark.read.option("pathGlobFilter", f"????-??-??.{suffix}")
+        .text(path, wholetext=True)
         .select(stem.try_cast("date").alias("report_date"), F.col("value").alias("report"))
         .filter(F.col("report_date").isNotNull())
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,14 +86,21 @@ def assemble(
     first_page = F.lit(0).cast("bigint").alias("page")
 
     def listed(rows: DataFrame, name: str, order: list[Column], entry: Column) -> DataFrame:
-        keys = list(PAGE) if "page" in rows.columns else [*DAY, first_page]
-        return rows.select(*keys, F.struct(*order, entry.alias("entry")).alias(name))
+        return rows.select(*DAY, first_page, F.struct(*order, entry.alias("entry")).alias(name))
 
     def single(rows: DataFrame, name: str, *fields) -> DataFrame:
         return rows.select(*DAY, first_page, F.struct(*fields).alias(name))
 
-    def paged(rows: DataFrame, weight: str, key: str) -> DataFrame:
-        return paginate(rows, DAY, weight, key, params.page_size)
+    def unlimited(
+        rows: DataFrame, name: str, weight: Column, key: str, order: list[Column], entry: Column
+    ) -> DataFrame:
+        return rows.select(
+            *DAY,
+            F.lit(name).alias("list"),
+            weight.cast("bigint").alias("weight"),
+            F.col(key).alias("key"),
+            F.struct(*order, entry.alias("entry")).alias(name),
+        )
 
     totals = traffic.summary(cube)
     clients = _with_top_domains(
@@ -104,10 +113,55 @@ def assemble(
         traffic.off_hours_domains(cube, params),
         F.struct("domain", "count", "blocked", "first_seen_local", "last_seen_local"),
     )
-    anomalies = volume.volume_anomalies(compared_volumes, devices, params).withColumn(
-        "_weight", F.floor(F.log1p(F.abs("z_score")) * 64)
+    anomalies = volume.volume_anomalies(compared_volumes, devices, params)
+    long_lists = _union(
+        [
+            unlimited(
+                clients,
+                "per_client",
+                F.col("total"),
+                "client",
+                [-F.col("total"), F.col("client")],
+                F.struct("client", "device", "total", "blocked", "top_domains"),
+            ),
+            unlimited(
+                quiet,
+                "by_device",
+                F.col("total"),
+                "client",
+                [-F.col("total"), F.col("client")],
+                F.struct("device", "client", "total", "top_domains"),
+            ),
+            unlimited(
+                found_domains,
+                "new_domains",
+                F.col("count"),
+                "domain",
+                [-F.col("count"), F.col("domain")],
+                F.struct("domain", "count", "first_client"),
+            ),
+            unlimited(
+                anomalies,
+                "volume_anomalies",
+                F.floor(F.log1p(F.abs("z_score")) * 64),
+                "client",
+                [-F.abs("z_score"), F.col("client")],
+                F.struct(
+                    "client",
+                    "device",
+                    "today_count",
+                    "baseline_mean",
+                    "baseline_stddev",
+                    "z_score",
+                    "baseline_days",
+                ),
+            ),
+        ]
     )
     sections = [
+        paginate(
+            write_and_read(long_lists, "lists"), (*DAY, "list"), "weight", "key", params.page_size
+        ).drop("list", "weight", "key"),
         single(
             totals, "summary", "total_queries", "unique_clients", "unique_domains", "total_blocked"
         ),
@@ -124,38 +178,6 @@ def assemble(
             [F.col("rank")],
             F.struct("domain", "count", "rule"),
         ),
-        listed(
-            paged(clients, "total", "client"),
-            "per_client",
-            [-F.col("total"), F.col("client")],
-            F.struct("client", "device", "total", "blocked", "top_domains"),
-        ),
-        listed(
-            paged(quiet, "total", "client"),
-            "by_device",
-            [-F.col("total"), F.col("client")],
-            F.struct("device", "client", "total", "top_domains"),
-        ),
-        listed(
-            paged(found_domains, "count", "domain"),
-            "new_domains",
-            [-F.col("count"), F.col("domain")],
-            F.struct("domain", "count", "first_client"),
-        ),
-        listed(
-            paged(anomalies, "_weight", "client"),
-            "volume_anomalies",
-            [-F.abs("z_score"), F.col("client")],
-            F.struct(
-                "client",
-                "device",
-                "today_count",
-                "baseline_mean",
-                "baseline_stddev",
-                "z_score",
-                "baseline_days",
-            ),
-        ),
     ]
     if calendar is not None:
         sections.append(calendar.select(*DAY, first_page))
@@ -184,9 +206,7 @@ def assemble(
                 *PAGE, F.struct("devices", "recent_changes", "note").alias("device_profiles")
             )
         )
-    rows = sections[0]
-    for section in sections[1:]:
-        rows = rows.unionByName(section, allowMissingColumns=True)
+    rows = _union(sections)
 
     def entries(name: str) -> Column:
         ordered = F.sort_array(F.collect_list(name))
@@ -277,6 +297,10 @@ def headline_stats(packets: DataFrame) -> DataFrame:
     )
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def _with_top_domains(totals: DataFrame, top: DataFrame, entry: Column) -> DataFrame:
     """Attach each client's short list; both sides are already partitioned by client."""
     keys = [*DAY, "client"]

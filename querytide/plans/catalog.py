@@ -21,7 +21,7 @@ from querytide.operators import (
 )
 from querytide.params import DAY, ReportParams
 from querytide.plans import bindings as b
-from querytide.plans import packet
+from querytide.plans import packet, reports
 from querytide.session import pin_utc, scratch_path, write_and_read
 from querytide.sources import archive, pages
 from querytide.sources.side_inputs import (
@@ -505,6 +505,33 @@ def response_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.response_stops(b.response_events(spark, sf_dir))
 
 
+@query
+def response_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts answered with a line from their packet, and the answers made into reports."""
+    packets = _packets(spark, sf_dir)
+    asked = reports.numbered_prompts(packets)
+    total = F.col("packet.summary.total_queries").cast("string")
+
+    def event(kind: str, **delta) -> F.Column:
+        fields = F.struct(*[value.alias(name) for name, value in delta.items()])
+        return F.to_json(F.struct(F.lit(kind).alias("type"), fields.alias("delta")))
+
+    def text(value) -> F.Column:
+        return event("content_block_delta", type=F.lit("text_delta"), text=value)
+
+    answered = asked.select(*DAY, "page", "response_id").join(
+        packets.select(*DAY, "page", total.alias("total")), [*DAY, "page"]
+    )
+    bodies = F.array(
+        text(F.lit("Report ")),
+        text(F.concat(F.col("report_date").cast("string"), F.lit(": "))),
+        text(F.col("total")),
+        event("message_delta", stop_reason=F.lit("end_turn")),
+    )
+    events = answered.select("response_id", F.posexplode(bodies).alias("seq", "body"))
+    return reports.reports_from_responses(asked, events)
+
+
 # The archive.
 
 

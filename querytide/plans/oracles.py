@@ -443,6 +443,13 @@ SELECT conv_id AS response_id,
        CASE arg_max(role, turn) WHEN 'assistant' THEN 'end_turn' ELSE 'max_tokens' END AS stop_reason,
        arg_max(role, turn) <> 'assistant' AS truncated
 FROM conversations GROUP BY conv_id""",
+    "response_reports": with_(
+        PACKET_PARTS,
+        """
+SELECT network_id, report_date,
+       'Report ' || strftime(report_date, '%Y-%m-%d') || ': ' || COALESCE(total_queries, 0) AS report
+FROM days LEFT JOIN totals USING (network_id, report_date)""",
+    ),
     "report_archive": with_(ARCHIVE, " SELECT network_id, report_date, report FROM reports"),
     "latest_report": with_(
         ARCHIVE,

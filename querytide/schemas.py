@@ -33,6 +33,8 @@ DAILY_VOLUME_SCHEMA = (
     "network_id STRING, client STRING, query_count BIGINT, report_date DATE"
 )
 
+DEVICE_SCHEMA = "network_id STRING, ip STRING, device STRING"
+
 INTERCEPT_SCHEMA = """
     network_id STRING,
     report_date DATE,

@@ -6,7 +6,8 @@ import logging
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querytide.schemas import FINGERPRINT_SCHEMA, INTERCEPT_SCHEMA
+from querytide.operators.devices import overlay_devices
+from querytide.schemas import DEVICE_SCHEMA, FINGERPRINT_SCHEMA, INTERCEPT_SCHEMA
 from querytide.sources.files import path_exists
 from querytide.sources.state_tables import replace_days
 
@@ -38,6 +39,14 @@ def read_fingerprint_snapshots(
     return read_optional_json(spark, path, FINGERPRINT_SCHEMA, layout).fillna({"page": 0})
 
 
+def read_devices(spark: SparkSession, path: str, local_path: str | None = None) -> DataFrame:
+    """Device map, overlaid by an optional local one that adds to it and wins."""
+    base = read_optional_json(spark, path, DEVICE_SCHEMA)
+    if local_path is None:
+        return base
+    return overlay_devices(base, read_optional_json(spark, local_path, DEVICE_SCHEMA))
+
+
 def write_documents(docs: DataFrame, path: str, by_day: bool = False) -> None:
     """Write side-input documents; `by_day` makes one folder per report day, which a later
     run of that day replaces."""

@@ -13,7 +13,7 @@ from querytide.operators import devices, enforcement, fingerprints, messages, tr
 from querytide.operators.paging import paginate
 from querytide.operators.report_days import report_calendar
 from querytide.params import ReportParams
-from querytide.plans import packet
+from querytide.plans import packet, reports
 from querytide.sources import archive, side_inputs
 
 DAY = date(2026, 5, 8)
@@ -374,3 +374,44 @@ def test_archive_replaces_dates(spark, workdir):
     assert latest == {"a": "new", "b": "only"}
     index = archive.archive_index(reports).collect()
     assert (index[0].report_date, index[0].storage_key) == (DAY, "2026/05/08")
+
+
+# From prompts to reports.
+
+
+def test_reports_are_whole_or_absent(spark, tmp_path):
+    asked = spark.createDataFrame(
+        [("a/0", "a", DAY, 0), ("a/1", "a", DAY, 1), ("b/0", "b", DAY, 0), ("c/0", "c", DAY, 0)],
+        "response_id string, network_id string, report_date date, page bigint",
+    )
+    bodies = [
+        ("a/1", 0, piece("second")), ("a/1", 1, stop("end_turn")),
+        ("a/0", 0, piece("first")), ("a/0", 1, stop("end_turn")),
+        ("b/0", 0, piece("cut")), ("b/0", 1, stop("max_tokens")),
+    ]
+    rows = spark.createDataFrame(
+        [(r, i, json.dumps(body)) for r, i, body in bodies],
+        "response_id string, seq bigint, body string",
+    )
+    done = reports.reports_from_responses(asked, rows, strict=False).collect()
+    assert [(r.network_id, r.report) for r in done] == [("a", "first\n\nsecond")]
+    with pytest.raises(Exception, match="response cut off"):
+        reports.reports_from_responses(asked, rows).collect()
+
+
+def test_dated_files_into_the_archive(spark, tmp_path):
+    (tmp_path / "2026-05-07.md").write_text("seven")
+    reports.import_dated_files(spark, str(tmp_path), "home", str(tmp_path / "archive"))
+    (row,) = archive.read_reports(spark, str(tmp_path / "archive")).collect()
+    assert (row.network_id, row.report_date.day, row.report) == ("home", 7, "seven")
+
+
+def test_device_files_overlay(spark, tmp_path):
+    for name, rows in (("base", [("1", "one"), ("2", "two")]), ("local", [("2", "mine")])):
+        (tmp_path / f"{name}.json").write_text(
+            "\n".join(json.dumps({"network_id": "n", "ip": i, "device": d}) for i, d in rows)
+        )
+    both = side_inputs.read_devices(spark, str(tmp_path / "base.json"), str(tmp_path / "local.json"))
+    assert {r.ip: r.device for r in both.collect()} == {"1": "one", "2": "mine"}
+    alone = side_inputs.read_devices(spark, str(tmp_path / "base.json"), str(tmp_path / "none.json"))
+    assert {r.ip: r.device for r in alone.collect()} == {"1": "one", "2": "two"}

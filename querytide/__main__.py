@@ -1,9 +1,9 @@
-"""Batch jobs for spark-submit: `python -m querytide daily ...` or `... backfill ...`."""
+"""Batch jobs: `ingest` pages into the log, then `daily` or `backfill` reports from it."""
 
 from __future__ import annotations
 
 import argparse
-from datetime import UTC, date, datetime
+from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import SparkSession
@@ -15,7 +15,8 @@ from querytide.plans.packet import backfill_packets
 from querytide.plans.reports import numbered_prompts
 from querytide.session import pin_utc, write_and_read
 from querytide.sources.archive import write_packets
-from querytide.sources.pages import log_rows, parse_entries, read_pages
+from querytide.sources.log_store import read_log, write_log
+from querytide.sources.pages import log_rows, parse_entries, read_pages, rejected_rows
 from querytide.sources.side_inputs import (
     read_devices,
     read_fingerprint_snapshots,
@@ -26,10 +27,13 @@ from querytide.sources.state_tables import StateTables, replace_days
 
 def arguments() -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="querytide", description=__doc__)
-    parser.add_argument("job", choices=["daily", "backfill"])
-    parser.add_argument("--pages", required=True, help="folder with network_id=... sub-folders")
+    parser.add_argument("job", choices=["ingest", "daily", "backfill"])
+    parser.add_argument("--pages", help="captured pages in network_id=... folders (ingest)")
     parser.add_argument("--layout", choices=["documents", "lines"], default="lines")
-    parser.add_argument("--out", required=True, help="folder for packets and prompts")
+    parser.add_argument("--load", help="name of this load; repeating it replaces it (ingest)")
+    parser.add_argument("--log", required=True, help="folder of the parsed log")
+    parser.add_argument("--rejects", help="folder for entries that cannot be read (ingest)")
+    parser.add_argument("--out", help="folder for packets and prompts")
     parser.add_argument("--state", help="folder of the state tables (daily)")
     parser.add_argument("--now", type=datetime.fromisoformat, help="UTC end of the window (daily)")
     parser.add_argument("--devices", help="JSON lines with network_id, ip, device")
@@ -39,17 +43,21 @@ def arguments() -> argparse.Namespace:
     parser.add_argument("--timezone", default=ReportParams.timezone)
     parser.add_argument("--off-hours", nargs=2, metavar=("START", "END"))
     args = parser.parse_args()
-    if args.job == "daily" and (args.state is None or args.now is None):
-        parser.error("a daily run needs --state and --now")
+    needed = {"ingest": ["pages", "load"], "daily": ["out", "state", "now"], "backfill": ["out"]}
+    missing = [f"--{name}" for name in needed[args.job] if getattr(args, name) is None]
+    if missing:
+        parser.error(f"{args.job} needs {' and '.join(missing)}")
     return args
 
 
 def main() -> None:
     args = arguments()
     spark = pin_utc(SparkSession.builder.appName(f"querytide-{args.job}").getOrCreate())
+    if args.job == "ingest":
+        ingest(spark, args)
+        return
     start, end = args.off_hours or (ReportParams.off_hours_start, ReportParams.off_hours_end)
     params = ReportParams(timezone=args.timezone, off_hours_start=start, off_hours_end=end)
-    log = log_rows(parse_entries(read_pages(spark, args.pages, layout=args.layout)))
     side_inputs = {
         "devices": (
             read_devices(spark, args.devices, args.local_devices) if args.devices else None
@@ -60,8 +68,9 @@ def main() -> None:
         ),
     }
     if args.job == "daily":
+        since = args.now - timedelta(hours=params.window_hours)
         packets = run_report(
-            log,
+            read_log(spark, args.log, since, args.now),
             args.now,
             report_date_of(args.now, params),
             StateTables(spark, args.state),
@@ -69,13 +78,21 @@ def main() -> None:
             **side_inputs,
         )
     else:
-        packets = write_and_read(
-            backfill_packets(assign_report_days(log, params), params, **side_inputs), "packets"
-        )
+        log = assign_report_days(read_log(spark, args.log), params)
+        packets = write_and_read(backfill_packets(log, params, **side_inputs), "packets")
     write_packets(packets, f"{args.out}/packets")
     replace_days(numbered_prompts(packets, params), f"{args.out}/prompts", "json")
 
 
+def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Pages -> log by date; without a place for rejects the first bad entry ends the job."""
+    raw = read_pages(spark, args.pages, layout=args.layout)
+    parsed = parse_entries(raw, strict=args.rejects is None)
+    write_log(log_rows(parsed), args.log, args.load)
+    if args.rejects is not None:
+        rejected_rows(parsed).write.mode("overwrite").json(args.rejects)
+
+
 def report_date_of(now: datetime, params: ReportParams) -> date:
     """Local date of the run, in the report's zone."""
     return now.replace(tzinfo=now.tzinfo or UTC).astimezone(ZoneInfo(params.timezone)).date()

@@ -41,9 +41,17 @@ def assign_report_days(log: DataFrame, params: ReportParams = ReportParams()) ->
 def single_report(
     log: DataFrame, now: datetime, report_date: Column, params: ReportParams = ReportParams()
 ) -> DataFrame:
-    """The trailing window of one run, labelled with its report date."""
+    """The trailing window of one run, labelled with its report date.
+
+    Rows at or after `now` belong to the next run, so that a run repeated later gives the
+    same report.
+    """
     pin_utc(log.sparkSession)
-    return trailing_window(log, now, params.window_hours).withColumn("report_date", report_date)
+    return (
+        trailing_window(log, now, params.window_hours)
+        .filter(F.col("time") < F.lit(now).cast("timestamp_ntz"))
+        .withColumn("report_date", report_date)
+    )
 
 
 def report_calendar(days: DataFrame, start: Column | None = None, end: Column | None = None):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +22,10 @@ from querytide.operators import (
 from querytide.params import DAY, ReportParams
 from querytide.plans import bindings as b
 from querytide.plans import packet, reports
+from querytide.plans.daily import run_report
 from querytide.session import pin_utc, scratch_path, write_and_read
 from querytide.sources import archive, pages
+from querytide.sources.log_store import read_log, write_log
 from querytide.sources.side_inputs import (
     read_fingerprint_snapshots,
     read_intercept_stats,
@@ -125,6 +127,18 @@ def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@query
+def log_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written in two loads, one of them twice, and one report's window read back."""
+    path = scratch_path(spark, "log")
+    log = b.event_log(spark, sf_dir)
+    early = F.col("time") < F.lit(RUN_TIME - timedelta(hours=12)).cast("timestamp_ntz")
+    write_log(log.filter(early), path, "first")
+    for _ in range(2):
+        write_log(log.filter(~early), path, "second")
+    return read_log(spark, path, RUN_TIME - timedelta(hours=PARAMS.window_hours), RUN_TIME)
+
+
 # Report sections.
 
 
@@ -445,6 +459,36 @@ def packet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+@query
+def daily_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One daily run on top of the state left by all days before it."""
+    params = replace(PARAMS, known_domains_window_days=NOVELTY_DAYS)
+    sightings, state = _sightings_state(spark, sf_dir)
+    state.record_volume(
+        volume.daily_volume(b.event_traffic(spark, sf_dir)).filter(
+            F.col("report_date") < F.lit(REPORT_DATE)
+        )
+    )
+    packets = run_report(
+        b.event_log(spark, sf_dir),
+        RUN_TIME,
+        REPORT_DATE,
+        state,
+        params,
+        b.base_devices(spark, sf_dir),
+    )
+    new = packets.select(*DAY, F.explode("packet.new_domains").alias("e")).select(
+        *DAY, F.lit("new").alias("section"), F.col("e.domain").alias("name"), "e.count"
+    )
+    unusual = packets.select(*DAY, F.explode("packet.volume_anomalies").alias("e")).select(
+        *DAY, F.lit("anomaly"), "e.client", "e.today_count"
+    )
+    total = packets.filter(F.col("page") == 0).select(
+        *DAY, F.lit("total"), F.lit(""), "packet.summary.total_queries"
+    )
+    return new.union(unusual).union(total)
+
+
 def _packets_with_side_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = replace(PARAMS, known_domains_window_days=NOVELTY_DAYS)
     log = report_days.assign_report_days(b.event_log(spark, sf_dir), params)

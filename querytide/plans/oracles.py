@@ -262,6 +262,12 @@ WHERE reject_reason IS NOT NULL GROUP BY ALL""",
     "trailing_window": with_(
         LOG, " SELECT * FROM log WHERE time >= TIMESTAMP '2024-01-19 15:00:00'"
     ),
+    "log_store": with_(
+        LOG,
+        """
+SELECT * FROM log
+WHERE time >= TIMESTAMP '2024-01-19 15:00:00' AND time < TIMESTAMP '2024-01-20 15:00:00'""",
+    ),
     "report_windows": with_(
         LOG,
         """
@@ -409,6 +415,16 @@ UNION ALL SELECT network_id, report_date, 'by_device', device || ' ' || client,
 UNION ALL SELECT network_id, report_date, 'volume_anomalies', device || ' ' || client, today_count
           FROM anomalies""",
     ),
+    "daily_run": with_(
+        PACKET_PARTS,
+        """
+SELECT network_id, report_date, 'new' AS section, domain AS name, count
+FROM new_domains WHERE report_date = DATE '2024-01-20'
+UNION ALL SELECT network_id, report_date, 'anomaly', client, today_count
+FROM anomalies WHERE report_date = DATE '2024-01-20'
+UNION ALL SELECT network_id, report_date, 'total', '', total_queries
+FROM totals WHERE report_date = DATE '2024-01-20'""",
+    ),
     "packet_side_sections": with_(
         DATED,
         DEVICES,

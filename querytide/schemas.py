@@ -15,17 +15,19 @@ PAGE_SCHEMA = """
     _corrupt_record STRING
 """
 
-LOG_COLUMNS = (
-    "network_id",
-    "seq",
-    "time",
-    "client",
-    "domain",
-    "query_type",
-    "reason",
-    "blocked",
-    "block_rule",
-)
+LOG_SCHEMA = """
+    network_id STRING,
+    seq BIGINT,
+    time TIMESTAMP_NTZ,
+    client STRING,
+    domain STRING,
+    query_type STRING,
+    reason STRING,
+    blocked BOOLEAN,
+    block_rule STRING
+"""
+
+LOG_COLUMNS = tuple(line.split()[0] for line in LOG_SCHEMA.strip().splitlines())
 
 KNOWN_DOMAINS_SCHEMA = "network_id STRING, domain STRING, first_seen DATE, last_seen DATE"
 

@@ -11,13 +11,7 @@ import pytest
 
 from querytide import __main__ as jobs
 from querytide.params import ReportParams
-
-
-@pytest.fixture(scope="module")
-def pages(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("pages"))
-    fixture_day.page_texts(spark).write.mode("overwrite").partitionBy("network_id").text(path)
-    return path
+from querytide.sources.log_store import read_log, write_log
 
 
 def run(monkeypatch, *argv):
@@ -25,12 +19,55 @@ def run(monkeypatch, *argv):
     jobs.main()
 
 
-def test_daily_job(spark, pages, tmp_path, monkeypatch):
+@pytest.fixture
+def log(spark, tmp_path, monkeypatch):
+    """The fixture day taken in from page files, one of them broken."""
+    pages = tmp_path / "pages"
+    fixture_day.page_texts(spark).write.partitionBy("network_id").text(str(pages))
+    (pages / "network_id=home" / "broken.txt").write_text("no page\n")
+    run(
+        monkeypatch, "ingest", "--pages", str(pages), "--log", str(tmp_path / "log"),
+        "--load", "first", "--rejects", str(tmp_path / "rejects"),
+    )
+    assert spark.read.json(str(tmp_path / "rejects")).count() == 1
+    return str(tmp_path / "log")
+
+
+def test_strict_ingest(spark, tmp_path, monkeypatch):
+    (tmp_path / "network_id=home").mkdir()
+    (tmp_path / "network_id=home" / "broken.txt").write_text("no page\n")
+    with pytest.raises(Exception, match="bad log entry"):
+        run(
+            monkeypatch, "ingest", "--pages", str(tmp_path), "--load", "x",
+            "--log", str(tmp_path / "log"),
+        )
+
+
+def test_log_store_opens_only_its_dates(spark, log):
+    some = read_log(spark, log, datetime(2026, 5, 8, 9), datetime(2026, 5, 9))
+    assert some.count() > 0
+    assert some.filter("time < '2026-05-08 09:00:00' OR time >= '2026-05-09 00:00:00'").count() == 0
+    plan = some._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(log_date" in plan
+    assert read_log(spark, log).count() == 694
+
+
+def test_loads_are_added_and_replaced(spark, log):
+    last_day = spark.createDataFrame(
+        read_log(spark, log, datetime(2026, 5, 9)).collect(), read_log(spark, log).schema
+    )
+    before = read_log(spark, log).count()
+    for _ in range(2):
+        write_log(last_day, log, "second")
+        assert read_log(spark, log).count() == before + last_day.count()
+
+
+def test_daily_job(spark, log, tmp_path, monkeypatch):
     (tmp_path / "devices.json").write_text(
         json.dumps({"network_id": "home", "ip": "192.168.1.25", "device": "Phone"})
     )
     run(
-        monkeypatch, "daily", "--pages", pages, "--out", str(tmp_path / "out"),
+        monkeypatch, "daily", "--log", log, "--out", str(tmp_path / "out"),
         "--state", str(tmp_path / "state"), "--now", "2026-05-09T07:00:00",
         "--devices", str(tmp_path / "devices.json"), "--intercepts", str(tmp_path / "none"),
     )
@@ -42,9 +79,9 @@ def test_daily_job(spark, pages, tmp_path, monkeypatch):
     assert prompt.response_id == "home/2026-05-09/0"
 
 
-def test_backfill_job(spark, pages, tmp_path, monkeypatch):
+def test_backfill_job(spark, log, tmp_path, monkeypatch):
     run(
-        monkeypatch, "backfill", "--pages", pages, "--out", str(tmp_path / "out"),
+        monkeypatch, "backfill", "--log", log, "--out", str(tmp_path / "out"),
         "--off-hours", "02:00", "04:00",
     )
     rows = spark.read.json(str(tmp_path / "out/packets")).collect()
@@ -54,8 +91,8 @@ def test_backfill_job(spark, pages, tmp_path, monkeypatch):
 
 def test_daily_job_needs_state(monkeypatch, capsys):
     with pytest.raises(SystemExit):
-        run(monkeypatch, "daily", "--pages", "p", "--out", "o")
-    assert "--state" in capsys.readouterr().err
+        run(monkeypatch, "daily", "--log", "l", "--out", "o")
+    assert "--state and --now" in capsys.readouterr().err
 
 
 def test_report_date_is_local():

@@ -205,9 +205,8 @@ def test_daily_runs_can_be_repeated(spark, tmp_path):
 
     def run(day):
         now = datetime(2026, 5, day, 15)
-        until = log.filter(F.col("time") <= F.lit(now))
         packets = run_report(
-            until, now, date(2026, 5, day), state, ReportParams(known_domains_window_days=2),
+            log, now, date(2026, 5, day), state, ReportParams(known_domains_window_days=2),
             networks=networks, packet_path=str(tmp_path / "packets"),
         )
         return {r.network_id: r.packet for r in packets.collect()}

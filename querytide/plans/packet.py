@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from querytide.functions.scalar import blocked_percent, iso_date
@@ -302,13 +303,22 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _with_top_domains(totals: DataFrame, top: DataFrame, entry: Column) -> DataFrame:
-    """Attach each client's short list; both sides are already partitioned by client."""
+    """Attach each client's short list.
+
+    The list is collected over the order the rows were ranked in, so ranking, collecting
+    and joining share one shuffle and one sort.
+    """
     keys = [*DAY, "client"]
-    lists = top.groupBy(*keys).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("rank", entry.alias("entry")))),
-            lambda row: row["entry"],
-        ).alias("top_domains")
+    ranked = W.partitionBy(*keys).orderBy(F.desc("count"), F.asc("domain"))
+    lists = (
+        top.withColumn(
+            "top_domains",
+            F.collect_list(entry).over(
+                ranked.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+            ),
+        )
+        .filter(F.col("rank") == 1)
+        .select(*keys, "top_domains")
     )
     empty = F.array().cast(lists.schema["top_domains"].dataType)
     return totals.join(lists, keys, "left").withColumn(

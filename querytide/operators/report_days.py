@@ -27,9 +27,9 @@ def assign_report_days(log: DataFrame, params: ReportParams = ReportParams()) ->
     pin_utc(log.sparkSession)
     hours = int(params.window_hours)
     span = max(hours, 24)
+    opens = (int(params.close_hour_utc) - span) % 24
     dated = log.withColumn(
-        "_run",
-        F.window("time", f"{span} hours", "24 hours", f"{int(params.close_hour_utc)} hours"),
+        "_run", F.window("time", f"{span} hours", "24 hours", f"{opens} hours")
     )
     if hours < 24:
         dated = dated.filter(F.col("time") >= F.col("_run.end") - F.expr(f"INTERVAL {hours} HOURS"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,16 +116,16 @@ def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per report for daily runs that look back 12, 24 and 48 hours."""
+    """Rows per report for daily runs that look back 12 to 48 hours."""
     log = b.event_log(spark, sf_dir)
     counts = [
         report_days.assign_report_days(log, replace(PARAMS, window_hours=hours))
         .groupBy(*DAY)
         .agg(F.count("*").alias("total_queries"))
         .withColumn("window_hours", F.lit(hours))
-        for hours in (12, 24, 48)
+        for hours in (12, 24, 36, 48)
     ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query
@@ -453,10 +454,7 @@ def packet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         flat("by_device", "off_hours_activity.by_device", "total", "device", "client"),
         flat("volume_anomalies", "volume_anomalies", "today_count", "device", "client"),
     ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query

@@ -276,7 +276,7 @@ WHERE time >= TIMESTAMP '2024-01-19 15:00:00' AND time < TIMESTAMP '2024-01-20 1
                                                  INTERVAL 1 DAY)) AS DATE) AS report_date
   FROM (SELECT DISTINCT network_id FROM log))
 SELECT r.network_id, report_date, COUNT(*) AS total_queries, window_hours
-FROM runs r CROSS JOIN (VALUES (12), (24), (48)) w(window_hours)
+FROM runs r CROSS JOIN (VALUES (12), (24), (36), (48)) w(window_hours)
 JOIN log l ON l.network_id = r.network_id
  AND l.time < report_date + INTERVAL 15 HOURS
  AND l.time >= report_date + INTERVAL 15 HOURS - window_hours * INTERVAL 1 HOUR

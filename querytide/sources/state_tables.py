@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querytide.operators.novelty import upsert_known_domains
+from querytide.operators.novelty import known_within, upsert_known_domains
 from querytide.operators.volume import upsert_daily_volume
 from querytide.params import ReportParams
 from querytide.schemas import DAILY_VOLUME_SCHEMA, KNOWN_DOMAINS_SCHEMA
@@ -41,7 +41,7 @@ class StateTables:
         )
         if window_days is None:
             return known
-        return known.filter(F.col("last_seen") >= F.date_sub(F.lit(day).cast("date"), window_days))
+        return known_within(known, before, window_days)
 
     def record_domains(self, sightings: DataFrame, report_date: date) -> None:
         """Write the snapshot of a report date: the state before it plus its sightings."""

@@ -132,6 +132,9 @@ def test_report_days(spark):
     assert days(window_hours=48) == [
         (7, 14, 7), (7, 14, 8), (7, 15, 8), (7, 15, 9), (8, 14, 8), (8, 14, 9),
     ]
+    assert days(window_hours=36) == [
+        (7, 14, 7), (7, 14, 8), (7, 15, 8), (8, 14, 8), (8, 14, 9),
+    ]
     assert days(window_hours=6) == [(7, 14, 7), (8, 14, 8)]
     # A run that closes late in the UTC day is already the next date further east.
     assert days(close_hour_utc=20, timezone="Asia/Tokyo") == [(7, 14, 8), (7, 15, 8), (8, 14, 9)]

@@ -143,10 +143,7 @@ def new_domains(
     pick: str = "newest",
 ) -> DataFrame:
     """Counts and one client for the given new domains; blocked queries count as well."""
-    found = domain_days(traffic, pick).join(
-        novel.select(*DAY, "domain"), [*DAY, "domain"], "left_semi"
-    )
-    return _with_first_device(found, devices)
+    return given_new_domains(domain_days(traffic, pick), novel, devices)
 
 
 def new_domains_over_history(
@@ -156,9 +153,22 @@ def new_domains_over_history(
     pick: str = "newest",
 ) -> DataFrame:
     """The same section for every day of a log without state: no join is needed."""
-    return _with_first_device(
-        novel_over_history(domain_days(traffic, pick), window_days), devices
-    )
+    return all_new_domains(domain_days(traffic, pick), window_days, devices)
+
+
+def given_new_domains(
+    days: DataFrame, novel: DataFrame, devices: DataFrame | None = None
+) -> DataFrame:
+    found = days.join(novel.select(*DAY, "domain"), [*DAY, "domain"], "left_semi")
+    return _with_first_device(found, devices)
+
+
+def all_new_domains(
+    days: DataFrame,
+    window_days: int = ReportParams.known_domains_window_days,
+    devices: DataFrame | None = None,
+) -> DataFrame:
+    return _with_first_device(novel_over_history(days, window_days), devices)
 
 
 def _with_first_device(rows: DataFrame, devices: DataFrame | None) -> DataFrame:

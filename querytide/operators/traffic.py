@@ -63,6 +63,45 @@ def keep_top(counts: DataFrame, group: tuple[str, ...], key: str, k: int) -> Dat
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def client_totals(traffic: DataFrame) -> DataFrame:
+    return traffic.groupBy(*DAY, "client").agg(
+        F.sum("n").alias("total"),
+        F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(F.lit(0))).alias("blocked"),
+    )
+
+
+def domain_totals(cube: DataFrame) -> DataFrame:
+    """All that a report says about a domain, from one pass over a rollup.
+
+    The client and the rule are those of the newest query. Picking them needs a sort-based
+    aggregate, which is why this takes a rollup and not log rows.
+    """
+    blocked_key = F.when(F.col("blocked"), F.struct("newest_key", "block_rule"))
+    return cube.groupBy(*DAY, "domain").agg(
+        F.sum("n").alias("count"),
+        F.sum(F.when(F.col("blocked"), F.lit(0)).otherwise(F.col("n"))).alias("answered"),
+        F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(F.lit(0))).alias("blocked"),
+        F.max_by("client", F.struct("newest_key", "client")).alias("first_client"),
+        F.max_by("block_rule", blocked_key).alias("rule"),
+    )
+
+
+def top_answered(domains: DataFrame, k: int = ReportParams.top_domains) -> DataFrame:
+    """`top_domains` from domain totals."""
+    counts = domains.filter(F.col("answered") > 0).select(
+        *DAY, "domain", F.col("answered").alias("count")
+    )
+    return keep_top(counts, DAY, "domain", k)
+
+
+def top_blocked(domains: DataFrame, k: int = ReportParams.blocked_domains) -> DataFrame:
+    """`blocked_domains` from domain totals."""
+    counts = domains.filter(F.col("blocked") > 0).select(
+        *DAY, "domain", F.col("blocked").alias("count"), "rule"
+    )
+    return keep_top(counts, DAY, "domain", k)
+
+
 def summary(traffic: DataFrame) -> DataFrame:
     return (
         traffic.groupBy(*DAY)
@@ -116,11 +155,7 @@ def blocked_domains(traffic: DataFrame, k: int = ReportParams.blocked_domains) -
 
 
 def per_client(traffic: DataFrame, devices: DataFrame | None = None) -> DataFrame:
-    totals = traffic.groupBy(*DAY, "client").agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(F.lit(0))).alias("blocked"),
-    )
-    return label_clients(totals, devices)
+    return label_clients(client_totals(traffic), devices)
 
 
 def client_top_domains(

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from querytide.operators import novelty, volume
 from querytide.operators.report_days import single_report
-from querytide.params import DAY, ReportParams
-from querytide.plans.packet import evidence_packets, materialise_rollup
+from querytide.params import ReportParams
+from querytide.plans.packet import evidence_packets, report_tables
 from querytide.session import pin_utc, write_and_read
 from querytide.sources.archive import write_packets
 from querytide.sources.state_tables import StateTables
@@ -36,10 +36,9 @@ def run_report(
     """
     pin_utc(log.sparkSession)
     day = F.lit(report_date.isoformat()).cast("date")
-    cube = materialise_rollup(single_report(log, now, day, params), params)
-    sightings = novelty.first_sightings(cube)
+    tables = report_tables(single_report(log, now, day, params), params)
     novel = novelty.novel_against_state(
-        sightings,
+        tables.sightings(),
         state.known_domains(report_date, params.known_domains_window_days),
         params.known_domains_window_days,
     )
@@ -59,7 +58,7 @@ def run_report(
     )
     packets = write_and_read(
         evidence_packets(
-            cube,
+            tables,
             novel,
             baseline,
             params,
@@ -72,6 +71,6 @@ def run_report(
     )
     if packet_path is not None:
         write_packets(packets, packet_path)
-    state.record_domains(sightings, report_date)
-    state.record_volume(volume.daily_volume(cube).select(*DAY, "client", "query_count"))
+    state.record_domains(tables.sightings(), report_date)
+    state.record_volume(tables.volumes())
     return packets

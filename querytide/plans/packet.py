@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from querytide.functions.scalar import blocked_percent, iso_date
 from querytide.operators import enforcement, fingerprints, novelty, traffic, volume
+from querytide.operators.devices import label_clients
 from querytide.operators.paging import paginate
 from querytide.operators.report_days import report_calendar
 from querytide.params import DAY, ReportParams
@@ -18,9 +20,32 @@ from querytide.session import write_and_read
 PAGE = (*DAY, "page")
 
 
-def materialise_rollup(dated_log: DataFrame, params: ReportParams = ReportParams()) -> DataFrame:
-    """Scan the log once and keep the rollup as a table for all sections."""
-    return write_and_read(traffic.rollup(traffic.as_traffic(dated_log, params)), "rollup")
+@dataclass(frozen=True)
+class ReportTables:
+    """What all sections are derived from, each kept as a table in the shared folder."""
+
+    cube: DataFrame
+    """One row per client, domain, rule and off-hours flag of a report day."""
+    clients: DataFrame
+    """One row per client of a report day."""
+    domains: DataFrame
+    """One row per domain of a report day."""
+
+    def volumes(self) -> DataFrame:
+        return self.clients.select(*DAY, "client", F.col("total").alias("query_count"))
+
+    def sightings(self) -> DataFrame:
+        return self.domains.select(*DAY, "domain")
+
+
+def report_tables(dated_log: DataFrame, params: ReportParams = ReportParams()) -> ReportTables:
+    """Scan the log once; sections then read the smallest table that has what they need."""
+    cube = write_and_read(traffic.rollup(traffic.as_traffic(dated_log, params)), "rollup")
+    return ReportTables(
+        cube,
+        write_and_read(traffic.client_totals(cube), "clients"),
+        write_and_read(traffic.domain_totals(cube), "domains"),
+    )
 
 
 def backfill_packets(
@@ -32,21 +57,21 @@ def backfill_packets(
     calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Packets of every report day in a log, with state taken from the log's own history."""
-    cube = materialise_rollup(dated_log, params)
+    tables = report_tables(dated_log, params)
     return assemble(
-        cube,
-        novelty.new_domains_over_history(cube, params.known_domains_window_days, devices),
-        volume.with_trailing_baseline(volume.daily_volume(cube), params.volume_baseline_days),
+        tables,
+        novelty.all_new_domains(tables.domains, params.known_domains_window_days, devices),
+        volume.with_trailing_baseline(tables.volumes(), params.volume_baseline_days),
         params,
         devices,
         intercepts,
         snapshots,
-        report_calendar(traffic.summary(cube)) if calendar is None else calendar,
+        report_calendar(tables.clients) if calendar is None else calendar,
     )
 
 
 def evidence_packets(
-    cube: DataFrame,
+    tables: ReportTables,
     novel: DataFrame,
     baseline: DataFrame,
     params: ReportParams = ReportParams(),
@@ -57,9 +82,9 @@ def evidence_packets(
 ) -> DataFrame:
     """Packets for given new domains and a given baseline, as kept in state tables."""
     return assemble(
-        cube,
-        novelty.new_domains(cube, novel, devices),
-        volume.with_baseline(volume.daily_volume(cube), baseline),
+        tables,
+        novelty.given_new_domains(tables.domains, novel, devices),
+        volume.with_baseline(tables.volumes(), baseline),
         params,
         devices,
         intercepts,
@@ -69,7 +94,7 @@ def evidence_packets(
 
 
 def assemble(
-    cube: DataFrame,
+    tables: ReportTables,
     found_domains: DataFrame,
     compared_volumes: DataFrame,
     params: ReportParams,
@@ -103,9 +128,14 @@ def assemble(
             F.struct(*order, entry.alias("entry")).alias(name),
         )
 
-    totals = traffic.summary(cube)
+    cube = tables.cube
+    totals = tables.clients.groupBy(*DAY).agg(
+        F.sum("total").alias("total_queries"),
+        F.count("*").alias("unique_clients"),
+        F.sum("blocked").alias("total_blocked"),
+    )
     clients = _with_top_domains(
-        traffic.per_client(cube, devices),
+        label_clients(tables.clients, devices),
         traffic.client_top_domains(cube, params.client_top_domains),
         F.struct("domain", "count"),
     )
@@ -159,22 +189,31 @@ def assemble(
             ),
         ]
     )
+    lists = write_and_read(long_lists, "lists")
+    quiet_totals = (
+        lists.filter(F.col("list") == "by_device")
+        .groupBy(*DAY)
+        .agg(F.sum("weight").alias("total_queries"))
+    )
     sections = [
-        paginate(
-            write_and_read(long_lists, "lists"), (*DAY, "list"), "weight", "key", params.page_size
-        ).drop("list", "weight", "key"),
+        paginate(lists, (*DAY, "list"), "weight", "key", params.page_size).drop(
+            "list", "weight", "key"
+        ),
+        single(totals, "summary", "total_queries", "unique_clients", "total_blocked"),
         single(
-            totals, "summary", "total_queries", "unique_clients", "unique_domains", "total_blocked"
+            tables.domains.groupBy(*DAY).agg(F.count("*").alias("unique_domains")),
+            "variety",
+            "unique_domains",
         ),
-        single(traffic.off_hours_totals(cube), "quiet_total", "total_queries"),
+        single(quiet_totals, "quiet_total", "total_queries"),
         listed(
-            traffic.top_domains(cube, params.top_domains),
+            traffic.top_answered(tables.domains, params.top_domains),
             "top_domains",
             [F.col("rank")],
             F.struct("domain", "count"),
         ),
         listed(
-            traffic.blocked_domains(cube, params.blocked_domains),
+            traffic.top_blocked(tables.domains, params.blocked_domains),
             "blocked_domains",
             [F.col("rank")],
             F.struct("domain", "count", "rule"),
@@ -225,14 +264,14 @@ def assemble(
         "volume_anomalies",
         "blocked_domains",
     )
-    values = ["summary", "quiet_total"]
+    values = ["summary", "variety", "quiet_total"]
     optional = [name for name in ("device_profiles", "dns_enforcement") if name in rows.columns]
     grouped = rows.groupBy(*PAGE).agg(
         *[entries(name) for name in lists], *[value(name) for name in (*values, *optional)]
     )
 
-    def count_of(field: str) -> Column:
-        return F.coalesce(F.col(f"summary.{field}"), F.lit(0)).alias(field)
+    def count_of(field: str, found: str = "summary") -> Column:
+        return F.coalesce(F.col(f"{found}.{field}"), F.lit(0)).alias(field)
 
     on_first_page = F.col("page") == 0
     packet = F.struct(
@@ -242,7 +281,7 @@ def assemble(
                 iso_date(F.col("report_date")).alias("date"),
                 count_of("total_queries"),
                 count_of("unique_clients"),
-                count_of("unique_domains"),
+                count_of("unique_domains", "variety"),
                 F.col("summary.total_blocked").alias("total_blocked"),
             ),
         ).alias("summary"),

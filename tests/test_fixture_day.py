@@ -21,9 +21,8 @@ def frame(request, day_log):
 
 @pytest.fixture(scope="module")
 def the_packet(spark, day_log):
-    cube = packet.materialise_rollup(day_log)
     rows = packet.evidence_packets(
-        cube, fixture_day.novel(spark), fixture_day.baseline(spark),
+        packet.report_tables(day_log), fixture_day.novel(spark), fixture_day.baseline(spark),
         devices=fixture_day.devices(spark),
     ).collect()
     assert len(rows) == 1

@@ -527,13 +527,41 @@ def packet_side_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def packet_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.packet_documents(_packets_with_side_inputs(spark, sf_dir))
+    """Packets as indented text, told by what a JSON reader finds in the text."""
+    text = F.col("packet_json")
+
+    def length(path: str) -> F.Column:
+        return F.json_array_length(F.get_json_object(text, path))
+
+    return archive.packet_documents(_packets_with_side_inputs(spark, sf_dir)).select(
+        *DAY,
+        "page",
+        F.concat_ws(" ", F.json_object_keys(text)).alias("sections"),
+        F.get_json_object(text, "$.summary.date").alias("date"),
+        F.get_json_object(text, "$.off_hours_activity.timezone").alias("timezone"),
+        F.get_json_object(text, "$.dns_enforcement.udp_queries").alias("udp_queries"),
+        length("$.per_client").alias("clients"),
+        length("$.off_hours_activity.by_device").alias("quiet_devices"),
+        length("$.volume_anomalies").alias("anomalies"),
+        length("$.device_profiles.devices").alias("profiles"),
+    )
 
 
 @query
 def prompt_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.prompts(_packets(spark, sf_dir)).select(
-        *DAY, "page", F.inline("messages")
+    """Prompts, taken apart into the request and the evidence they carry."""
+    evidence = F.substring(F.col("content"), F.instr("content", "{"), F.length("content"))
+    return (
+        messages.prompts(_packets(spark, sf_dir))
+        .select(*DAY, "page", F.inline("messages"))
+        .select(
+            *DAY,
+            "page",
+            "role",
+            F.substring_index("content", "\n", 2).alias("request"),
+            F.get_json_object(evidence, "$.summary.total_queries").alias("total_queries"),
+            F.get_json_object(evidence, "$.blocked_domains[0].domain").alias("top_blocked"),
+        )
     )
 
 

@@ -452,6 +452,38 @@ counted AS (
 SELECT network_id, report_date, profiles, newest, changes, last_change, intercepted_queries,
        intercepted_bytes, udp_queries, tcp_queries
 FROM profiled JOIN counted USING (network_id, report_date)""",
+    ),
+    "packet_json": with_(
+        PACKET_PARTS,
+        """
+SELECT network_id, report_date, 0::BIGINT AS page,
+       'summary top_domains per_client off_hours_activity new_domains volume_anomalies '
+       || 'blocked_domains device_profiles dns_enforcement' AS sections,
+       date, 'America/Phoenix' AS timezone, CAST(udp AS VARCHAR) AS udp_queries,
+       clients, quiet_devices, anomalies, clients AS profiles
+FROM (SELECT network_id, report_date, CAST(COUNT(*) AS INT) AS clients FROM clients GROUP BY ALL)
+JOIN totals USING (network_id, report_date)
+JOIN (SELECT 'net' || (user_id % 3) AS network_id,
+             CAST(ts - INTERVAL 15 HOURS AS DATE) + 1 AS report_date,
+             CAST(SUM(CASE WHEN event_type IN ('view', 'click') THEN floor(value) ELSE 0 END)
+               AS BIGINT) AS udp
+      FROM events GROUP BY ALL) USING (network_id, report_date)
+JOIN (SELECT d.network_id, d.report_date, CAST(COUNT(q.client) AS INT) AS quiet_devices
+      FROM days d LEFT JOIN quiet_devices q USING (network_id, report_date) GROUP BY ALL)
+  USING (network_id, report_date)
+JOIN (SELECT d.network_id, d.report_date, CAST(COUNT(a.client) AS INT) AS anomalies
+      FROM days d LEFT JOIN anomalies a USING (network_id, report_date) GROUP BY ALL)
+  USING (network_id, report_date)""",
+    ),
+    "prompt_dataset": with_(
+        PACKET_PARTS,
+        """
+SELECT network_id, report_date, 0::BIGINT AS page, 'user' AS role,
+       'Write the daily network report for ' || strftime(report_date, '%Y-%m-%d') || '.' || chr(10)
+       || 'Local time zone: America/Phoenix. Quiet hours: 01:00 to 05:00.' AS request,
+       CAST(COALESCE(total_queries, 0) AS VARCHAR) AS total_queries, b.domain AS top_blocked
+FROM days LEFT JOIN totals USING (network_id, report_date)
+LEFT JOIN (SELECT * FROM blocked WHERE rank = 1) b USING (network_id, report_date)""",
     ),
     "response_text": RESPONSES,
     "response_truncated": """

@@ -6,8 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def log_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def log_stream(
+    spark: SparkSession, path: str, schema: StructType, max_files: int | None = None
+) -> DataFrame:
+    """Log files as a stream, oldest first; `max_files` bounds the size of a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
 def append_available(stream: DataFrame, out: str, checkpoint: str) -> None:

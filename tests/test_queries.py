@@ -17,8 +17,7 @@ def con():
 
 
 def test_oracles_belong_to_queries():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"packet_json", "prompt_dataset"}
+    assert set(ORACLES) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -30,10 +29,5 @@ def test_query_equals_sql(spark, con, name):
     assert rows
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_has_rows(spark, name):
-    assert QUERIES[name](spark, SF_DIR).limit(1).count() == 1
-
-
 def test_entry(spark):
     assert contract.entry(spark).count() > 0

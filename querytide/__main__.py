@@ -40,6 +40,7 @@ def arguments() -> argparse.Namespace:
     parser.add_argument("--local-devices", help="the same, overriding --devices")
     parser.add_argument("--intercepts", help="interception counter documents")
     parser.add_argument("--fingerprints", help="fingerprint snapshot documents")
+    parser.add_argument("--side-layout", choices=["documents", "lines"], default="documents")
     parser.add_argument("--timezone", default=ReportParams.timezone)
     parser.add_argument("--off-hours", nargs=2, metavar=("START", "END"))
     args = parser.parse_args()
@@ -62,9 +63,15 @@ def main() -> None:
         "devices": (
             read_devices(spark, args.devices, args.local_devices) if args.devices else None
         ),
-        "intercepts": read_intercept_stats(spark, args.intercepts) if args.intercepts else None,
+        "intercepts": (
+            read_intercept_stats(spark, args.intercepts, args.side_layout)
+            if args.intercepts
+            else None
+        ),
         "snapshots": (
-            read_fingerprint_snapshots(spark, args.fingerprints) if args.fingerprints else None
+            read_fingerprint_snapshots(spark, args.fingerprints, args.side_layout)
+            if args.fingerprints
+            else None
         ),
     }
     if args.job == "daily":

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querytide.params import DAY
+from querytide.operators.report_days import assign_report_days
+from querytide.params import DAY, ReportParams
 
 SERIES = ("network_id", "proto")
 
@@ -58,6 +59,20 @@ def counter_deltas(
     return grown.filter(~F.col("_carried")).drop("_bucket", "_carried")
 
 
+def daily_growth(
+    readings: DataFrame, params: ReportParams = ReportParams(), bucket: str = "hour"
+) -> DataFrame:
+    """Readings of ever-growing counters -> counter values of report days."""
+    grown = counter_deltas(readings, bucket=bucket).select(
+        *SERIES,
+        "sample_time",
+        F.col("sample_time").alias("time"),
+        F.col("packets_delta").alias("packets"),
+        F.col("bytes_delta").alias("bytes"),
+    )
+    return assign_report_days(grown, params).drop("time")
+
+
 def intercept_stats(samples: DataFrame) -> DataFrame:
     """Per-protocol sums of a day's counter values; a protocol without samples counts 0."""
 

@@ -66,15 +66,23 @@ def test_daily_job(spark, log, tmp_path, monkeypatch):
     (tmp_path / "devices.json").write_text(
         json.dumps({"network_id": "home", "ip": "192.168.1.25", "device": "Phone"})
     )
+    counters = tmp_path / "counters" / "network_id=home" / "report_date=2026-05-09"
+    counters.mkdir(parents=True)
+    (counters / "stats.json").write_text(
+        json.dumps({"available": True, "intercepted_queries": 7, "udp_queries": 7}, indent=2)
+    )
     run(
         monkeypatch, "daily", "--log", log, "--out", str(tmp_path / "out"),
         "--state", str(tmp_path / "state"), "--now", "2026-05-09T07:00:00",
-        "--devices", str(tmp_path / "devices.json"), "--intercepts", str(tmp_path / "none"),
+        "--devices", str(tmp_path / "devices.json"),
+        "--intercepts", str(tmp_path / "counters"), "--fingerprints", str(tmp_path / "none"),
     )
     (packet,) = spark.read.json(str(tmp_path / "out/packets")).collect()
     assert packet.report_date == date(2026, 5, 9)
     assert packet.packet.summary.total_queries == 694
     assert "Phone" in {c.device for c in packet.packet.per_client}
+    assert packet.packet.dns_enforcement.udp_queries == 7
+    assert "device_profiles" not in packet.packet.asDict()
     (prompt,) = spark.read.json(str(tmp_path / "out/prompts")).collect()
     assert prompt.response_id == "home/2026-05-09/0"
 

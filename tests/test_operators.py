@@ -139,6 +139,13 @@ def test_intercept_sections(spark):
     assert [r.network_id for r in enforcement.intercept_gate(gate).collect()] == ["a"]
 
 
+def test_readings_become_daily_stats(spark):
+    readings = samples(spark, [(14, 0, 10, 100), (14, 30, 30, 300), (16, 0, 35, 350), (17, 0, 2, 20)])
+    stats = enforcement.intercept_stats(enforcement.daily_growth(readings))
+    rows = {r.report_date.day: (r.intercepted_queries, r.intercepted_bytes) for r in stats.collect()}
+    assert rows == {8: (30, 300), 9: (7, 70)}
+
+
 # Optional inputs.
 
 

@@ -82,13 +82,14 @@ def parse_entries(
 ) -> DataFrame:
     """Project raw entries to log columns plus `reject_reason` (NULL for good rows).
 
-    `strict=True` ends the job on the first bad entry instead of setting it apart.
+    Bad rows carry the entry, or the unreadable page, as `raw_text`. `strict=True` ends the job on the first bad entry instead of setting it apart.
     """
     domain = F.col("question.name")
-    unreadable = F.col("raw_page").isNotNull() if "raw_page" in raw.columns else F.lit(False)
+    page = F.col("raw_page") if "raw_page" in raw.columns else F.lit(None).cast("string")
+    entry = F.to_json(F.struct("client", "question", "reason", "rule", "time"))
     time = utc_time(F.col("time"))
     reject = (
-        F.when(unreadable, F.lit("unreadable page"))
+        F.when(page.isNotNull(), F.lit("unreadable page"))
         .when(F.col("time").isNull(), F.lit("missing time"))
         .when(time.isNull(), F.lit("bad time"))
         .when(domain.isNull(), F.lit("missing question name"))
@@ -110,6 +111,7 @@ def parse_entries(
         is_blocked(F.col("reason"), blocked_reasons).alias("blocked"),
         or_empty(F.col("rule")).alias("block_rule"),
         reject.alias("reject_reason"),
+        F.when(reject.isNotNull(), F.coalesce(page, entry)).alias("raw_text"),
     )
 
 

@@ -82,8 +82,11 @@ def test_rejects(spark, tmp_path):
     (tmp_path / "q.json").write_text("this is not a page")
     parsed = read(spark, tmp_path)
     assert log_rows(parsed).count() == 1
-    reasons = [r.reject_reason for r in rejected_rows(parsed).collect()]
-    assert sorted(reasons) == [
+    rows = rejected_rows(parsed).collect()
+    texts = {r.reject_reason: r.raw_text for r in rows}
+    assert texts["unreadable page"] == "this is not a page"
+    assert json.loads(texts["bad time"])["time"] == "yesterday"
+    assert sorted(r.reject_reason for r in rows) == [
         "bad time", "missing question name", "missing question name", "missing question type",
         "missing time", "unreadable page",
     ]

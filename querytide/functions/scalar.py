@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,17 @@ def utc_time(text: Column) -> Column:
     return text.try_cast("timestamp").cast("timestamp_ntz")
 
 
+def as_utc(moment: datetime) -> datetime:
+    """A Python time as zone-less UTC; a time without a zone is taken to be UTC already."""
+    return moment if moment.tzinfo is None else moment.astimezone(UTC).replace(tzinfo=None)
+
+
+def utc_literal(moment: datetime) -> Column:
+    """A Python time as a column. It goes over as text, because a plain literal would be read
+    in the time zone of the driver's machine."""
+    return F.lit(as_utc(moment).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def is_blocked(reason: Column, codes: Iterable[str] = BLOCKED_REASONS) -> Column:
     return F.coalesce(reason, F.lit("")).isin(*codes)
 

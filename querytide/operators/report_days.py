@@ -7,14 +7,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querytide.functions.scalar import local_date
+from querytide.functions.scalar import local_date, utc_literal
 from querytide.params import ReportParams
 from querytide.session import pin_utc
 
 
 def trailing_window(log: DataFrame, now: datetime | Column, hours: int) -> DataFrame:
     """Rows of the last `hours` hours: low end inclusive, no upper bound."""
-    end = now if isinstance(now, Column) else F.lit(now).cast("timestamp_ntz")
+    end = now if isinstance(now, Column) else utc_literal(now)
     return log.filter(F.col("time") >= end - F.expr(f"INTERVAL {int(hours)} HOURS"))
 
 
@@ -49,7 +49,7 @@ def single_report(
     pin_utc(log.sparkSession)
     return (
         trailing_window(log, now, params.window_hours)
-        .filter(F.col("time") < F.lit(now).cast("timestamp_ntz"))
+        .filter(F.col("time") < utc_literal(now))
         .withColumn("report_date", report_date)
     )
 

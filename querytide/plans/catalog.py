@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querytide.functions.scalar import utc_literal
 from querytide.operators import (
     devices,
     enforcement,
@@ -133,7 +134,7 @@ def log_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log written in two loads, one of them twice, and one report's window read back."""
     path = scratch_path(spark, "log")
     log = b.event_log(spark, sf_dir)
-    early = F.col("time") < F.lit(RUN_TIME - timedelta(hours=12)).cast("timestamp_ntz")
+    early = F.col("time") < utc_literal(RUN_TIME - timedelta(hours=12))
     write_log(log.filter(early), path, "first")
     for _ in range(2):
         write_log(log.filter(~early), path, "second")

@@ -26,7 +26,8 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 def latest_reports(reports: DataFrame) -> DataFrame:
     """The newest report of every network.
 
-    The newest date is found without touching the texts; only the chosen texts are moved.
+    The newest dates are found without reading the texts. They are one row per network, so
+    as long as Spark can broadcast them the texts stay where they are.
     """
     newest = reports.groupBy("network_id").agg(F.max("report_date").alias("report_date"))
     return reports.join(newest, list(DAY), "left_semi")

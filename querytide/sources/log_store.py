@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querytide.functions.scalar import as_utc, utc_literal
 from querytide.schemas import LOG_COLUMNS, LOG_SCHEMA
 
 
@@ -30,13 +31,12 @@ def read_log(
     log = spark.read.schema(f"{LOG_SCHEMA}, log_date DATE, load STRING").parquet(path)
     if since is not None:
         log = log.filter(
-            (F.col("log_date") >= F.lit(since.date()))
-            & (F.col("time") >= F.lit(since).cast("timestamp_ntz"))
+            (F.col("log_date") >= F.lit(as_utc(since).date()))
+            & (F.col("time") >= utc_literal(since))
         )
     if until is not None:
-        last = (until - timedelta(microseconds=1)).date()
+        last = (as_utc(until) - timedelta(microseconds=1)).date()
         log = log.filter(
-            (F.col("log_date") <= F.lit(last))
-            & (F.col("time") < F.lit(until).cast("timestamp_ntz"))
+            (F.col("log_date") <= F.lit(last)) & (F.col("time") < utc_literal(until))
         )
     return log.select(*LOG_COLUMNS)

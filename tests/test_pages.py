@@ -1,7 +1,8 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+import time
+from datetime import datetime, timedelta, timezone
 
 import fixture_day
 import pytest
@@ -121,6 +122,23 @@ def test_trailing_window_bounds(spark):
     assert trailing_window(log, datetime(2026, 5, 8, 15), 24).count() == 3
 
 
+def test_run_time_does_not_depend_on_the_machine(spark, monkeypatch):
+    log = spark.sql(
+        "SELECT explode(array(timestamp_ntz'2026-05-07 14:59:59', timestamp_ntz'2026-05-07 15:00:00'))"
+        " AS time"
+    )
+    east = timezone(timedelta(hours=9))
+    try:
+        for zone in ("America/New_York", "Asia/Tokyo"):
+            monkeypatch.setenv("TZ", zone)
+            time.tzset()
+            for now in (datetime(2026, 5, 8, 15), datetime(2026, 5, 9, 0, tzinfo=east)):
+                assert trailing_window(log, now, 24).count() == 1
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
 def test_report_days(spark):
     log = spark.sql(
         "SELECT explode(array(timestamp_ntz'2026-05-07 14:59:59', timestamp_ntz'2026-05-07 15:00:00',"

@@ -54,8 +54,14 @@ def single_report(
     )
 
 
-def report_calendar(days: DataFrame, start: Column | None = None, end: Column | None = None):
-    """All report days of each network, including the ones without a single query."""
+def report_calendar(
+    days: DataFrame, start: Column | None = None, end: Column | None = None
+) -> DataFrame:
+    """All report days of each network, including the ones without a single query.
+
+    By default from a network's first to its last day; give the range when rows with wrong
+    clocks may stretch it.
+    """
     span = days.groupBy("network_id").agg(
         F.min("report_date").alias("_first"), F.max("report_date").alias("_last")
     )

@@ -24,23 +24,22 @@ def numbered_prompts(packets: DataFrame, params: ReportParams = ReportParams())
 def reports_from_responses(
     asked: DataFrame, events: DataFrame, strict: bool = True
 ) -> DataFrame:
-    """One text per report day from the response events of its prompts.
+    """Report texts from the response events of the prompts, one row per packet page.
 
-    A response that was cut off ends the job, or leaves its report out when `strict` is
-    off: a report is never archived in part.
+    A response that was cut off or never came ends the job, or leaves the whole report of
+    its day out when `strict` is off: a report is never archived in part.
     """
     answers = response_texts(events).join(response_stops(events, strict=strict), "response_id")
-    pages = asked.select("response_id", *DAY, "page").join(answers, "response_id", "left")
-    complete = F.bool_and(F.col("text").isNotNull() & ~F.coalesce("truncated", F.lit(True)))
-    parts = F.sort_array(F.collect_list(F.struct("page", "text")))
-    return (
-        pages.groupBy(*DAY)
-        .agg(
-            complete.alias("complete"),
-            F.array_join(F.transform(parts, lambda part: part["text"]), "\n\n").alias("report"),
+    parts = asked.select("response_id", *DAY, "page").join(answers, "response_id", "left")
+    usable = F.col("text").isNotNull() & ~F.coalesce("truncated", F.lit(True))
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("no response: "), F.col("response_id")))
+        return parts.select(
+            *DAY, "page", F.when(usable, F.col("text")).otherwise(missing).alias("report")
         )
-        .filter("complete")
-        .drop("complete")
+    broken = parts.filter(~usable).select(*DAY).distinct()
+    return parts.join(broken, list(DAY), "left_anti").select(
+        *DAY, "page", F.col("text").alias("report")
     )
 
 

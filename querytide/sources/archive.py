@@ -11,12 +11,21 @@ from querytide.params import DAY
 from querytide.schemas import PACKET_STRUCT
 from querytide.sources.state_tables import replace_days
 
-REPORT_SCHEMA = "network_id STRING, report STRING, report_date DATE"
+REPORT_SCHEMA = "network_id STRING, page BIGINT, report STRING, report_date DATE"
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Archive report texts; writing a date again replaces it."""
-    replace_days(reports.select("network_id", "report", "report_date"), path)
+    """Archive report texts; writing a date again replaces it.
+
+    Reports of very large networks come in pages; others have the single page 0.
+    """
+    page = F.col("page") if "page" in reports.columns else F.lit(0)
+    replace_days(
+        reports.select(
+            "network_id", page.cast("bigint").alias("page"), "report", "report_date"
+        ),
+        path,
+    )
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
 import json
+import random
 from collections import Counter
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -139,6 +140,28 @@ def test_intercept_sections(spark):
     assert [r.network_id for r in enforcement.intercept_gate(gate).collect()] == ["a"]
 
 
+def test_counter_deltas_equal_a_loop(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for network in ("a", "b"):
+        for proto in ("udp", "tcp"):
+            before = None
+            minutes = sorted(rng.sample(range(6 * 24 * 60), 300))
+            for minute in minutes:
+                value = rng.randrange(50) if rng.random() < 0.1 else (before or 0) + rng.randrange(9)
+                time = datetime(2026, 5, 1) + timedelta(minutes=minute)
+                rows.append((network, proto, time, value, 2 * value))
+                grown = value if before is None or value < before else value - before
+                want[(network, proto, time)] = grown
+                before = value
+    readings = spark.createDataFrame(
+        rows, "network_id string, proto string, sample_time timestamp_ntz, packets bigint, bytes bigint"
+    )
+    got = enforcement.counter_deltas(readings).collect()
+    assert {(r.network_id, r.proto, r.sample_time): r.packets_delta for r in got} == want
+    assert all(r.bytes_delta == 2 * r.packets_delta for r in got)
+
+
 def test_readings_become_daily_stats(spark):
     readings = samples(spark, [(14, 0, 10, 100), (14, 30, 30, 300), (16, 0, 35, 350), (17, 0, 2, 20)])
     stats = enforcement.intercept_stats(enforcement.daily_growth(readings))
@@ -401,9 +424,19 @@ def test_reports_are_whole_or_absent(spark, tmp_path):
         "response_id string, seq bigint, body string",
     )
     done = reports.reports_from_responses(asked, rows, strict=False).collect()
-    assert [(r.network_id, r.report) for r in done] == [("a", "first\n\nsecond")]
+    assert sorted((r.network_id, r.page, r.report) for r in done) == [
+        ("a", 0, "first"), ("a", 1, "second"),
+    ]
     with pytest.raises(Exception, match="response cut off"):
         reports.reports_from_responses(asked, rows).collect()
+    answered = rows.filter("response_id <> 'b/0'")
+    with pytest.raises(Exception, match="no response"):
+        reports.reports_from_responses(asked, answered).collect()
+    archive.write_reports(
+        reports.reports_from_responses(asked.filter("network_id = 'a'"), answered),
+        str(tmp_path / "reports"),
+    )
+    assert archive.read_reports(spark, str(tmp_path / "reports")).count() == 2
 
 
 def test_dated_files_into_the_archive(spark, tmp_path):

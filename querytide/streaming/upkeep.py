@@ -9,6 +9,7 @@ which keeps the number of folders a reader opens bounded.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from querytide.operators.report_days import assign_report_days
 from querytide.params import DAY, ReportParams
 from querytide.schemas import KNOWN_DOMAINS_SCHEMA
 from querytide.sources.files import finished_folders
+from querytide.sources.state_tables import StateTables
 
 COUNTS_SCHEMA = "network_id STRING, report_date DATE, client STRING, domain STRING, n BIGINT"
 VOLUME_SCHEMA = "network_id STRING, report_date DATE, client STRING, query_count BIGINT"
@@ -113,6 +115,13 @@ class StateUpkeep:
             self.known.compact(spark, batch_id)
             self.volumes.compact(spark, batch_id)
 
+    def close_day(self, state: StateTables, spark: SparkSession, report_date: date) -> None:
+        """Hand a finished report day over to the tables that daily runs read."""
+        of_day = F.col("report_date") == F.lit(report_date)
+        counted = spark.read.schema(COUNTS_SCHEMA).parquet(f"{self._counts}/batch=*")
+        state.record_domains(first_sightings(counted.filter(of_day)), report_date)
+        state.record_volume(self.daily_volume(spark).filter(of_day))
+
     def start(self, log: DataFrame, checkpoint: str) -> StreamingQuery:
         return (
             log.writeStream.foreachBatch(self)

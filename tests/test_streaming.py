@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from querytide.operators import novelty, report_days, volume
 from querytide.operators.traffic import as_traffic
 from querytide.params import ReportParams
+from querytide.sources.state_tables import StateTables
 from querytide.streaming.files import append_available, log_stream
 from querytide.streaming.novelty import stream_novel_domains
 from querytide.streaming.upkeep import StateUpkeep
@@ -96,6 +97,24 @@ def test_batches_give_the_state_of_a_batch_job(spark, paths):
     )
 
 
+def test_closed_days_feed_daily_runs(spark, paths):
+    upkeep = StateUpkeep(paths["root"], PARAMS)
+    upkeep(log_of(spark, [datetime(2026, 5, 1, 9)] * 3, domain="a"), 0)
+    upkeep(log_of(spark, [datetime(2026, 5, 1, 10), datetime(2026, 5, 2, 9)], domain="b"), 1)
+    state = StateTables(spark, paths["state"])
+    for day in (1, 2):
+        upkeep.close_day(state, spark, date(2026, 5, day))
+    known = {r.domain: (r.first_seen.day, r.last_seen.day)
+             for r in state.known_domains(date(2026, 5, 3)).collect()}
+    assert known == {"a": (1, 1), "b": (1, 2)}
+    assert {r.domain: r.last_seen.day for r in state.known_domains(date(2026, 5, 2)).collect()} == {
+        "a": 1, "b": 1,
+    }
+    volumes = {r.report_date.day: r.query_count
+               for r in state.daily_volume(date(2026, 5, 3)).collect()}
+    assert volumes == {1: 4, 2: 1}
+
+
 def test_repeated_batch_counts_once(spark, paths):
     upkeep = StateUpkeep(paths["root"], PARAMS, compact_every=2)
     first = log_of(spark, [datetime(2026, 5, 1, 9)] * 3)

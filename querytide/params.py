@@ -18,8 +18,9 @@ DAY = ("network_id", "report_date")
 
 @dataclass(frozen=True)
 class ReportParams:
-    """Everything a report run can be tuned with; defaults are the daily home-network report."""
+    """Everything a report run can be tuned with."""
 
+    # Windows, list lengths and limits of the daily report.
     timezone: str = "America/Phoenix"
     off_hours_start: str = "01:00"
     off_hours_end: str = "05:00"

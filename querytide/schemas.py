@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-# One captured page of the resolver's query log. Only the fields the report uses are
-# declared, so the JSON reader skips the rest.
+# Field names of one captured page of the resolver's query log. Only the fields
+# the report uses are declared, so the JSON reader skips the rest.
 PAGE_SCHEMA = """
     data ARRAY<STRUCT<
         client: STRING,
@@ -37,6 +37,7 @@ DAILY_VOLUME_SCHEMA = (
 
 DEVICE_SCHEMA = "network_id STRING, ip STRING, device STRING"
 
+# Field names of the optional side-input documents.
 INTERCEPT_SCHEMA = """
     network_id STRING,
     report_date DATE,
@@ -60,11 +61,13 @@ FINGERPRINT_SCHEMA = """
         ip: STRING, detected_at: STRING, previous_os: STRING, current_os: STRING>>
 """
 
+# Field names of a model's response events.
 RESPONSE_EVENT_SCHEMA = """
     type STRING,
     delta STRUCT<type: STRING, text: STRING, stop_reason: STRING>
 """
 
+# Names and order of the packet's fields.
 PACKET_STRUCT = """STRUCT<
     summary: STRUCT<date: STRING, total_queries: BIGINT, unique_clients: BIGINT,
         unique_domains: BIGINT, total_blocked: BIGINT>,

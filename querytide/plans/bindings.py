@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_as_log(events: DataFrame) -> DataFrame:
-    """Events as a query log; `event_id` grows with time, so arrival order is its reverse."""
+def events_as_log(events: DataFrame, *extra: str) -> DataFrame:
+    """Events as a query log, with any extra columns; `event_id` grows with time, so arrival
+    order is its reverse."""
     reason = (
         F.when(F.col("event_type") == "error", "FilteredBlackList")
         .when(F.col("event_type") == "signup", "FilteredSafeSearch")
@@ -46,6 +47,7 @@ def events_as_log(events: DataFrame) -> DataFrame:
         F.when(blocked, F.concat(F.lit("||"), domain, F.lit("^"))).otherwise("").alias(
             "block_rule"
         ),
+        *extra,
     )
 
 

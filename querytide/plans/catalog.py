@@ -69,11 +69,8 @@ def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def log_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries with planted faults, counted by fault."""
-    events = b.table(spark, sf_dir, "events")
     value, kind = F.col("value"), F.col("event_type")
-    log = b.events_as_log(events).join(
-        events.select((-F.col("event_id")).alias("seq"), "value", "event_type"), "seq"
-    )
+    log = b.events_as_log(b.table(spark, sf_dir, "events"), "value", "event_type")
     raw = log.select(
         "network_id",
         "seq",

@@ -40,7 +40,8 @@ class ReportTables:
 
 def report_tables(dated_log: DataFrame, params: ReportParams = ReportParams()) -> ReportTables:
     """Scan the log once; sections then read the smallest table that has what they need."""
-    cube = write_and_read(traffic.rollup(traffic.as_traffic(dated_log, params)), "rollup")
+    rows = traffic.rollup(traffic.as_traffic(dated_log, params)).drop("oldest_key")
+    cube = write_and_read(rows, "rollup")
     return ReportTables(
         cube,
         write_and_read(traffic.client_totals(cube), "clients"),

@@ -53,14 +53,24 @@ def test_volume_is_final_and_late_rows_are_dropped(spark, paths):
 
 
 def test_alerts_follow_the_window(spark, paths):
-    days = [1, 2, 6, 7, 8, 12]
+    """The second domain's state expires while only the first one is seen."""
 
     def operator(log):
         return stream_novel_domains(log, 3)
 
-    for day in days:
-        out = deliver(log_of(spark, [datetime(2026, 5, day, 9)] * 50), paths, operator)
-    assert sorted(r.report_date.day for r in out.collect()) == [1, 6, 12]
+    def times(day):
+        return [datetime(2026, 5, day, 9)] * 50
+
+    for day in (1, 2, 6, 7, 8, 12, 20):
+        log = log_of(spark, times(day), domain="often")
+        if day in (1, 20):
+            log = log.union(log_of(spark, times(day), domain="rare"))
+        out = deliver(log, paths, operator)
+        states = spark.read.format("statestore").load(paths["state"]).count()
+        assert states == (1 if day in (8, 12) else 2)
+    assert sorted((r.domain, r.report_date.day) for r in out.collect()) == [
+        ("often", 1), ("often", 6), ("often", 12), ("often", 20), ("rare", 1), ("rare", 20),
+    ]
 
 
 def test_batches_give_the_state_of_a_batch_job(spark, paths):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from querytide.operators.devices import overlay_devices
 from querytide.schemas import DEVICE_SCHEMA, FINGERPRINT_SCHEMA, INTERCEPT_SCHEMA
@@ -47,6 +48,26 @@ def read_devices(spark: SparkSession, path: str, local_path: str | None = None)
     return overlay_devices(base, read_optional_json(spark, local_path, DEVICE_SCHEMA))
 
 
+def parse_counter_listing(lines: DataFrame) -> DataFrame:
+    """Captured firewall listings -> counter values.
+
+    The input has `network_id`, `sample_time` and one `line` of a listing with exact packet
+    and byte counters; lines that are not a DNS rule are headings or other rules.
+    """
+    rule = r"^\s*(\d+)\s+(\d+)\s.*\b(udp|tcp) dpt:53\b"
+
+    def part(group: int):
+        return F.regexp_extract("line", rule, group)
+
+    return lines.filter(F.col("line").rlike(rule)).select(
+        "network_id",
+        "sample_time",
+        part(3).alias("proto"),
+        part(1).cast("bigint").alias("packets"),
+        part(2).cast("bigint").alias("bytes"),
+    )
+
+
 def write_documents(docs: DataFrame, path: str, by_day: bool = False) -> None:
     """Write side-input documents; `by_day` makes one folder per report day, which a later
     run of that day replaces."""

@@ -169,6 +169,27 @@ def test_readings_become_daily_stats(spark):
     assert rows == {8: (30, 300), 9: (7, 70)}
 
 
+def test_firewall_listing(spark):
+    lines = [
+        "Chain REDIRECT_DNS (1 references)",
+        "    pkts      bytes target     prot opt in     out     source               destination",
+        "     120     8400 REDIRECT   17   --  *      *       0.0.0.0/0            0.0.0.0/0            udp dpt:53 redir ports 53",
+        "       3      180 REDIRECT   6    --  *      *       0.0.0.0/0            0.0.0.0/0            tcp dpt:53 redir ports 53",
+        "       9      999 RETURN     17   --  *      *       10.0.0.2             0.0.0.0/0            udp dpt:5353",
+        "",
+    ]
+    listing = spark.createDataFrame(
+        [("n", datetime(2026, 5, 8, 9), line) for line in lines],
+        "network_id string, sample_time timestamp_ntz, line string",
+    )
+    rows = side_inputs.parse_counter_listing(listing)
+    assert {(r.proto, r.packets, r.bytes) for r in rows.collect()} == {
+        ("udp", 120, 8400), ("tcp", 3, 180),
+    }
+    day = rows.withColumn("report_date", F.lit(DAY))
+    assert enforcement.intercept_stats(day).collect()[0].intercepted_queries == 123
+
+
 # Optional inputs.
 
 

@@ -12,13 +12,20 @@ from querytide.schemas import LOG_COLUMNS, LOG_SCHEMA
 
 
 def write_log(log: DataFrame, path: str, load: str) -> None:
-    """Add a load to the log. Repeating a load replaces its own rows and no others."""
+    """Add a load to the log. Repeating a load replaces its own rows and no others.
+
+    Writing by date sorts the rows anyway; sorting by network and time as well lets readers
+    skip row groups.
+    """
     dated = log.select(
         *LOG_COLUMNS, F.col("time").cast("date").alias("log_date"), F.lit(load).alias("load")
     )
-    dated.hint("rebalance", "log_date").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("log_date", "load").parquet(path)
+    ordered = dated.hint("rebalance", "log_date").sortWithinPartitions(
+        "log_date", "load", "network_id", "time"
+    )
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "log_date", "load"
+    ).parquet(path)
 
 
 def read_log(

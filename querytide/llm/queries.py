@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querytide.llm import bpe, packing
+from querytide.llm import bpe, packing, quality_classifier, quality_rules, secret_scan, simhash
 from querytide.llm.common import read_table
+from querytide.llm.exact_dedup import DigestIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +29,49 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, max_bits=2)
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return DigestIndex.scratch(spark).assign(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_exact_dedup"] = r"""
+    WITH digests AS (
+        SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+        FROM documents
+    )
+    SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id) = 1 AS kept, text_sha256
+    FROM digests WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+
+def _held_out() -> Column:
+    """True for the fifth of documents that models are judged on."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+@query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rules = quality_rules.learn_rules(docs, read_table(spark, sf_dir, "labels"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules.judge(docs, rules).select(*columns)
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    trees = quality_classifier.learn(docs, labels.filter(~_held_out()))
+    return quality_classifier.score(docs, trees).withColumn("held_out", _held_out())
+
+
+@query
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_digests(read_table(spark, sf_dir, "documents"))

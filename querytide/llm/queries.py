@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querytide.llm import bpe, packing, quality_classifier, quality_rules, secret_scan, simhash
+from querytide.llm import (
+    bpe,
+    language,
+    licenses,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    simhash,
+    url_filter,
+)
 from querytide.llm.common import read_table
 from querytide.llm.exact_dedup import DigestIndex
 
@@ -75,3 +85,29 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digests(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [
+        url_filter.Rule("org", "/", True),
+        url_filter.Rule("example.org", "/es/", False),
+        url_filter.Rule("example.org", "/en/1", False),
+        url_filter.Rule("com", "/fr/", True),
+        url_filter.Rule("com", "/de/", False),
+    ]
+    return url_filter.judge(read_table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.learn(docs.filter(~_held_out()))
+    return language.predict(docs, model).withColumn("held_out", _held_out())
+
+
+@query
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs, path)

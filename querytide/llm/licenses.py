@@ -91,16 +91,23 @@ def _lookup(weights: dict[str, float]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(t), F.lit(w)) for t, w in sorted(weights.items())))
 
 
-def _scored(line: Column, weight: dict[str, float], other: float) -> Column:
-    """The best (score, license) of a line over all sentences."""
-    words = terms(line)
+def _vector(words: Column, weight: dict[str, float], other: float) -> Column:
+    """The distinct terms of a line with their weights."""
     table = _lookup(weight)
-    vector = F.transform(
-        F.array_distinct(words),
-        lambda t: F.struct(
-            t.alias("term"), (F.size(F.filter(words, lambda w: w == t)) * F.coalesce(F.element_at(table, t), F.lit(other))).alias("weight")
-        ),
-    )
+
+    def weighed(term: Column) -> Column:
+        times = F.size(F.filter(words, lambda w: w == term))
+        return F.struct(term.alias("term"), (times * F.coalesce(F.element_at(table, term), F.lit(other))).alias("weight"))
+
+    return F.transform(F.array_distinct(words), weighed)
+
+
+def _product(sentence: Column):
+    return lambda v: v["weight"] * F.coalesce(F.element_at(sentence, v["term"]), F.lit(0.0))
+
+
+def _best(vector: Column, weight: dict[str, float]) -> Column:
+    """The best (score, license) of a line's vector over all sentences."""
 
     def total(value) -> Column:
         return F.aggregate(vector, F.lit(0.0), lambda s, v: s + value(v))
@@ -111,7 +118,7 @@ def _scored(line: Column, weight: dict[str, float], other: float) -> Column:
         own = {t: n * weight[t] for t, n in counted.items()}
         length = math.sqrt(sum(w * w for w in own.values()))
         sentence = _lookup(own)
-        dot = total(lambda v, s=sentence: v["weight"] * F.coalesce(F.element_at(s, v["term"]), F.lit(0.0)))
+        dot = total(_product(sentence))
         scores.append(F.struct(F.round(dot / norm / length, 9).alias("score"), F.lit(name).alias("license")))
     return F.array_max(F.array(*scores))
 
@@ -127,16 +134,18 @@ def scan(docs: DataFrame, path: Column, threshold: float = 0.8) -> DataFrame:
     `path` are not read, and an empty table gives an empty table.
     """
     weight, other = inverse_frequencies(docs)
-    vectors = [{t: n * weight[t] for t, n in counted.items()} for _, counted in _sentence_terms()]
-    anchors = F.array(*map(F.lit, sorted(_anchors(vectors, threshold))))
+    sentences = [{t: n * weight[t] for t, n in counted.items()} for _, counted in _sentence_terms()]
+    anchors = F.array(*map(F.lit, sorted(_anchors(sentences, threshold))))
     every = _lines(F.col("text").cast("string"))
     rows = docs.select(
         F.col("doc_id"),
         path.alias("path"),
         F.size(every).alias("lines"),
-        F.filter(every, lambda line: F.arrays_overlap(terms(line), anchors)).alias("anchored"),
+        F.filter(F.transform(every, terms), lambda words: F.arrays_overlap(words, anchors)).alias("anchored"),
     )
-    scored = rows.withColumn("scored", F.transform("anchored", lambda line: _scored(line, weight, other)))
+    # One bound variable after the other, so that no line is cut or weighed twice.
+    vectors = F.transform("anchored", lambda words: _vector(words, weight, other))
+    scored = rows.withColumn("scored", F.transform(vectors, lambda vector: _best(vector, weight)))
     matched = scored.withColumn("matched", F.filter("scored", lambda s: s["score"] >= threshold))
     found = write_and_read(
         matched.select(

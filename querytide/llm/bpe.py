@@ -167,7 +167,7 @@ class WordEncoder:
 
     def _contract_long(self) -> None:
         while True:
-            rows = self.con.execute("SELECT count(*) FROM start").fetchone()[0]
+            ((rows,),) = self.con.execute("SELECT count(*) FROM start").fetchall()
             if not rows:
                 return
             rounds = max(1, ROUND_ROWS // rows)

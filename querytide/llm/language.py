@@ -61,11 +61,12 @@ class Model:
         total = np.zeros((len(batch), len(self.languages)))
         data, lengths = _laid_out(batch)
         begins = np.cumsum(lengths) - lengths
-        for at, slots in _grams(data, self.params):
+        for at, slots in _grams(data, lengths, self.params):
             found = self.matrix[slots]
-            cut = np.searchsorted(at, begins)
-            sums = np.add.reduceat(np.concatenate((found, np.zeros((1, found.shape[1])))), cut, axis=0)
-            total += sums
+            edges = np.searchsorted(at, np.concatenate((begins, [len(data)])))
+            some = np.flatnonzero(np.diff(edges))
+            if len(some):
+                total[some] += np.add.reduceat(found, edges[some], axis=0)
         return total
 
 
@@ -79,22 +80,22 @@ def _laid_out(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.array([len(f) for f in framed], "i8")
 
 
-def _grams(data: np.ndarray, params: LanguageParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _grams(data: np.ndarray, lengths: np.ndarray, params: LanguageParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length, the positions where n-grams begin and their slots.
 
-    N-grams begin at every character but a space that a space follows, and may run into the
-    space before the next text, never beyond it into its first letters alone.
+    N-grams lie within one text; none begins at a space that a space or the end follows.
     """
-    useful = np.ones(len(data), bool)
-    useful[:-1] = ~((data[:-1] == 32) & (data[1:] == 32))
-    useful[-1:] = False
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    useful = data != 32
+    useful[:-1] |= data[1:] != 32
+    useful &= (data != 32) | (np.arange(len(data)) + 1 < ends)
     value = np.zeros(len(data), "u8")
     for length in range(1, params.longest + 1):
         n = len(data) - length + 1
         if n <= 0:
             return
         value = (value[:n] + data[length - 1 :]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(length)
-        at = np.flatnonzero(useful[:n])
+        at = np.flatnonzero(useful[:n] & (np.arange(n) + length <= ends[:n]))
         mixed = value[at]
         mixed = mixed ^ (mixed >> np.uint64(32))
         yield at, (mixed % np.uint64(params.slots)).astype("i8")
@@ -126,8 +127,7 @@ def learn(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
             for k, name in enumerate(languages):
                 chosen = [t for t, n in zip(texts(batch.column("text")), own) if n == name] if name in own else []
                 for run in slices(chosen, [len(t) for t in chosen], 500_000):
-                    data, _ = _laid_out(chosen[run])
-                    for _, at in _grams(data, params):
+                    for _, at in _grams(*_laid_out(chosen[run]), params):
                         table[k] += np.bincount(at, minlength=slots)
         flat = table.reshape(-1)
         at = np.flatnonzero(flat)

@@ -1,0 +1,79 @@
+from __future__ import annotations
+
+import hashlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from cases import ODD_TEXTS, SF_DIR, by_text, no_docs, odd_docs, table
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from querytide.llm import bpe, queries
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return tiktoken.Encoding(
+        "test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={}
+    )
+
+
+def digests(library, doc_id, text):
+    ids = library.encode_ordinary(text or "")
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    return doc_id, len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode())
+
+
+def test_query_equals_library(spark, library):
+    rows = [tuple(r) for r in queries.op2_byte_level_bpe(spark, SF_DIR).collect()]
+    assert sorted(rows) == sorted(digests(library, *row) for row in table("documents", "doc_id, text"))
+
+
+def test_odd_rows(spark, library):
+    rows = [tuple(r) for r in bpe.token_digests(odd_docs(spark)).collect()]
+    assert by_text(rows) == by_text([digests(library, *row) for row in ODD_TEXTS])
+    assert bpe.token_digests(no_docs(spark)).count() == 0
+
+
+def test_ids_and_bytes(spark, library):
+    docs = spark.createDataFrame([(1, "Some text, and  more\n"), (2, None)], "doc_id long, text string")
+    rows = {r["doc_id"]: (r["ids"], bytes(r["decoded"])) for r in bpe.encode_documents(docs).collect()}
+    text = "Some text, and  more\n"
+    assert rows == {1: (library.encode_ordinary(text), text.encode()), 2: ([], b"")}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab \n\t\x1c\x85\u00a0'sé日1!"), max_size=80), max_size=4))
+def test_any_text(library, batch):
+    encode = bpe.text_encoder(PATH, public_tokenizers.PATTERN)
+    for text, (ids, decoded) in zip(batch, encode(batch)):
+        assert [int(i) for i in ids.split()] == library.encode_ordinary(text)
+        assert decoded == text.encode()
+
+
+def test_long_words_resume_between_queries(library, monkeypatch):
+    monkeypatch.setattr(bpe, "ROUND_ROWS", 900)
+    encoder = bpe.WordEncoder(bpe.read_ranks(PATH))
+    words = ["abcabcabd" * 60, "a" * 301, "xyzzy" * 40, "short"]
+    for word, (ids, decoded) in zip(words, encoder.encode([w.encode() for w in words])):
+        assert [int(i) for i in ids.split()] == library.encode_ordinary(word)
+        assert decoded == word.encode()
+
+
+def test_every_token_is_reached_by_lower_merges(library):
+    """What lets a long word contract all places of its minimum rank at a time."""
+    ranks = bpe.read_ranks(PATH)
+    made: dict[int, int] = {}
+    for first, second, merged in bpe.merge_pairs(ranks):
+        made[merged] = min(made.get(merged, 1 << 60), max(first, second))
+    assert all(len(token) == 1 or made[rank] < rank for token, rank in ranks.items())
+    assert all(library._core_bpe.encode_single_piece(token) == [rank] for token, rank in ranks.items())
+
+
+def test_memory_starts_anew(library):
+    encode = bpe.text_encoder.__wrapped__(PATH, public_tokenizers.PATTERN, kept=3)
+    for text in ("one two three four", "five six one", "one"):
+        (found,) = encode([text])
+        assert [int(i) for i in found[0].split()] == library.encode_ordinary(text)

@@ -41,14 +41,19 @@ def _holds(x: np.ndarray, rule: Rule) -> np.ndarray:
     return held
 
 
-def _grow(x: np.ndarray, bad: np.ndarray, params: RuleParams) -> Rule:
-    """Add the condition of the greatest information gain until only bad documents are left."""
+def _grow(x: np.ndarray, bad: np.ndarray, first: str, params: RuleParams) -> Rule:
+    """Add the condition of the greatest information gain until only bad documents are left.
+
+    The first condition is on the feature `first`.
+    """
     rule: list[Condition] = []
     held = np.ones(len(x), bool)
-    while len(rule) < params.most_conditions and held.any() and not bad[held].all():
-        before = np.log2(max(bad[held].mean(), 1e-9))
+    while len(rule) < params.most_conditions and bad[held].any() and not bad[held].all():
+        before = np.log2(bad[held].mean())
         best, best_gain = None, 1e-6
         for k, name in enumerate(FEATURES):
+            if not rule and name != first:
+                continue
             values = x[held, k]
             for threshold in np.unique(np.quantile(values, np.linspace(0, 1, 65))):
                 for above in (True, False):
@@ -87,17 +92,24 @@ def _tighten(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
 
 
 def learn(x: np.ndarray, bad: np.ndarray, params: RuleParams = RuleParams()) -> list[Rule]:
-    """Rules in order; none if there are no bad documents, or none that a precise rule covers."""
+    """Rules in order; none if there are no bad documents, or none that a precise rule covers.
+
+    A rule is grown from each feature, and the one that covers most is taken.
+    """
     rules: list[Rule] = []
     part = np.arange(len(x)) % 3 == 2
     while len(rules) < params.most_rules and bad.any() and not bad.all():
-        rule = _prune(_grow(x[~part], bad[~part], params), x[part], bad[part])
-        if not rule:
-            break
-        held = _holds(x, rule)
-        if held.sum() < params.coverage or bad[held].mean() < params.precision:
+        found = []
+        for first in FEATURES:
+            rule = _prune(_grow(x[~part], bad[~part], first, params), x[part], bad[part])
+            if rule and (_holds(x, rule) & bad).any():
+                rule = _tighten(rule, x, bad)
+                held = _holds(x, rule)
+                if held.sum() >= params.coverage and bad[held].mean() >= params.precision:
+                    found.append((int(bad[held].sum()), rule))
+        if not found:
             break
-        rule = _tighten(rule, x, bad)
+        rule = max(found, key=lambda f: f[0])[1]
         held = _holds(x, rule)
         rules.append(rule)
         x, bad, part = x[~held], bad[~held], part[~held]

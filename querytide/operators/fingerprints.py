@@ -66,16 +66,15 @@ def fingerprint_snapshot(
     k: int = ReportParams.fingerprint_changes,
     page_size: int = ReportParams.page_size,
 ) -> DataFrame:
-    """One snapshot document per report, in pages when there are very many devices."""
-    profiles = device_profiles(fingerprints).withColumn(
-        "_day", F.unix_date(F.col("last_seen").cast("date"))
-    )
-    device_rows = paginate(profiles, DAY, "_day", "ip", page_size).select(
+    """One snapshot document per report and `page_size` devices, the newest ones first."""
+    newest = -F.unix_seconds(F.col("last_seen").cast("timestamp"))
+    device_rows = paginate(
+        device_profiles(fingerprints), DAY, [newest, F.col("ip")], page_size
+    ).select(
         *DAY,
         "page",
         F.struct(
-            (-F.unix_seconds(F.col("last_seen").cast("timestamp"))).alias("order"),
-            F.struct(*DEVICE_FIELDS).alias("entry"),
+            F.col("rank").alias("order"), F.struct(*DEVICE_FIELDS).alias("entry")
         ).alias("device_row"),
     )
     change_rows = latest_changes(changes, k).select(

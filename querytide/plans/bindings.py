@@ -78,8 +78,10 @@ def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_traffic(assign_report_days(lineitem_log(spark, sf_dir), BULK_PARAMS), BULK_PARAMS)
+def lineitem_traffic(
+    spark: SparkSession, sf_dir: str, params: ReportParams = BULK_PARAMS
+) -> DataFrame:
+    return as_traffic(assign_report_days(lineitem_log(spark, sf_dir), params), params)
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +94,10 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Midnight in UTC is before the start of these hours in winter and inside them in summer.
+DST_PARAMS = ReportParams(timezone="Europe/Berlin", off_hours_start="01:30")
+
+
 def base_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One market segment has no name, so that addresses without a device occur."""
     return _customers(spark, sf_dir).filter(F.col("c_mktsegment") != "HOUSEHOLD").select(
@@ -99,6 +105,16 @@ def base_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def named_twice(devices: DataFrame) -> DataFrame:
+    """A device map in which every address occurs under a second name as well."""
+    again = devices.withColumn("device", F.concat(F.lit("second "), F.col("device")))
+    return devices.unionByName(again)
+
+
+def all_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customers(spark, sf_dir).drop("c_mktsegment")
+
+
 def local_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _customers(spark, sf_dir).filter(F.col("c_mktsegment") == "BUILDING").select(
         "network_id", "ip", F.concat(F.lit("local "), F.col("device")).alias("device")
@@ -143,6 +159,24 @@ def counter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def counter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of firewall listings: rules of either protocol, other rules, headings."""
+    kind = F.col("event_type")
+    packets, volume = F.floor("value"), F.floor(F.col("value") * 100)
+    numbers = F.concat_ws(" ", F.lit("  "), packets.cast("string"), volume.cast("string"))
+    line = (
+        F.when(kind == "view", F.concat(numbers, F.lit(" REDIRECT udp -- any any udp dpt:53 redir")))
+        .when(kind == "click", F.concat(numbers, F.lit(" REDIRECT tcp -- any any tcp dpt:53 redir")))
+        .when(kind == "error", F.concat(numbers, F.lit(" ACCEPT tcp -- any any tcp dpt:443")))
+        .otherwise(F.lit("Chain PREROUTING (policy ACCEPT)"))
+    )
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("net"), (F.col("user_id") % 3).cast("string")).alias("network_id"),
+        F.col("ts").alias("sample_time"),
+        line.alias("line"),
+    )
+
+
 def counter_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as readings of counters that are often reset."""
     return table(spark, sf_dir, "events").select(

@@ -27,15 +27,19 @@ def run_report(
     snapshots: DataFrame | None = None,
     networks: DataFrame | None = None,
     packet_path: str | None = None,
+    trial: bool = False,
 ) -> DataFrame:
-    """One report date for all networks in the log.
+    """One report date for all networks in the log, or for the listed ones.
 
     State is read only for days before the report date, so a repeated run finds the same
-    new domains and the same baseline. `networks` lists networks that must get a packet
-    even when their log is empty.
+    new domains and the same baseline. Listed networks get a packet even when their log is
+    empty, and only their packets and state are replaced. A trial run records no state.
     """
     pin_utc(log.sparkSession)
     day = F.lit(report_date.isoformat()).cast("date")
+    if networks is not None:
+        networks = networks.select("network_id").distinct()
+        log = log.join(networks, "network_id", "left_semi")
     tables = report_tables(single_report(log, now, day, params), params)
     novel = novelty.novel_against_state(
         tables.sightings(),
@@ -54,7 +58,7 @@ def run_report(
     calendar = (
         None
         if networks is None
-        else networks.select("network_id").distinct().withColumn("report_date", day)
+        else networks.withColumn("report_date", day)
     )
     packets = write_and_read(
         evidence_packets(
@@ -71,6 +75,7 @@ def run_report(
     )
     if packet_path is not None:
         write_packets(packets, packet_path)
-    state.record_domains(tables.sightings(), report_date)
-    state.record_volume(tables.volumes())
+    if not trial:
+        state.record_domains(tables.sightings(), calendar)
+        state.record_volume(tables.volumes(), calendar)
     return packets

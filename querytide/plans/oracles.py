@@ -76,12 +76,12 @@ FROM (SELECT network_id, report_date, client, COUNT(*) AS total,
 LEFT JOIN devices v ON v.network_id = t.network_id AND v.ip = t.client"""
 
 
-def quiet(start_shift: int, start: str, end: str) -> str:
+def quiet(start_shift: int, start: str, end: str, zone: str = "America/Phoenix") -> str:
     """Rows between two local times, the start on the report date or some days before."""
 
     def instant(day: str, clock: str) -> str:
         wall = f"CAST({day} AS TIMESTAMP) + INTERVAL '{clock}'"
-        return f"timezone('UTC', timezone('America/Phoenix', {wall}))"
+        return f"timezone('UTC', timezone('{zone}', {wall}))"
 
     return f"""
 quiet AS (
@@ -94,6 +94,8 @@ QUIET = quiet(0, "1 hour", "5 hours")
 QUIET_WRAPPED = quiet(1, "22 hours", "5 hours")
 QUIET_BULK = quiet(1, "16 hours", "5 hours")
 
+QUIET_DST = quiet(0, "90 minutes", "5 hours", "Europe/Berlin")
+
 QUIET_TOP = """
 SELECT network_id, report_date, client, domain, COUNT(*) AS count, bool_or(blocked) AS blocked,
        strftime(timezone('America/Phoenix', timezone('UTC', MIN(time))), '%H:%M') AS first_seen_local,
@@ -218,6 +220,16 @@ LEFT JOIN (SELECT network_id, report_date, COUNT(*) AS quiet_total FROM quiet GR
 {_section("anomalies", "abs(z_score) DESC, client", "client", "anomaly", "anomaly_first")}
 {_section("blocked", "rank", "rule", "blocked", "blocked_first_rule")}"""
 
+PLACES = """
+, places AS (
+  SELECT network_id, report_date, 'per_client' AS list, client AS name, -total AS weight FROM clients
+  UNION ALL SELECT network_id, report_date, 'by_device', client, -total FROM quiet_devices
+  UNION ALL SELECT network_id, report_date, 'new_domains', domain, -count FROM new_domains
+  UNION ALL SELECT network_id, report_date, 'volume_anomalies', client, -abs(z_score) FROM anomalies)
+SELECT network_id, report_date, list, name,
+       row_number() OVER (PARTITION BY network_id, report_date, list ORDER BY weight, name) - 1 AS place
+FROM places"""
+
 HEADLINE = """
 , numbers AS (
   SELECT network_id, report_date, COALESCE(total_queries, 0) AS total_queries, total_blocked,
@@ -236,7 +248,7 @@ FROM numbers"""
 ARCHIVE = f"""{DATED}, totals AS ({SUMMARY}),
 reports AS (
   SELECT network_id, report_date,
-         CASE WHEN {NO_DAY} THEN 'draft ' ELSE 'final ' END || date || ': ' || total_queries AS report
+         CASE WHEN {NO_DAY} OR network_id = 'net1' THEN 'draft ' ELSE 'final ' END || date || ': ' || total_queries AS report
   FROM totals)"""
 
 ORDER_DEVICES = """
@@ -246,7 +258,10 @@ seen AS (
   FROM orders)"""
 
 ORACLES: dict[str, str] = {
-    "log_parse": with_(LOG, " SELECT * EXCLUDE (seq) FROM log"),
+    "log_parse": with_(
+        LOG,
+        " SELECT * REPLACE ((4102444800000000 - epoch_us(time)) * 1000 AS seq) FROM log",
+    ),
     "log_rejects": """
 WITH faults AS (
   SELECT 'net' || (user_id % 3) AS network_id,
@@ -258,7 +273,17 @@ WITH faults AS (
   FROM events)
 SELECT network_id, reject_reason, COUNT(*) AS entries FROM faults
 WHERE reject_reason IS NOT NULL GROUP BY ALL""",
-    "pages_concat": with_(LOG, " SELECT * EXCLUDE (seq) FROM log"),
+    "pages_concat": with_(
+        LOG,
+        """
+, placed AS (
+  SELECT *, row_number() OVER page - 1 AS place,
+         last_value(time) OVER (page ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS oldest
+  FROM log WINDOW page AS (PARTITION BY network_id, floor(seq / 1000) ORDER BY seq))
+SELECT * EXCLUDE (place, oldest)
+         REPLACE ((4102444800000000 - epoch_us(oldest)) * 1000 + place AS seq)
+FROM placed""",
+    ),
     "trailing_window": with_(
         LOG, " SELECT * FROM log WHERE time >= TIMESTAMP '2024-01-19 15:00:00'"
     ),
@@ -267,6 +292,12 @@ WHERE reject_reason IS NOT NULL GROUP BY ALL""",
         """
 SELECT * FROM log
 WHERE time >= TIMESTAMP '2024-01-19 15:00:00' AND time < TIMESTAMP '2024-01-20 15:00:00'""",
+    ),
+    "log_reload": with_(
+        LOG,
+        """
+SELECT * FROM log WHERE time < TIMESTAMP '2024-01-20 15:00:00'
+UNION ALL SELECT * FROM log WHERE blocked""",
     ),
     "report_windows": with_(
         LOG,
@@ -286,6 +317,14 @@ GROUP BY ALL""",
     "top_domains": with_(DATED, TOP),
     "blocked_domains": with_(DATED, BLOCKED),
     "per_client": with_(DATED, DEVICES, CLIENTS),
+    "per_client_named_twice": with_(DATED, DEVICES, CLIENTS),
+    "summary_approx": with_(
+        DATED,
+        """
+SELECT network_id, report_date, COUNT(*) AS total_queries,
+       CAST(SUM(CAST(blocked AS INT)) AS BIGINT) AS total_blocked, TRUE AS clients, TRUE AS domains
+FROM dated GROUP BY network_id, report_date""",
+    ),
     "client_top_domains": with_(DATED, CLIENT_TOP),
     "off_hours_domains": with_(DATED, QUIET, QUIET_TOP),
     "off_hours_devices": with_(DATED, QUIET, DEVICES, QUIET_DEVICES),
@@ -295,6 +334,7 @@ GROUP BY ALL""",
         " SELECT network_id, report_date, COUNT(*) AS total_queries FROM quiet GROUP BY ALL",
     ),
     "off_hours_wrap": with_(DATED, QUIET_WRAPPED, QUIET_TOP),
+    "off_hours_dst": with_(BULK, QUIET_DST, QUIET_TOP.replace("America/Phoenix", "Europe/Berlin")),
     "novel_domains": with_(DATED, novel(7), " SELECT network_id, report_date, domain FROM novel"),
     "novel_vs_state": with_(
         DATED,
@@ -308,6 +348,30 @@ GROUP BY ALL""",
         """
 SELECT network_id, domain, MIN(report_date) AS first_seen, MAX(report_date) AS last_seen
 FROM dated GROUP BY ALL""",
+    ),
+    "state_per_network": with_(
+        DATED,
+        """
+, kept AS (SELECT * FROM dated WHERE network_id <> 'net0' OR blocked)
+SELECT network_id, domain AS name, MIN(report_date) AS first_seen, MAX(report_date) AS last_seen,
+       NULL::BIGINT AS queries
+FROM kept GROUP BY ALL
+UNION ALL
+SELECT network_id, client, MIN(report_date), MAX(report_date), COUNT(*) FROM kept GROUP BY ALL""",
+    ),
+    "known_domains_late_rerun": with_(
+        DATED,
+        f"""
+SELECT network_id, domain, MIN(report_date) AS first_seen, MAX(report_date) AS last_seen
+FROM dated WHERE {NO_DAY} GROUP BY ALL""",
+    ),
+    "daily_volume_merge": with_(
+        DATED,
+        f"""
+SELECT network_id, report_date, client,
+       CASE WHEN bool_or(blocked AND NOT ({NO_DAY})) THEN COUNT(*) FILTER (WHERE blocked)
+            ELSE COUNT(*) FILTER (WHERE NOT blocked) END AS query_count
+FROM dated GROUP BY ALL HAVING query_count > 0""",
     ),
     "daily_volume": with_(DATED, VOLUMES, " SELECT * FROM volumes"),
     "daily_volume_upsert": with_(
@@ -347,7 +411,7 @@ GROUP BY ALL""",
     "device_overlay": """
 SELECT 'net' || (c_custkey % 3) AS network_id, '10.0.0.' || c_custkey AS ip,
        CASE c_mktsegment WHEN 'BUILDING' THEN 'local ' || c_name ELSE c_name END AS device
-FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'""",
+FROM customer""",
     "intercept_counters": """
 WITH sums AS (
   SELECT 'site' || (l_suppkey % 3) AS network_id, CAST(l_shipdate AS DATE) AS report_date,
@@ -358,7 +422,13 @@ WITH sums AS (
          CAST(COALESCE(SUM(floor(l_quantity)) FILTER (WHERE l_linestatus <> 'O'), 0) AS BIGINT)
            AS tcp_queries
   FROM lineitem GROUP BY ALL)
-SELECT * FROM sums WHERE intercepted_queries <> 0""",
+SELECT *, 'Queries sent past the local resolver to fixed public ones and redirected back to it.' AS note
+FROM sums WHERE intercepted_queries <> 0""",
+    "counter_listing": """
+SELECT 'net' || (user_id % 3) AS network_id, ts AS sample_time,
+       CASE event_type WHEN 'view' THEN 'udp' ELSE 'tcp' END AS proto,
+       CAST(floor(value) AS BIGINT) AS packets, CAST(floor(value * 100) AS BIGINT) AS bytes
+FROM events WHERE event_type IN ('view', 'click')""",
     "counter_delta": """
 WITH readings AS (
   SELECT 'net' || (user_id % 3) AS network_id, event_type AS proto, ts AS sample_time,
@@ -394,6 +464,30 @@ SELECT network_id, report_date, ip, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') A
        CAST(row_number() OVER (PARTITION BY network_id, report_date
          ORDER BY o_orderdate DESC, ip, o_orderstatus, o_orderpriority) AS INT) AS rank
 FROM seen QUALIFY rank <= 20""",
+    ),
+    "fingerprint_change_labels": with_(
+        ORDER_DEVICES,
+        DEVICES,
+        """
+, ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY network_id, report_date
+              ORDER BY o_orderdate DESC, ip, o_orderstatus, o_orderpriority) AS INT) AS rank
+  FROM seen QUALIFY rank <= 20)
+SELECT r.network_id, report_date, r.ip, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS detected_at,
+       o_orderstatus AS previous_os, o_orderpriority AS current_os, rank,
+       COALESCE(device, r.ip) AS device,
+       'System names are guessed from passive traffic fingerprints. A change of system can be '
+       || 'an update, a reused address or something to look into.' AS note
+FROM ranked r LEFT JOIN devices v ON v.network_id = r.network_id AND v.ip = r.ip""",
+    ),
+    "fingerprint_pages": with_(
+        DATED,
+        """
+, spans AS (SELECT network_id, report_date, client AS ip, MAX(time) AS seen FROM dated GROUP BY ALL)
+SELECT network_id, report_date, ip, strftime(seen, '%Y-%m-%dT%H:%M:%S') AS last_seen,
+       row_number() OVER (PARTITION BY network_id, report_date
+                          ORDER BY date_trunc('second', seen) DESC, ip) - 1 AS place
+FROM spans""",
     ),
     "headline_stats": with_(PACKET_PARTS, HEADLINE),
     "packet_sections": with_(PACKET_PARTS, PACKET_SECTIONS),
@@ -402,6 +496,16 @@ FROM seen QUALIFY rank <= 20""",
         """
 SELECT network_id, report_date, client, device, total, blocked, rank, domain, count
 FROM client_top JOIN clients USING (network_id, report_date, client)""",
+    ),
+    "packet_lists_ranked": with_(PACKET_PARTS, PLACES),
+    "packet_pages": with_(PACKET_PARTS, PLACES),
+    "packet_off_hours_lists": with_(
+        PACKET_PARTS,
+        f"""
+, quiet_top AS ({QUIET_TOP})
+SELECT network_id, report_date, client, device, total, rank, domain, count, blocked,
+       first_seen_local, last_seen_local
+FROM quiet_top JOIN quiet_devices USING (network_id, report_date, client)""",
     ),
     "packet_roundtrip": with_(
         PACKET_PARTS,
@@ -424,6 +528,23 @@ UNION ALL SELECT network_id, report_date, 'anomaly', client, today_count
 FROM anomalies WHERE report_date = DATE '2024-01-20'
 UNION ALL SELECT network_id, report_date, 'total', '', total_queries
 FROM totals WHERE report_date = DATE '2024-01-20'""",
+    ),
+    "job_daily": with_(
+        DATED,
+        VOLUMES,
+        """
+, run AS (
+  SELECT client, COUNT(*) AS n FROM log
+  WHERE network_id = 'net0' AND time >= TIMESTAMP '2024-01-18 15:00:00'
+    AND time < TIMESTAMP '2024-01-20 15:00:00' GROUP BY ALL)
+SELECT 'net0' AS network_id, 'packet' AS kind, CAST(SUM(n) AS BIGINT) AS queries FROM run
+UNION ALL SELECT 'silent', 'packet', 0
+UNION ALL
+SELECT network_id, 'state', CAST(SUM(query_count) AS BIGINT) FROM (
+  SELECT network_id, query_count FROM volumes
+  WHERE network_id <> 'net0' OR report_date <> DATE '2024-01-20'
+  UNION ALL SELECT 'net0', n FROM run)
+GROUP BY network_id""",
     ),
     "packet_side_sections": with_(
         DATED,
@@ -519,6 +640,21 @@ FROM reports""",
 SELECT * FROM volumes
 WHERE report_date + INTERVAL 15 HOURS <= (SELECT MAX(time) - INTERVAL 1 HOUR FROM log)""",
     ),
+    "stream_volume_48h": with_(
+        DATED,
+        """
+, runs AS (
+  SELECT network_id, CAST(unnest(generate_series(
+           (SELECT MIN(report_date) FROM dated), (SELECT MAX(report_date) + 1 FROM dated),
+           INTERVAL 1 DAY)) AS DATE) AS report_date
+  FROM (SELECT DISTINCT network_id FROM log))
+SELECT r.network_id, report_date, client, COUNT(*) AS query_count
+FROM runs r JOIN log l ON l.network_id = r.network_id
+ AND l.time < report_date + INTERVAL 15 HOURS AND l.time >= report_date - INTERVAL 33 HOURS
+WHERE report_date + INTERVAL 15 HOURS <= (SELECT MAX(time) - INTERVAL 1 HOUR FROM log)
+GROUP BY ALL""",
+    ),
+    "stream_late_volume": with_(DATED, VOLUMES, " SELECT * FROM volumes"),
     "stream_novel_domains": with_(
         DATED, novel(7), " SELECT network_id, report_date, domain FROM novel"
     ),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -55,9 +56,16 @@ def backfill_packets(
     devices: DataFrame | None = None,
     intercepts: DataFrame | None = None,
     snapshots: DataFrame | None = None,
-    calendar: DataFrame | None = None,
+    span: tuple[date, date] | None = None,
 ) -> DataFrame:
-    """Packets of every report day in a log, with state taken from the log's own history."""
+    """Packets of every report day in a log, with state taken from the log's own history.
+
+    `span` gives the first and the last report date; without it every network's own first and
+    last day count, which rows with wrong clocks may stretch.
+    """
+    first, last = (F.lit(d) for d in span) if span else (None, None)
+    if span:
+        dated_log = dated_log.filter(F.col("report_date").between(first, last))
     tables = report_tables(dated_log, params)
     return assemble(
         tables,
@@ -67,7 +75,7 @@ def backfill_packets(
         devices,
         intercepts,
         snapshots,
-        report_calendar(tables.clients) if calendar is None else calendar,
+        report_calendar(tables.clients, first, last),
     )
 
 
@@ -106,9 +114,9 @@ def assemble(
 ) -> DataFrame:
     """Bring all section rows together with one grouping instead of one join per section.
 
-    Lists without a limit are paged, so no packet row grows with the size of a network:
-    page 0 has everything for a network of ordinary size, further pages carry the rest of
-    the long lists.
+    Lists without a limit are paged by exact rank, so no packet row grows with the size of a
+    network: page 0 has the first `page_size` entries of each, and the pages put together are the
+    whole lists in order.
     """
     first_page = F.lit(0).cast("bigint").alias("page")
 
@@ -119,14 +127,15 @@ def assemble(
         return rows.select(*DAY, first_page, F.struct(*fields).alias(name))
 
     def unlimited(
-        rows: DataFrame, name: str, weight: Column, key: str, order: list[Column], entry: Column
+        rows: DataFrame, name: str, weight: Column, key: str, entry: Column
     ) -> DataFrame:
+        """A list without a limit, the largest weight first, then by key."""
         return rows.select(
             *DAY,
             F.lit(name).alias("list"),
-            weight.cast("bigint").alias("weight"),
+            weight.cast("double").alias("weight"),
             F.col(key).alias("key"),
-            F.struct(*order, entry.alias("entry")).alias(name),
+            entry.alias(name),
         )
 
     cube = tables.cube
@@ -153,7 +162,6 @@ def assemble(
                 "per_client",
                 F.col("total"),
                 "client",
-                [-F.col("total"), F.col("client")],
                 F.struct("client", "device", "total", "blocked", "top_domains"),
             ),
             unlimited(
@@ -161,7 +169,6 @@ def assemble(
                 "by_device",
                 F.col("total"),
                 "client",
-                [-F.col("total"), F.col("client")],
                 F.struct("device", "client", "total", "top_domains"),
             ),
             unlimited(
@@ -169,15 +176,13 @@ def assemble(
                 "new_domains",
                 F.col("count"),
                 "domain",
-                [-F.col("count"), F.col("domain")],
                 F.struct("domain", "count", "first_client"),
             ),
             unlimited(
                 anomalies,
                 "volume_anomalies",
-                F.floor(F.log1p(F.abs("z_score")) * 64),
+                F.abs("z_score"),
                 "client",
-                [-F.abs("z_score"), F.col("client")],
                 F.struct(
                     "client",
                     "device",
@@ -190,16 +195,15 @@ def assemble(
             ),
         ]
     )
-    lists = write_and_read(long_lists, "lists")
-    quiet_totals = (
-        lists.filter(F.col("list") == "by_device")
-        .groupBy(*DAY)
-        .agg(F.sum("weight").alias("total_queries"))
+    paged = paginate(
+        long_lists, (*DAY, "list"), [-F.col("weight"), F.col("key")], params.page_size
     )
+    for name in ("per_client", "by_device", "new_domains", "volume_anomalies"):
+        row = F.struct(F.col("rank"), F.col(name).alias("entry"))
+        paged = paged.withColumn(name, F.when(F.col("list") == name, row))
+    quiet_totals = traffic.off_hours_totals(cube)
     sections = [
-        paginate(lists, (*DAY, "list"), "weight", "key", params.page_size).drop(
-            "list", "weight", "key"
-        ),
+        paged.drop("list", "weight", "key", "rank"),
         single(totals, "summary", "total_queries", "unique_clients", "total_blocked"),
         single(
             tables.domains.groupBy(*DAY).agg(F.count("*").alias("unique_domains")),

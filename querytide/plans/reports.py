@@ -11,6 +11,12 @@ from querytide.params import DAY, ReportParams
 from querytide.sources.archive import read_dated_files, write_reports
 
 
+PROMPT_SCHEMA = (
+    "network_id STRING, page BIGINT, messages ARRAY<STRUCT<role: STRING, content: STRING>>, "
+    "response_id STRING, report_date DATE"
+)
+
+
 def numbered_prompts(packets: DataFrame, params: ReportParams = ReportParams()) -> DataFrame:
     """Prompts with the id under which their response events must come back."""
     return prompts(packets, params).withColumn(

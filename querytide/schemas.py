@@ -31,6 +31,8 @@ LOG_COLUMNS = tuple(line.split()[0] for line in LOG_SCHEMA.strip().splitlines())
 
 KNOWN_DOMAINS_SCHEMA = "network_id STRING, domain STRING, first_seen DATE, last_seen DATE"
 
+SIGHTING_SCHEMA = "network_id STRING, domain STRING, report_date DATE"
+
 DAILY_VOLUME_SCHEMA = (
     "network_id STRING, client STRING, query_count BIGINT, report_date DATE"
 )

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from querytide.sources.files import delete_folder
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
@@ -48,7 +50,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; never reused, so no run can see another's files."""
-    return f"{shared_dir(spark)}/querytide/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/querytide/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application has written to the shared folder for its own use.
+
+    For jobs, once their results are written; frames that read such tables are void then.
+    """
+    delete_folder(spark, _scratch(spark))
 
 
 def write_and_read(df: DataFrame, label: str) -> DataFrame:

@@ -9,13 +9,14 @@ from querytide.functions.scalar import long_date, storage_key
 from querytide.operators.messages import packet_json
 from querytide.params import DAY
 from querytide.schemas import PACKET_STRUCT
-from querytide.sources.state_tables import replace_days
+from querytide.sources.day_tables import read_days, replace_days
 
 REPORT_SCHEMA = "network_id STRING, page BIGINT, report STRING, report_date DATE"
+PACKET_SCHEMA = f"network_id STRING, page BIGINT, packet {PACKET_STRUCT}, report_date DATE"
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """Archive report texts; writing a date again replaces it.
+    """Archive report texts; writing a network's date again replaces it.
 
     Reports of very large networks come in pages; others have the single page 0.
     """
@@ -25,11 +26,12 @@ def write_reports(reports: DataFrame, path: str) -> None:
             "network_id", page.cast("bigint").alias("page"), "report", "report_date"
         ),
         path,
+        REPORT_SCHEMA,
     )
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REPORT_SCHEMA).parquet(path)
+    return read_days(spark, path, REPORT_SCHEMA)
 
 
 def latest_reports(reports: DataFrame) -> DataFrame:
@@ -81,13 +83,13 @@ def dated_file_index(spark: SparkSession, path: str, suffix: str = "md") -> Data
 
 
 def write_packets(packets: DataFrame, path: str) -> None:
-    """Packets as JSON lines in one folder per report date."""
-    replace_days(packets.select("network_id", "page", "packet", "report_date"), path, "json")
+    """Packets as JSON lines by report date."""
+    rows = packets.select("network_id", "page", "packet", "report_date")
+    replace_days(rows, path, PACKET_SCHEMA, file_format="json")
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    schema = f"network_id STRING, page BIGINT, packet {PACKET_STRUCT}, report_date DATE"
-    return spark.read.schema(schema).json(path)
+    return read_days(spark, path, PACKET_SCHEMA, "json")
 
 
 def packet_documents(packets: DataFrame) -> DataFrame:

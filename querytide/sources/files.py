@@ -21,3 +21,8 @@ def finished_folders(spark: SparkSession, root: str) -> list[str]:
     marker = spark._jvm.org.apache.hadoop.fs.Path(root, "*/_SUCCESS")
     _, fs = _file_system(spark, root)
     return sorted(str(s.getPath().getParent().getName()) for s in fs.globStatus(marker) or [])
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    hadoop_path, fs = _file_system(spark, path)
+    fs.delete(hadoop_path, True)

@@ -1,4 +1,4 @@
-"""The parsed log as Parquet by UTC date, so that a report reads only its own days."""
+"""The parsed log as Parquet by load and UTC date, so that a report reads only its own days."""
 
 from __future__ import annotations
 
@@ -12,20 +12,19 @@ from querytide.schemas import LOG_COLUMNS, LOG_SCHEMA
 
 
 def write_log(log: DataFrame, path: str, load: str) -> None:
-    """Add a load to the log. Repeating a load replaces its own rows and no others.
+    """Add a load to the log. Repeating a load replaces its own rows whole and no others.
 
-    Writing by date sorts the rows anyway; sorting by network and time as well lets readers
-    skip row groups.
+    A load is a folder of its own, so dates that a repeated load no longer has are gone. Writing
+    by date sorts the rows anyway; sorting by network and time as well lets readers skip row
+    groups.
     """
-    dated = log.select(
-        *LOG_COLUMNS, F.col("time").cast("date").alias("log_date"), F.lit(load).alias("load")
-    )
+    dated = log.select(*LOG_COLUMNS, F.col("time").cast("date").alias("log_date"))
     ordered = dated.hint("rebalance", "log_date").sortWithinPartitions(
-        "log_date", "load", "network_id", "time"
+        "log_date", "network_id", "time"
+    )
+    ordered.write.mode("overwrite").partitionBy("log_date").parquet(
+        f"{path.rstrip('/')}/load={load}"
     )
-    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "log_date", "load"
-    ).parquet(path)
 
 
 def read_log(

@@ -11,6 +11,10 @@ from querytide.functions.scalar import is_blocked, normalised_domain, or_empty,
 from querytide.params import BLOCKED_REASONS
 from querytide.schemas import LOG_COLUMNS, PAGE_SCHEMA
 
+#: 2100-01-01, from which the age of pages is counted, and the places of a page.
+LAST_MICROSECOND = 4_102_444_800_000_000
+PAGE_PLACES = 1000
+
 
 def read_pages(
     spark: SparkSession,
@@ -37,7 +41,10 @@ def read_pages(
     network = F.col(network_id) if isinstance(network_id, str) else network_id
     return _unwrap(
         pages.select(
-            network.alias("network_id"), F.col("_corrupt_record").alias("raw_page"), "data"
+            network.alias("network_id"),
+            F.col("_corrupt_record").alias("raw_page"),
+            "oldest",
+            "data",
         )
     )
 
@@ -51,26 +58,41 @@ def pages_from_text(captured: DataFrame, column: str = "page") -> DataFrame:
     )
     return _unwrap(
         captured.select("network_id", parsed.alias("_page")).select(
-            "network_id", F.col("_page._corrupt_record").alias("raw_page"), "_page.data"
+            "network_id",
+            F.col("_page._corrupt_record").alias("raw_page"),
+            "_page.oldest",
+            "_page.data",
         )
     )
 
 
 def _unwrap(pages: DataFrame) -> DataFrame:
-    """One row per entry, numbered in arrival order within its page.
+    """One row per entry, numbered so that `seq` grows from the newest entry to the oldest.
+
+    A page's entries follow those of all pages whose oldest entry is newer, to the microsecond;
+    within a page their places count, up to a thousand of them. Without its own statement the
+    time of a page's last entry tells how old it is. Numbering needs no look at other pages.
 
     The explode also keeps later filters from being pushed into the JSON parser, which would
     parse every page twice.
     """
     unreadable = F.col("raw_page").isNotNull()
     missing = F.array(F.lit(None).cast(pages.schema["data"].dataType.elementType))
+    oldest = F.coalesce(
+        utc_time(F.col("oldest")), utc_time(F.try_element_at("data", F.lit(-1))["time"])
+    )
+    age = F.lit(LAST_MICROSECOND) - F.unix_micros(oldest.cast("timestamp"))
     entries = pages.select(
         "network_id",
         "raw_page",
-        F.posexplode(F.when(unreadable, missing).otherwise(F.col("data"))).alias("seq", "entry"),
+        F.coalesce(age, F.lit(0)).alias("_age"),
+        F.posexplode(F.when(unreadable, missing).otherwise(F.col("data"))).alias("_place", "entry"),
     )
     return entries.select(
-        "network_id", F.col("seq").cast("bigint").alias("seq"), "raw_page", "entry.*"
+        "network_id",
+        (F.col("_age") * PAGE_PLACES + F.col("_place")).cast("bigint").alias("seq"),
+        "raw_page",
+        "entry.*",
     )
 
 

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from querytide.operators.devices import overlay_devices
 from querytide.schemas import DEVICE_SCHEMA, FINGERPRINT_SCHEMA, INTERCEPT_SCHEMA
 from querytide.sources.files import path_exists
-from querytide.sources.state_tables import replace_days
+from querytide.sources.day_tables import replace_days
 
 logger = logging.getLogger(__name__)
 
+#: Unreadable files named in warnings, at most.
+WARNINGS = 20
+
 
 def read_optional_json(
     spark: SparkSession, path: str, schema: str, layout: str = "lines"
@@ -21,13 +24,30 @@ def read_optional_json(
     """JSON documents under a path; no rows and a warning when there is nothing to read.
 
     `layout="lines"` is what `write_documents` writes, `layout="documents"` one indented
-    document per file. Documents that are not JSON come back with NULL fields, which the
-    gates drop.
+    document per file. Documents that are not JSON are left out; the files they come from are named in a warning.
     """
     if not path_exists(spark, path):
         logger.warning("optional input not found: %s", path)
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", layout == "documents").json(path)
+    multi_line = layout == "documents"
+    checked = (
+        spark.read.schema(f"{schema}, _unreadable STRING")
+        .option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", "_unreadable")
+        .json(path)
+    )
+    # The largest row has the unreadable text if there is one; the other columns are taken along
+    # because Spark does not read the corrupt ones alone.
+    others = [name for name in checked.columns if name != "_unreadable"]
+    largest = F.max(F.struct("_unreadable", *others)).alias("largest")
+    broken = (
+        checked.groupBy(F.col("_metadata.file_path").alias("file"))
+        .agg(largest)
+        .filter("largest._unreadable IS NOT NULL")
+    )
+    for row in broken.select("file").orderBy("file").limit(WARNINGS).collect():
+        logger.warning("optional input cannot be read: %s", row.file)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def read_intercept_stats(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
@@ -68,10 +88,10 @@ def parse_counter_listing(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_documents(docs: DataFrame, path: str, by_day: bool = False) -> None:
-    """Write side-input documents; `by_day` makes one folder per report day, which a later
-    run of that day replaces."""
-    if by_day:
-        replace_days(docs, path, "json")
+def write_documents(docs: DataFrame, path: str, schema: str | None = None) -> None:
+    """Write side-input documents; with a schema by report day, of which a later run replaces
+    its own networks and dates."""
+    if schema is not None:
+        replace_days(docs, path, schema, file_format="json")
     else:
         docs.write.mode("overwrite").json(path)

@@ -1,97 +1,79 @@
-"""Cross-day state as Parquet: known domains and daily volumes.
+"""Cross-day state as Parquet: which domains each report saw, and daily volumes.
 
-Known domains are kept as one complete snapshot folder per report date. A run reads the
-newest snapshot older than its date and writes its own, so no folder is read and replaced
-by the same job and a repeated run gives the same result. Daily volumes are partitioned by
-report date and a run replaces its own date.
+Both tables hold one entry per report, and a run replaces its own reports only. What is known on
+a date is derived from the days before it, so a late or repeated run of an older day counts from
+then on, and networks can be run apart.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querytide.operators.novelty import known_within, upsert_known_domains
 from querytide.operators.volume import upsert_daily_volume
-from querytide.params import ReportParams
-from querytide.schemas import DAILY_VOLUME_SCHEMA, KNOWN_DOMAINS_SCHEMA
-from querytide.session import write_and_read
-from querytide.sources.files import finished_folders, path_exists
+from querytide.params import DAY, ReportParams
+from querytide.schemas import DAILY_VOLUME_SCHEMA, SIGHTING_SCHEMA
+from querytide.sources.day_tables import read_days, replace_days
 
 
 class StateTables:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self._spark = spark
-        self._known = f"{root.rstrip('/')}/known_domains"
+        self._sightings = f"{root.rstrip('/')}/sightings"
         self._volumes = f"{root.rstrip('/')}/daily_volume"
 
     def known_domains(self, before: date, window_days: int | None = None) -> DataFrame:
-        """State as it was before a report date, optionally only what is inside the window."""
-        day = before.isoformat()
-        older = [
-            name for name in finished_folders(self._spark, self._known)
-            if name.removeprefix("as_of=") < day
-        ]
-        if not older:
-            return self._spark.createDataFrame([], KNOWN_DOMAINS_SCHEMA)
-        known = self._spark.read.schema(KNOWN_DOMAINS_SCHEMA).parquet(
-            f"{self._known}/{older[-1]}"
+        """Domains seen before a report date, or only in the window before it.
+
+        With a window only its dates are read, and `first_seen` is the first day inside it.
+        """
+        seen = read_days(self._spark, self._sightings, SIGHTING_SCHEMA).filter(
+            F.col("domain").isNotNull() & _days_before(before, window_days)
+        )
+        return seen.groupBy("network_id", "domain").agg(
+            F.min("report_date").alias("first_seen"), F.max("report_date").alias("last_seen")
         )
-        if window_days is None:
-            return known
-        return known_within(known, before, window_days)
 
-    def record_domains(self, sightings: DataFrame, report_date: date) -> None:
-        """Write the snapshot of a report date: the state before it plus its sightings."""
-        upsert_known_domains(self.known_domains(report_date), sightings).write.mode(
-            "overwrite"
-        ).parquet(f"{self._known}/as_of={report_date.isoformat()}")
+    def record_domains(self, sightings: DataFrame, reports: DataFrame | None = None) -> None:
+        """Replace the sightings of the given reports, by default of those that have any."""
+        rows = sightings.select("network_id", "domain", "report_date").distinct()
+        self._replace(rows, "domain", self._sightings, SIGHTING_SCHEMA, reports)
 
     def daily_volume(
-        self, before: date, baseline_days: int = ReportParams.volume_baseline_days
+        self, before: date, baseline_days: int | None = ReportParams.volume_baseline_days
     ) -> DataFrame:
-        """Volumes of the baseline days; only their partitions are read."""
-        if not path_exists(self._spark, f"{self._volumes}/report_date=*"):
-            return self._spark.createDataFrame([], DAILY_VOLUME_SCHEMA)
-        day = F.lit(before.isoformat()).cast("date")
-        return (
-            self._spark.read.schema(DAILY_VOLUME_SCHEMA)
-            .parquet(self._volumes)
-            .filter(
-                (F.col("report_date") >= F.date_sub(day, baseline_days))
-                & (F.col("report_date") < day)
-            )
+        """Volumes of the baseline days, or of all earlier days; only their folders are read."""
+        return read_days(self._spark, self._volumes, DAILY_VOLUME_SCHEMA).filter(
+            F.col("client").isNotNull() & _days_before(before, baseline_days)
         )
 
-    def record_volume(self, volumes: DataFrame) -> None:
-        """Replace the partitions of the report dates present in the given counts."""
-        replace_days(volumes, self._volumes)
-
-    def merge_volume(self, volumes: DataFrame, report_date: date) -> None:
-        """Like `record_volume` for one date, but clients absent from this run stay.
-
-        The merged day goes through a written table first, because a partition cannot be
-        read and replaced by one job.
-        """
-        path = f"{self._volumes}/report_date={report_date.isoformat()}"
-        if path_exists(self._spark, path):
-            old = (
-                self._spark.read.schema(DAILY_VOLUME_SCHEMA)
-                .parquet(self._volumes)
-                .filter(F.col("report_date") == F.lit(report_date.isoformat()).cast("date"))
+    def record_volume(self, volumes: DataFrame, reports: DataFrame | None = None) -> None:
+        """Replace the counts of the given reports, by default of those that have any."""
+        rows = volumes.select("network_id", "client", "query_count", "report_date")
+        self._replace(rows, "client", self._volumes, DAILY_VOLUME_SCHEMA, reports)
+
+    def merge_volume(self, volumes: DataFrame) -> None:
+        """Like `record_volume`, but clients absent from this run keep their counts."""
+        days = volumes.select(*DAY).distinct()
+        old = read_days(self._spark, self._volumes, DAILY_VOLUME_SCHEMA)
+        old = old.filter(F.col("client").isNotNull()).join(days, list(DAY), "left_semi")
+        self.record_volume(upsert_daily_volume(old, volumes))
+
+    def _replace(
+        self, rows: DataFrame, key: str, path: str, schema: str, reports: DataFrame | None
+    ) -> None:
+        """A report without rows leaves a marker with no key, which readers skip."""
+        if reports is not None:
+            markers = reports.select(*DAY).distinct()
+            rows = rows.join(markers, list(DAY), "left_semi").unionByName(
+                markers, allowMissingColumns=True
             )
-            volumes = write_and_read(upsert_daily_volume(old, volumes), "merged-volume")
-        self.record_volume(volumes)
-
+        replace_days(rows, path, schema, reports)
 
-def replace_days(rows: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """Replace whole report dates of a table; a repeated run gives the same table.
 
-    The rebalance hint gathers each date into well-sized files and lets Spark split a date
-    that is much larger than the others.
-    """
-    rows.hint("rebalance", "report_date").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("report_date").format(file_format).save(path)
+def _days_before(day: date, days: int | None) -> Column:
+    end = F.lit(day.isoformat()).cast("date")
+    before = F.col("report_date") < end
+    return before if days is None else before & (F.col("report_date") >= F.date_sub(end, days))

@@ -3,7 +3,9 @@
 Each micro-batch writes its own share of the state to a folder named by its batch number,
 so a batch that is repeated after a failure replaces its own files and nothing is counted
 twice. Readers merge the shares. Every so many batches the shares are merged into a base,
-which keeps the number of folders a reader opens bounded.
+which keeps the number of folders a reader opens bounded. A batch looks up its own domains
+only, in what the window still needs. There is no watermark: late rows are counted like all
+others, and days that were closed before are listed for closing again.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from querytide.operators.novelty import (
 from querytide.operators.report_days import assign_report_days
 from querytide.params import DAY, ReportParams
 from querytide.schemas import KNOWN_DOMAINS_SCHEMA
-from querytide.sources.files import finished_folders
+from querytide.session import write_and_read
+from querytide.sources.files import finished_folders, path_exists
 from querytide.sources.state_tables import StateTables
 
 COUNTS_SCHEMA = "network_id STRING, report_date DATE, client STRING, domain STRING, n BIGINT"
@@ -53,8 +56,16 @@ class ShareTable:
     def write(self, share: DataFrame, batch_id: int) -> None:
         share.write.mode("overwrite").parquet(f"{self._shares}/{_folder(batch_id)}")
 
-    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """State after all batches, or after the batches before a given one."""
+    def read(
+        self,
+        spark: SparkSession,
+        before: int | None = None,
+        pick: Callable[[DataFrame], DataFrame] = lambda shares: shares,
+    ) -> DataFrame:
+        """State after all batches, or after the batches before a given one.
+
+        `pick` takes out the rows that are needed before they are merged.
+        """
         end = "batch=~" if before is None else _folder(before)
         bases = [name for name in finished_folders(spark, self._bases) if name < end]
         start = bases[-1] if bases else ""
@@ -65,7 +76,7 @@ class ShareTable:
         ]
         if not paths:
             return spark.createDataFrame([], self._schema)
-        return self._merge(spark.read.schema(self._schema).parquet(*paths))
+        return self._merge(pick(spark.read.schema(self._schema).parquet(*paths)))
 
     def compact(self, spark: SparkSession, batch_id: int) -> None:
         """Merge everything up to a batch; run after that batch has written its share."""
@@ -83,7 +94,9 @@ class StateUpkeep:
         root = root.rstrip("/")
         self._params = params
         self._compact_every = compact_every
+        self._batches = f"{root}/batches"
         self._counts = f"{root}/counts"
+        self._closed = f"{root}/closed"
         self._alerts = f"{root}/alerts"
         self.known = ShareTable(f"{root}/known_domains", KNOWN_DOMAINS_SCHEMA, merge_known)
         self.volumes = ShareTable(f"{root}/daily_volume", VOLUME_SCHEMA, merge_volume)
@@ -91,19 +104,21 @@ class StateUpkeep:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         """Count the batch once, then derive everything from that small table."""
         spark = batch.sparkSession
-        counts = f"{self._counts}/{_folder(batch_id)}"
         (
             assign_report_days(batch, self._params)
             .groupBy(*DAY, "client", "domain")
             .agg(F.count("*").alias("n"))
             .write.mode("overwrite")
-            .parquet(counts)
+            .parquet(f"{self._batches}/{_folder(batch_id)}")
         )
-        counted = spark.read.schema(COUNTS_SCHEMA).parquet(counts)
-        sightings = first_sightings(counted)
+        counted = spark.read.schema(COUNTS_SCHEMA).parquet(f"{self._batches}/{_folder(batch_id)}")
+        counted.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("report_date", "batch").parquet(self._counts)
+        sightings = write_and_read(first_sightings(counted), "sightings")
         novel_after_state(
             sightings,
-            self.known.read(spark, batch_id),
+            self.known.read(spark, batch_id, lambda shares: self._needed(shares, sightings)),
             self._params.known_domains_window_days,
         ).write.mode("overwrite").parquet(f"{self._alerts}/{_folder(batch_id)}")
         nothing = spark.createDataFrame([], KNOWN_DOMAINS_SCHEMA)
@@ -115,12 +130,46 @@ class StateUpkeep:
             self.known.compact(spark, batch_id)
             self.volumes.compact(spark, batch_id)
 
-    def close_day(self, state: StateTables, spark: SparkSession, report_date: date) -> None:
-        """Hand a finished report day over to the tables that daily runs read."""
-        of_day = F.col("report_date") == F.lit(report_date)
-        counted = spark.read.schema(COUNTS_SCHEMA).parquet(f"{self._counts}/batch=*")
-        state.record_domains(first_sightings(counted.filter(of_day)), report_date)
-        state.record_volume(self.daily_volume(spark).filter(of_day))
+    def _needed(self, shares: DataFrame, sightings: DataFrame) -> DataFrame:
+        """The state of a batch's domains, as far back as its first day's window reaches."""
+        first = sightings.agg(F.min("report_date")).first()[0]
+        if first is None:
+            return shares.limit(0)
+        start = F.date_sub(F.lit(first), self._params.known_domains_window_days)
+        domains = sightings.select("network_id", "domain").distinct()
+        return shares.filter(F.col("last_seen") >= start).join(
+            domains, ["network_id", "domain"], "left_semi"
+        )
+
+    def close_days(self, state: StateTables, spark: SparkSession, days: list[date]) -> None:
+        """Hand finished report days over to the tables that daily runs read.
+
+        Only the days' own folders are read. Which batches they held is noted, so that
+        `reopened_days` can tell what came later.
+        """
+        held = (
+            spark.read.schema(f"{COUNTS_SCHEMA}, batch BIGINT")
+            .parquet(self._counts)
+            .filter(F.col("report_date").isin(days))
+        )
+        rows = write_and_read(held, "closing")
+        state.record_domains(first_sightings(rows))
+        state.record_volume(rows.groupBy(*DAY, "client").agg(F.sum("n").alias("query_count")))
+        rows.groupBy("report_date").agg(F.max("batch").alias("batch")).write.mode(
+            "overwrite"
+        ).option("partitionOverwriteMode", "dynamic").partitionBy("report_date").parquet(
+            self._closed
+        )
+
+    def reopened_days(self, spark: SparkSession) -> list[date]:
+        """Closed days that have rows from batches after their closing."""
+        if not path_exists(spark, f"{self._closed}/report_date=*"):
+            return []
+        closed = spark.read.schema("batch BIGINT, report_date DATE").parquet(self._closed)
+        batches = spark.read.schema("report_date DATE, batch BIGINT").parquet(self._counts)
+        newest = batches.groupBy("report_date").agg(F.max("batch").alias("newest"))
+        late = newest.join(closed, "report_date").filter("newest > batch")
+        return sorted(row.report_date for row in late.select("report_date").collect())
 
     def start(self, log: DataFrame, checkpoint: str) -> StreamingQuery:
         return (

@@ -14,20 +14,21 @@ def stream_daily_volume(
 ) -> DataFrame:
     """Counts per client and report day, final once the watermark has passed the day.
 
-    Rows later than the watermark are dropped here; a batch run of the day replaces it.
+    Windows are those of `assign_report_days`, so the counts are the batch ones. Rows later than
+    the watermark are dropped here; `StateUpkeep` has no watermark and takes them in.
     """
-    counts = (
+    hours = int(params.window_hours)
+    span = max(hours, 24)
+    opens = (int(params.close_hour_utc) - span) % 24
+    run = F.window("_time", f"{span} hours", "24 hours", f"{opens} hours")
+    dated = (
         log.withColumn("_time", F.col("time").cast("timestamp"))
         .withWatermark("_time", lateness)
-        .groupBy(
-            "network_id",
-            F.window(
-                "_time", "24 hours", "24 hours", f"{int(params.close_hour_utc)} hours"
-            ).alias("_run"),
-            "client",
-        )
-        .agg(F.count("*").alias("query_count"))
+        .withColumn("_run", run)
     )
+    if hours < 24:
+        dated = dated.filter(F.col("_time") >= F.col("_run.end") - F.expr(f"INTERVAL {hours} HOURS"))
+    counts = dated.groupBy("network_id", "_run", "client").agg(F.count("*").alias("query_count"))
     end = F.col("_run.end").cast("timestamp_ntz")
     return counts.withColumn("report_date", local_date(end, params.timezone)).select(
         *DAY, "client", "query_count"

@@ -1,4 +1,8 @@
-"""One made-up day of a home network with a few planted oddities."""
+"""A day of our own making in a network seven zones east, written as a list of spells.
+
+A spell is one client asking for one domain, so many times, from a first moment on, with a fixed
+pause. All numbers that the tests expect follow from this table by counting.
+"""
 
 from __future__ import annotations
 
@@ -6,101 +10,80 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-DAY = date(2026, 5, 8)
+from querytide.params import ReportParams
+
+DAY = date(2025, 11, 16)
+PARAMS = ReportParams(timezone="Asia/Kolkata", off_hours_start="00:30", off_hours_end="04:30")
+TOTAL = 478
 DEVICES = {
-    "192.168.1.10": "Television",
-    "192.168.1.25": "Phone",
-    "192.168.1.30": "Laptop",
-    "192.168.1.40": "Desktop",
-    "192.168.1.15": "Hub",
+    "10.7.0.2": "Printer",
+    "10.7.0.3": "Tablet",
+    "10.7.0.4": "Console",
+    "10.7.0.5": "Server",
+    "10.7.0.6": "Speaker",
 }
+# One far above, one far below, one that is flagged for its ratio only, two that are ordinary.
 BASELINE = {
-    "192.168.1.10": (15.0, 2.1, 14),
-    "192.168.1.25": (80.0, 5.0, 14),
-    "192.168.1.30": (60.0, 4.0, 14),
-    "192.168.1.40": (200.0, 10.0, 14),
+    "10.7.0.4": (40.0, 8.0, 9),
+    "10.7.0.5": (160.0, 16.0, 11),
+    "10.7.0.6": (12.0, 50.0, 3),
+    "10.7.0.3": (100.0, 20.0, 12),
+    "10.7.0.2": (24.0, 0.0, 5),
 }
-NEW = ["app.fresh-tool.example", "api.fresh-tool.example", "sink.odd.example", "cdn.odd.example"]
-
-# Regular daytime traffic takes turns: every row moves on to the next client, and each
-# client's list of domains is stepped through by the row number.
-REGULAR = """
-SELECT timestamp_ntz'2026-05-08 19:00:00' + make_dt_interval(0, 0, 0, id * 57) AS time,
-       element_at(array('192.168.1.25', '192.168.1.30', '192.168.1.40', '192.168.1.10',
-                        '192.168.1.15'), CAST(id % 5 AS INT) + 1) AS client,
-       CASE id % 5
-         WHEN 0 THEN element_at(array('fruit.example', 'cloud.example', 'weather.example'), CAST(id % 3 AS INT) + 1)
-         WHEN 1 THEN element_at(array('code.example', 'packages.example', 'docs.example'), CAST(id % 3 AS INT) + 1)
-         WHEN 2 THEN element_at(array('videos.example', 'search.example', 'fonts.example'), CAST(id % 3 AS INT) + 1)
-         WHEN 3 THEN element_at(array('portal.example', 'store.example'), CAST(id % 2 AS INT) + 1)
-         ELSE element_at(array('time.example', 'clients.example'), CAST(id % 2 AS INT) + 1)
-       END AS domain, '' AS rule FROM range(400)"""
-
-QUIET = """
-SELECT timestamp_ntz'2026-05-08 08:00:00' + make_dt_interval(0, 0, id * 14, 0), '192.168.1.25',
-       explode(array('fruit.example', 'cloud.example')), '' FROM range(15)"""
-
-ODD = """
-SELECT * FROM VALUES
-  (timestamp_ntz'2026-05-08 10:00:00', '192.168.1.10', 'sink.odd.example', ''),
-  (timestamp_ntz'2026-05-08 10:00:05', '192.168.1.10', 'cdn.odd.example', ''),
-  (timestamp_ntz'2026-05-08 21:00:00', '192.168.1.30', 'app.fresh-tool.example', ''),
-  (timestamp_ntz'2026-05-08 21:05:00', '192.168.1.30', 'api.fresh-tool.example', '')"""
-
-SPIKE = """
-SELECT timestamp_ntz'2026-05-09 01:00:00' + make_dt_interval(0, 0, 0, id * 18), '192.168.1.10',
-       'portal.example', '' FROM range(200)"""
-
-BLOCKED = """
-SELECT timestamp_ntz'2026-05-08 07:00:00' + make_dt_interval(0, g * 6, id * 15, 0),
-       '192.168.1.40', concat('tracker', g, '.example'), concat('||tracker', g, '.example^')
-FROM range(20) LATERAL VIEW explode(array(0, 1, 2)) AS g"""
+NEW = ["beacon.odd.example", "fresh.gadget.example"]
+
+# Client, domain, queries, first moment (UTC), seconds between, blocking rule.
+SPELLS = [
+    ("10.7.0.2", "ink.paperworks.example", 24, "2025-11-16 04:00:00", 1800, ""),
+    ("10.7.0.3", "news.daily.example", 61, "2025-11-16 03:10:00", 97, ""),
+    ("10.7.0.3", "maps.roads.example", 33, "2025-11-16 05:40:00", 211, ""),
+    ("10.7.0.3", "ads.banner.example", 17, "2025-11-16 06:00:00", 333, "||banner.example^"),
+    ("10.7.0.4", "play.arena.example", 118, "2025-11-16 12:00:00", 41, ""),
+    ("10.7.0.4", "chat.arena.example", 46, "2025-11-16 12:05:00", 90, ""),
+    ("10.7.0.5", "mirror.depot.example", 75, "2025-11-15 19:20:00", 160, ""),
+    ("10.7.0.5", "beacon.odd.example", 9, "2025-11-15 20:00:00", 700, ""),
+    ("10.7.0.5", "telemetry.maker.example", 28, "2025-11-15 18:45:00", 600, "||maker.example^$important"),
+    ("10.7.0.6", "music.stream.example", 52, "2025-11-16 10:00:00", 240, ""),
+    ("10.7.0.7", "time.pool.example", 13, "2025-11-15 21:15:00", 3600, ""),
+    ("10.7.0.7", "fresh.gadget.example", 2, "2025-11-16 07:00:00", 45, ""),
+]
+
+
+def queries(spark):
+    spells = spark.createDataFrame(
+        SPELLS, "client string, domain string, n int, first string, pause int, rule string"
+    )
+    moment = F.col("first").cast("timestamp_ntz") + F.make_dt_interval(
+        secs=(F.col("k") * F.col("pause")).cast("decimal(18,6)")
+    )
+    every = spells.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return every.select(F.lit("flat7").alias("network_id"), moment.alias("time"), "client", "domain", "rule")
 
 
 def entries(spark):
-    """Entries in the resolver's form, with their place in the log, newest first."""
-    rows = spark.sql(" UNION ALL ".join([REGULAR, QUIET, ODD, SPIKE, BLOCKED]))
-    return rows.select(
-        F.lit("home").alias("network_id"),
+    """The queries in the resolver's form."""
+    return queries(spark).select(
+        "network_id",
         "time",
         F.struct(
-            F.array(F.struct(F.lit("A").alias("type"), F.lit("1.2.3.4").alias("value"))).alias(
-                "answer"
-            ),
             "client",
-            F.lit("5.0").alias("elapsedMs"),
-            F.struct(
-                F.lit("IN").alias("class"),
-                F.col("domain").alias("name"),
-                F.lit("A").alias("type"),
-            ).alias("question"),
-            F.when(F.col("rule") == "", "NotFilteredNotFound")
-            .otherwise("FilteredBlackList")
-            .alias("reason"),
+            F.struct(F.col("domain").alias("name"), F.lit("HTTPS").alias("type")).alias("question"),
+            F.when(F.col("rule") == "", "NotFilteredNotFound").otherwise("FilteredCustom").alias("reason"),
             "rule",
-            F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'.000000000Z'").alias("time"),
+            F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"),
         ).alias("entry"),
     )
 
 
 def page_texts(spark):
-    """The day as captured pages, one per hour."""
-    return (
-        entries(spark)
-        .groupBy("network_id", F.date_trunc("hour", "time").alias("hour"))
-        .agg(
-            F.reverse(F.sort_array(F.collect_list(F.struct("time", "entry")))).alias("rows")
-        )
-        .select(
-            "network_id",
-            F.to_json(
-                F.struct(
-                    F.transform("rows", lambda row: row["entry"]).alias("data"),
-                    F.element_at("rows", -1)["entry"]["time"].alias("oldest"),
-                )
-            ).alias("page"),
-        )
+    """The day as captured pages of three hours, each newest first."""
+    spans = entries(spark).groupBy("network_id", F.window("time", "3 hours").alias("span"))
+    rows = F.reverse(F.sort_array(F.collect_list(F.struct("time", "entry"))))
+    page = F.struct(
+        F.transform("rows", lambda row: row["entry"]).alias("data"),
+        F.element_at("rows", -1)["entry"]["time"].alias("oldest"),
     )
+    return spans.agg(rows.alias("rows")).select("network_id", F.to_json(page).alias("page"))
 
 
 def log(spark):
@@ -113,14 +96,14 @@ def log(spark):
 
 def devices(spark):
     return spark.createDataFrame(
-        [("home", ip, name) for ip, name in DEVICES.items()],
+        [("flat7", ip, name) for ip, name in DEVICES.items()],
         "network_id string, ip string, device string",
     )
 
 
 def baseline(spark):
     return spark.createDataFrame(
-        [("home", DAY, ip, *values) for ip, values in BASELINE.items()],
+        [("flat7", DAY, ip, *values) for ip, values in BASELINE.items()],
         "network_id string, report_date date, client string, mean double, stddev double, "
         "days bigint",
     )
@@ -128,6 +111,6 @@ def baseline(spark):
 
 def novel(spark):
     return spark.createDataFrame(
-        [("home", DAY, name) for name in NEW],
+        [("flat7", DAY, name) for name in NEW],
         "network_id string, report_date date, domain string",
     )

@@ -32,8 +32,17 @@ def test_pages_are_joined(spark, tmp_path):
     write_page(tmp_path, "1.json", [entry("2026-05-08T14:00:00Z"), entry("2026-05-08T13:00:00Z")])
     write_page(tmp_path, "2.json", [entry("2026-05-08T12:00:00Z")], oldest="2026-05-08T12:00:00Z")
     write_page(tmp_path, "3.json", [])
-    rows = log_rows(read(spark, tmp_path)).orderBy(F.desc("time")).collect()
-    assert [(r.time.hour, r.seq) for r in rows] == [(14, 0), (13, 1), (12, 0)]
+    rows = log_rows(read(spark, tmp_path)).orderBy("seq").collect()
+    assert [r.time.hour for r in rows] == [14, 13, 12]
+
+
+def test_arrival_order_over_pages(spark, tmp_path):
+    """Equal times in two pages: the page that reaches further back arrived later."""
+    same = "2026-05-08T13:00:00Z"
+    write_page(tmp_path, "a.json", [entry(same, client="third"), entry("2026-05-08T11:00:00Z", client="last")])
+    write_page(tmp_path, "b.json", [entry(same, client="first"), entry(same, client="second")], oldest=same)
+    rows = log_rows(read(spark, tmp_path)).orderBy("seq").collect()
+    assert [r.client for r in rows] == ["first", "second", "third", "last"]
 
 
 def test_partitioned_folders(spark, tmp_path):
@@ -162,4 +171,4 @@ def test_report_days(spark):
 
 
 def test_fixture_pages(spark):
-    assert fixture_day.log(spark).count() == 694
+    assert fixture_day.log(spark).count() == fixture_day.TOTAL

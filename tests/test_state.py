@@ -22,17 +22,18 @@ def sightings(spark, rows):
     return spark.createDataFrame([("n", day, name) for day, name in rows], SIGHTING)
 
 
-def test_first_run_finds_everything_new(spark, workdir):
+def test_without_state_each_domain_is_new(spark, workdir):
     state = StateTables(spark, workdir)
-    today = sightings(spark, [(TODAY, d) for d in ("a", "b", "c")])
-    assert novelty.novel_against_state(today, state.known_domains(TODAY)).count() == 3
+    today = sightings(spark, [(TODAY, f"site{k}") for k in range(7)])
+    found = novelty.novel_against_state(today, state.known_domains(TODAY))
+    assert {r.domain for r in found.collect()} == {f"site{k}" for k in range(7)}
 
 
-@pytest.mark.parametrize("gap, is_new", [(1, False), (29, False), (30, False), (31, True), (35, True)])
+@pytest.mark.parametrize("gap, is_new", [(2, False), (17, False), (30, False), (31, True), (90, True)])
 def test_window_edge(spark, workdir, gap, is_new):
     state = StateTables(spark, workdir)
     earlier = TODAY - timedelta(days=gap)
-    state.record_domains(sightings(spark, [(earlier, "old")]), earlier)
+    state.record_domains(sightings(spark, [(earlier, "old")]))
     today = sightings(spark, [(TODAY, "old"), (TODAY, "fresh")])
     found = novelty.novel_against_state(today, state.known_domains(TODAY, 30), 30)
     assert {r.domain for r in found.collect()} == ({"old", "fresh"} if is_new else {"fresh"})
@@ -51,13 +52,44 @@ def test_upsert_keeps_first_and_never_moves_back(spark):
     assert (rows["b"].first_seen, rows["b"].last_seen) == (TODAY, TODAY)
 
 
-def test_unfinished_snapshots_are_ignored(spark, tmp_path):
-    state = StateTables(spark, str(tmp_path))
-    state.record_domains(sightings(spark, [(TODAY, "a")]), TODAY)
-    broken = tmp_path / "known_domains" / "as_of=2026-05-09"
-    broken.mkdir()
-    (broken / "part-0.parquet").write_text("half a file")
-    assert state.known_domains(date(2026, 5, 10)).count() == 1
+def reports(spark, *keys):
+    return spark.createDataFrame(keys, "network_id string, report_date date")
+
+
+def test_networks_are_recorded_apart(spark, workdir):
+    state = StateTables(spark, workdir)
+    networks = [f"n{k}" for k in range(40)]  # more than there are folders for a date
+    for name in networks[:3]:
+        state.record_domains(spark.createDataFrame([(name, TODAY, "a"), (name, TODAY, "b")], SIGHTING))
+    state.record_domains(spark.createDataFrame([(name, TODAY, "c") for name in networks[3:]], SIGHTING))
+    state.record_domains(spark.createDataFrame([("n1", TODAY, "z")], SIGHTING))
+    tomorrow = TODAY + timedelta(days=1)
+    found = {(r.network_id, r.domain) for r in state.known_domains(tomorrow).collect()}
+    expected = {("n0", "a"), ("n0", "b"), ("n2", "a"), ("n2", "b"), ("n1", "z")}
+    assert found == expected | {(name, "c") for name in networks[3:]}
+
+
+def test_a_report_can_become_empty(spark, workdir):
+    state = StateTables(spark, workdir)
+    state.record_domains(sightings(spark, [(TODAY, "a")]))
+    state.record_volume(volumes(spark, [(TODAY, "c", 5)]))
+    asked = reports(spark, ("n", TODAY))
+    state.record_domains(sightings(spark, []), asked)
+    state.record_volume(volumes(spark, []), asked)
+    assert state.known_domains(date.max).count() == state.daily_volume(date.max, None).count() == 0
+
+
+def test_late_runs_of_older_days_count(spark, workdir):
+    state = StateTables(spark, workdir)
+    older, day = TODAY - timedelta(days=2), TODAY - timedelta(days=1)
+    state.record_domains(sightings(spark, [(older, "a")]))
+    state.record_domains(sightings(spark, [(day, "a"), (day, "b")]))
+    state.record_domains(sightings(spark, [(older, "a"), (older, "late")]))
+    known = {r.domain: (r.first_seen, r.last_seen) for r in state.known_domains(TODAY).collect()}
+    assert known == {"a": (older, day), "b": (day, day), "late": (older, older)}
+    state.record_domains(sightings(spark, [(older, "a")]))
+    assert {r.domain for r in state.known_domains(TODAY, 30).collect()} == {"a", "b"}
+    assert {r.domain for r in state.known_domains(day).collect()} == {"a"}
 
 
 def simulate(days, window):
@@ -105,26 +137,24 @@ def volumes(spark, rows):
     return spark.createDataFrame([("n", *row) for row in rows], VOLUME)
 
 
-def test_baseline(spark, workdir):
-    days = [TODAY - timedelta(days=i + 1) for i in range(14)]
-    rows = [(d, "flat", 100) for d in days]
-    rows += [(d, "steps", 100 + (i % 3) * 10) for i, d in enumerate(days)]
-    rows += [(TODAY, "flat", 9999), (TODAY - timedelta(days=15), "flat", 5)]
+def test_baseline_leaves_out_its_own_day_and_older_ones(spark, workdir):
+    steady = {TODAY - timedelta(days=d): 37 for d in (1, 4, 6, 10)}
+    rising = {TODAY - timedelta(days=d): 500 - 31 * d for d in range(1, 11)}
+    rows = [(day, "steady", n) for day, n in steady.items()]
+    rows += [(day, "rising", n) for day, n in rising.items()]
+    rows += [(TODAY, "steady", 4), (TODAY - timedelta(days=11), "steady", 1), (TODAY, "unknown", 8)]
     state = StateTables(spark, workdir)
     state.record_volume(volumes(spark, rows))
-    base = {
-        r.client: r
-        for r in volume.baseline_for_date(state.daily_volume(TODAY, 14), TODAY, 14).collect()
-    }
-    assert (base["flat"].mean, base["flat"].stddev, base["flat"].days) == (100.0, 0.0, 14)
-    steps = [100 + (i % 3) * 10 for i in range(14)]
-    assert base["steps"].mean == pytest.approx(109.2857, abs=1e-4)
-    assert base["steps"].stddev == pytest.approx(statistics.pstdev(steps))
-    assert base["steps"].days == 14
-    window = volume.trailing_baseline(volumes(spark, rows), 14).filter(
-        (F.col("report_date") == F.lit(TODAY)) & (F.col("client") == "flat")
+    found = volume.baseline_for_date(state.daily_volume(TODAY, 10), TODAY, 10).collect()
+    base = {r.client: (r["mean"], r.stddev, r.days) for r in found}
+    assert base["steady"] == (37.0, 0.0, 4)
+    past = list(rising.values())
+    assert base["rising"] == pytest.approx((statistics.fmean(past), statistics.pstdev(past), 10))
+    assert "unknown" not in base
+    window = volume.trailing_baseline(volumes(spark, rows), 10).filter(
+        (F.col("report_date") == F.lit(TODAY)) & (F.col("client") == "steady")
     )
-    assert [(r["mean"], r.stddev, r.days) for r in window.collect()] == [(100.0, 0.0, 14)]
+    assert [(r["mean"], r.stddev, r.days) for r in window.collect()] == [(37.0, 0.0, 4)]
 
 
 def test_baseline_equals_brute_force(spark):
@@ -177,7 +207,7 @@ def test_volume_writes_replace_or_merge(spark, workdir):
     state = StateTables(spark, workdir)
     before = TODAY - timedelta(days=1)
     state.record_volume(volumes(spark, [(TODAY, "a", 1), (TODAY, "b", 2), (before, "a", 7)]))
-    state.merge_volume(volumes(spark, [(TODAY, "a", 10)]), TODAY)
+    state.merge_volume(volumes(spark, [(TODAY, "a", 10)]))
 
     def stored():
         rows = state.daily_volume(TODAY + timedelta(days=1)).collect()

@@ -112,8 +112,7 @@ def test_closed_days_feed_daily_runs(spark, paths):
     upkeep(log_of(spark, [datetime(2026, 5, 1, 9)] * 3, domain="a"), 0)
     upkeep(log_of(spark, [datetime(2026, 5, 1, 10), datetime(2026, 5, 2, 9)], domain="b"), 1)
     state = StateTables(spark, paths["state"])
-    for day in (1, 2):
-        upkeep.close_day(state, spark, date(2026, 5, day))
+    upkeep.close_days(state, spark, [date(2026, 5, day) for day in (1, 2)])
     known = {r.domain: (r.first_seen.day, r.last_seen.day)
              for r in state.known_domains(date(2026, 5, 3)).collect()}
     assert known == {"a": (1, 1), "b": (1, 2)}
@@ -135,3 +134,33 @@ def test_repeated_batch_counts_once(spark, paths):
     upkeep(log_of(spark, [datetime(2026, 5, 1, 11)]), 2)
     assert [r.query_count for r in upkeep.daily_volume(spark).collect()] == [6]
     assert upkeep.alerts(spark).count() == 1
+
+
+def test_late_rows_reopen_closed_days(spark, paths):
+    upkeep = StateUpkeep(paths["root"], PARAMS)
+    state = StateTables(spark, paths["state"])
+    upkeep(log_of(spark, [datetime(2026, 5, 1, 9)] * 3, domain="a"), 0)
+    upkeep(log_of(spark, [datetime(2026, 5, 2, 9)], domain="a"), 1)
+    assert upkeep.reopened_days(spark) == []
+    upkeep.close_days(state, spark, [date(2026, 5, 1), date(2026, 5, 2)])
+    assert upkeep.reopened_days(spark) == []
+    upkeep(log_of(spark, [datetime(2026, 5, 1, 8)] * 2, domain="late"), 2)
+    assert upkeep.reopened_days(spark) == [date(2026, 5, 1)]
+    assert {r.domain for r in upkeep.alerts(spark).collect()} == {"a", "late"}
+    upkeep.close_days(state, spark, upkeep.reopened_days(spark))
+    assert upkeep.reopened_days(spark) == []
+    volumes = {r.report_date.day: r.query_count for r in state.daily_volume(date(2026, 5, 3)).collect()}
+    assert volumes == {1: 5, 2: 1}
+    assert {r.domain for r in state.known_domains(date(2026, 5, 2)).collect()} == {"a", "late"}
+
+
+def test_streamed_volume_has_the_windows_of_the_batch(spark, paths):
+    times = [datetime(2026, 5, d, h) for d in range(1, 6) for h in (3, 14, 16)]
+    params = ReportParams(window_hours=48)
+    log = log_of(spark, times)
+    out = deliver(log, paths, lambda rows: stream_daily_volume(rows, params=params))
+    batch = volume.daily_volume(as_traffic(report_days.assign_report_days(log, params), params))
+    counted = {r.report_date: r.query_count for r in batch.collect()}
+    streamed = {r.report_date: r.query_count for r in out.collect()}
+    assert streamed and streamed == {day: n for day, n in counted.items() if day in streamed}
+    assert set(counted) - set(streamed) == {date(2026, 5, 6), date(2026, 5, 7)}

@@ -71,19 +71,32 @@ def client_totals(traffic: DataFrame) -> DataFrame:
 
 
 def domain_totals(cube: DataFrame) -> DataFrame:
-    """All that a report says about a domain, from one pass over a rollup.
+    """The counts of every domain and the arrival of its newest and newest blocked query.
 
-    The client and the rule are those of the newest query. Picking them needs a sort-based
-    aggregate, which is why this takes a rollup and not log rows.
+    Whose queries those were is looked up later, by `of_newest`, for the few domains that a
+    report names; all of this is numbers and stays in a hash aggregate.
     """
-    blocked_key = F.when(F.col("blocked"), F.struct("newest_key", "block_rule"))
+    blocked = F.col("blocked")
     return cube.groupBy(*DAY, "domain").agg(
         F.sum("n").alias("count"),
-        F.sum(F.when(F.col("blocked"), F.lit(0)).otherwise(F.col("n"))).alias("answered"),
-        F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(F.lit(0))).alias("blocked"),
-        F.max_by("client", F.struct("newest_key", "client")).alias("first_client"),
-        F.max_by("block_rule", blocked_key).alias("rule"),
+        F.sum(F.when(blocked, F.lit(0)).otherwise(F.col("n"))).alias("answered"),
+        F.sum(F.when(blocked, F.col("n")).otherwise(F.lit(0))).alias("blocked"),
+        F.max("newest_key").alias("newest_key"),
+        F.max(F.when(blocked, F.col("newest_key"))).alias("blocked_key"),
+    )
+
+
+def of_newest(domains: DataFrame, cube: DataFrame, key: str, value: str) -> DataFrame:
+    """Add the `value` of the rollup rows with the arrival `key` to a few domains; the last by
+    alphabet if there are several."""
+    keys = domains.select(*DAY, "domain", F.col(key).alias("newest_key"))
+    rows = cube.select(*DAY, "domain", "newest_key", value)
+    picked = (
+        rows.join(keys, [*DAY, "domain", "newest_key"], "left_semi")
+        .groupBy(*DAY, "domain")
+        .agg(F.max(value).alias(value))
     )
+    return domains.join(picked, [*DAY, "domain"])
 
 
 def top_answered(domains: DataFrame, k: int = ReportParams.top_domains) -> DataFrame:
@@ -95,9 +108,9 @@ def top_answered(domains: DataFrame, k: int = ReportParams.top_domains) -> DataF
 
 
 def top_blocked(domains: DataFrame, k: int = ReportParams.blocked_domains) -> DataFrame:
-    """`blocked_domains` from domain totals."""
+    """`blocked_domains` from domain totals, with `blocked_key` in place of the rule."""
     counts = domains.filter(F.col("blocked") > 0).select(
-        *DAY, "domain", F.col("blocked").alias("count"), "rule"
+        *DAY, "domain", F.col("blocked").alias("count"), "blocked_key"
     )
     return keep_top(counts, DAY, "domain", k)
 

@@ -69,7 +69,7 @@ def backfill_packets(
     tables = report_tables(dated_log, params)
     return assemble(
         tables,
-        novelty.all_new_domains(tables.domains, params.known_domains_window_days, devices),
+        novelty.novel_over_history(tables.domains, params.known_domains_window_days),
         volume.with_trailing_baseline(tables.volumes(), params.volume_baseline_days),
         params,
         devices,
@@ -92,7 +92,7 @@ def evidence_packets(
     """Packets for given new domains and a given baseline, as kept in state tables."""
     return assemble(
         tables,
-        novelty.given_new_domains(tables.domains, novel, devices),
+        tables.domains.join(novel.select(*DAY, "domain"), [*DAY, "domain"], "left_semi"),
         volume.with_baseline(tables.volumes(), baseline),
         params,
         devices,
@@ -126,84 +126,27 @@ def assemble(
     def single(rows: DataFrame, name: str, *fields) -> DataFrame:
         return rows.select(*DAY, first_page, F.struct(*fields).alias(name))
 
-    def unlimited(
-        rows: DataFrame, name: str, weight: Column, key: str, entry: Column
-    ) -> DataFrame:
-        """A list without a limit, the largest weight first, then by key."""
-        return rows.select(
-            *DAY,
-            F.lit(name).alias("list"),
-            weight.cast("double").alias("weight"),
-            F.col(key).alias("key"),
-            entry.alias(name),
-        )
-
     cube = tables.cube
     totals = tables.clients.groupBy(*DAY).agg(
         F.sum("total").alias("total_queries"),
         F.count("*").alias("unique_clients"),
         F.sum("blocked").alias("total_blocked"),
     )
-    clients = _with_top_domains(
-        label_clients(tables.clients, devices),
-        traffic.client_top_domains(cube, params.client_top_domains),
-        F.struct("domain", "count"),
-    )
-    quiet = _with_top_domains(
-        traffic.off_hours_devices(cube, devices),
-        traffic.off_hours_domains(cube, params),
-        F.struct("domain", "count", "blocked", "first_seen_local", "last_seen_local"),
-    )
-    anomalies = volume.volume_anomalies(compared_volumes, devices, params)
-    long_lists = _union(
-        [
-            unlimited(
-                clients,
-                "per_client",
-                F.col("total"),
-                "client",
-                F.struct("client", "device", "total", "blocked", "top_domains"),
-            ),
-            unlimited(
-                quiet,
-                "by_device",
-                F.col("total"),
-                "client",
-                F.struct("device", "client", "total", "top_domains"),
-            ),
-            unlimited(
-                found_domains,
-                "new_domains",
-                F.col("count"),
-                "domain",
-                F.struct("domain", "count", "first_client"),
-            ),
-            unlimited(
-                anomalies,
-                "volume_anomalies",
-                F.abs("z_score"),
-                "client",
-                F.struct(
-                    "client",
-                    "device",
-                    "today_count",
-                    "baseline_mean",
-                    "baseline_stddev",
-                    "z_score",
-                    "baseline_days",
-                ),
-            ),
-        ]
+    quiet_counts = traffic.off_hours_counts(cube)
+    quiet_clients = quiet_counts.groupBy(*DAY, "client").agg(F.sum("count").alias("total"))
+    quiet_totals = quiet_clients.groupBy(*DAY).agg(F.sum("total").alias("total_queries"))
+    long_lists = _long_lists(tables, quiet_clients, found_domains, compared_volumes, params)
+    ranked = paginate(
+        write_and_read(long_lists, "lists"),
+        (*DAY, "list"),
+        [-F.col("weight"), F.col("key")],
+        params.page_size,
     )
-    paged = paginate(
-        long_lists, (*DAY, "list"), [-F.col("weight"), F.col("key")], params.page_size
+    paged = label_clients(ranked, devices, client="address").select(
+        *DAY, "page", *[_list_entry(name, fields) for name, fields in LONG_LISTS.items()]
     )
-    for name in ("per_client", "by_device", "new_domains", "volume_anomalies"):
-        row = F.struct(F.col("rank"), F.col(name).alias("entry"))
-        paged = paged.withColumn(name, F.when(F.col("list") == name, row))
-    quiet_totals = traffic.off_hours_totals(cube)
     sections = [
-        paged.drop("list", "weight", "key", "rank"),
+        paged,
         single(totals, "summary", "total_queries", "unique_clients", "total_blocked"),
         single(
             tables.domains.groupBy(*DAY).agg(F.count("*").alias("unique_domains")),
@@ -218,10 +161,15 @@ def assemble(
             F.struct("domain", "count"),
         ),
         listed(
-            traffic.top_blocked(tables.domains, params.blocked_domains),
+            traffic.of_newest(
+                traffic.top_blocked(tables.domains, params.blocked_domains),
+                cube,
+                "blocked_key",
+                "block_rule",
+            ),
             "blocked_domains",
             [F.col("rank")],
-            F.struct("domain", "count", "rule"),
+            F.struct("domain", "count", F.col("block_rule").alias("rule")),
         ),
     ]
     if calendar is not None:
@@ -342,6 +290,72 @@ def headline_stats(packets: DataFrame) -> DataFrame:
     )
 
 
+# Lists without a limit and the fields of their entries; `device` is the name of the address.
+LONG_LISTS = {
+    "per_client": ("client", "device", "total", "blocked", "top_domains"),
+    "by_device": ("device", "client", "total", "top_domains"),
+    "new_domains": ("domain", "count", "device"),
+    "volume_anomalies": (
+        "client", "device", "today_count", "baseline_mean", "baseline_stddev", "z_score",
+        "baseline_days",
+    ),
+}
+
+
+def _long_lists(
+    tables: ReportTables,
+    quiet_clients: DataFrame,
+    found_domains: DataFrame,
+    compared_volumes: DataFrame,
+    params: ReportParams,
+) -> DataFrame:
+    """All lists without a limit in one frame: address to be named, order, and other fields."""
+
+    def rows(source: DataFrame, name: str, address: str, weight: Column, key: str) -> DataFrame:
+        fields = [field for field in LONG_LISTS[name] if field != "device"]
+        return source.select(
+            *DAY,
+            F.lit(name).alias("list"),
+            F.col(address).alias("address"),
+            weight.cast("double").alias("weight"),
+            F.col(key).alias("key"),
+            F.struct(*fields).alias(name),
+        )
+
+    clients = _with_top_domains(
+        tables.clients,
+        traffic.client_top_domains(tables.cube, params.client_top_domains),
+        F.struct("domain", "count"),
+    )
+    quiet = _with_top_domains(
+        quiet_clients,
+        traffic.off_hours_domains(tables.cube, params),
+        F.struct("domain", "count", "blocked", "first_seen_local", "last_seen_local"),
+    )
+    found = traffic.of_newest(found_domains, tables.cube, "newest_key", "client")
+    anomalies = volume.volume_anomalies(compared_volumes, None, params)
+    return _union(
+        [
+            rows(clients, "per_client", "client", F.col("total"), "client"),
+            rows(quiet, "by_device", "client", F.col("total"), "client"),
+            rows(found, "new_domains", "client", F.col("count"), "domain"),
+            rows(anomalies, "volume_anomalies", "client", F.abs("z_score"), "client"),
+        ]
+    )
+
+
+def _list_entry(name: str, fields: tuple[str, ...]) -> Column:
+    """An entry of a list with its rank, NULL on the rows of other lists."""
+    label = "first_client" if name == "new_domains" else "device"
+    entry = F.struct(
+        *[
+            F.col("device").alias(label) if field == "device" else F.col(f"{name}.{field}")
+            for field in fields
+        ]
+    )
+    return F.when(F.col("list") == name, F.struct("rank", entry.alias("entry"))).alias(name)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

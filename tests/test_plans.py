@@ -22,6 +22,14 @@ def physical_plan(df):
     return text[text.index("== Physical Plan =="):]
 
 
+def _sorting(plan):
+    """Sort-based aggregates but for the one that gives each address of a device map one name."""
+    return [
+        line for line in plan.splitlines()
+        if "SortAggregate" in line and "min(device" not in line
+    ]
+
+
 @pytest.fixture(scope="module")
 def plans(spark):
     return {name: physical_plan(QUERIES[name](spark, SF_DIR)) for name in BATCH}
@@ -43,12 +51,12 @@ def test_top_lists_are_trimmed_before_the_shuffle(plans, name):
 @pytest.mark.parametrize("name", ["top_domains", "per_client", "off_hours_domains", "novel_domains", "volume_baseline"])
 def test_log_rows_go_through_hash_aggregates(plans, name):
     assert "partial_" in plans[name] or name == "novel_domains"
-    assert "SortAggregate" not in plans[name]
+    assert not _sorting(plans[name])
 
 
 def test_first_client_hashes_log_rows_before_it_sorts(plans):
     lines = plans["new_domains"].splitlines()
-    deepest = max(i for i, line in enumerate(lines) if "SortAggregate" in line)
+    deepest = lines.index(_sorting(plans["new_domains"])[-1])
     assert any("HashAggregate" in line for line in lines[deepest + 1:])
 
 

@@ -11,8 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -90,11 +91,16 @@ _ALL_LEFTMOST = """
     SEMI JOIN (SELECT word, max(round) AS round FROM tokens GROUP BY word) AS last USING (word, round)
 """
 
+#: The sorted rows reach the aggregates in order, because a connection has one thread; that the
+#: bytes come out as the word they were is checked.
 _DECODE = """
-    SELECT e.word, string_agg(CAST(e.id AS VARCHAR), ' ' ORDER BY e.pos) AS ids,
-           string_agg(v.hex, '' ORDER BY e.pos) AS bytes
-    FROM encoded AS e JOIN vocabulary AS v ON e.id = v.id
-    GROUP BY e.word
+    SELECT word, string_agg(name, ' ') AS ids, string_agg(hex, '') AS bytes
+    FROM (
+        SELECT e.word, v.name, v.hex
+        FROM encoded AS e JOIN vocabulary AS v ON e.id = v.id
+        ORDER BY e.word, e.pos
+    ) AS ordered
+    GROUP BY word
 """
 
 #: Words of more bytes than this are contracted at many places at a time.
@@ -130,7 +136,11 @@ class WordEncoder:
             raise ValueError("the vocabulary lacks a single byte")
         first, second, merged = merge_pairs(ranks).T
         self._table("merges", {"first": first, "second": second, "id": merged})
-        self._table("vocabulary", {"id": np.array(list(ranks.values()), "i8"), "hex": [t.hex() for t in ranks]})
+        ids = list(ranks.values())
+        self._table(
+            "vocabulary",
+            {"id": np.array(ids, "i8"), "name": [str(i) for i in ids], "hex": [t.hex() for t in ranks]},
+        )
 
     def _table(self, name: str, columns: dict) -> None:
         arrow = pa.table(columns)
@@ -163,6 +173,8 @@ class WordEncoder:
         result: list = [None] * len(words)
         for word, ids, decoded in self.con.execute(_DECODE).fetchall():
             result[word] = (b" " + ids.encode(), bytes.fromhex(decoded))
+            if result[word][1] != words[word]:
+                raise ValueError(f"decoded to another word: {words[word]!r}")
         return result
 
     def _contract_long(self) -> None:
@@ -180,42 +192,56 @@ class WordEncoder:
             )
 
 
+def _trim(memory: dict, most: int) -> None:
+    """Forget the older half of what is remembered once it is more than `most`."""
+    if len(memory) > most:
+        for key in list(islice(memory, len(memory) // 2)):
+            del memory[key]
+
+
 @lru_cache(maxsize=1)
-def text_encoder(path: str, pattern: str, kept: int = 300_000) -> Callable[[list[str]], Iterator[tuple[bytes, bytes]]]:
+def text_encoder(path: str, pattern: str, kept: int = 400_000) -> Callable[[list[str]], Iterator[tuple[bytes, bytes]]]:
     """Texts to their ids, each with a space before it, and the bytes these decode to.
 
-    What short chunks became is remembered, up to `kept` of them; then the memory starts anew.
-    A worker keeps the encoder for its next tasks.
+    What short words and chunks became is remembered, about `kept` of either; older ones are
+    forgotten. A worker keeps the encoder for its next tasks.
     """
     encoder, match = WordEncoder(read_ranks(path)), regex.compile(pattern)
-    memory: dict[str, tuple[bytes, bytes]] = {}
-
-    def learn(new: list[str]) -> None:
-        found = [match.findall(c) for c in new]
-        words = list({w for ws in found for w in ws})
-        values = dict(zip(words, encoder.encode([w.encode() for w in words])))
-        for chunk, ws in zip(new, found):
-            parts = [values[w] for w in ws]
-            memory[chunk] = (b"".join(p[0] for p in parts), b"".join(p[1] for p in parts))
+    known: dict[str, tuple[bytes, bytes]] = {}
+    ids_of: dict[str, bytes] = {}
+    bytes_of: dict[str, bytes] = {}
+
+    def learn(new_chunks: Iterable[str]) -> None:
+        found = {c: match.findall(c) for c in new_chunks}
+        new = list({w for words in found.values() for w in words if w not in known})
+        known.update(zip(new, encoder.encode([w.encode() for w in new])))
+        for chunk, words in found.items():
+            if len(words) == 1:
+                ids_of[chunk], bytes_of[chunk] = known[words[0]]
+            else:
+                parts = [known[w] for w in words]
+                ids_of[chunk] = b"".join([p[0] for p in parts])
+                bytes_of[chunk] = b"".join([p[1] for p in parts])
+        for word in new:
+            if len(word) > LONGEST_KEPT:
+                del known[word]
 
     def encode(batch: list[str]) -> Iterator[tuple[bytes, bytes]]:
         for run in slices(batch, [len(t) + 1 for t in batch], 4_000_000):
             cut = []
             for text in batch[run]:
                 first, *rest = chunks(text)
-                cut.append([first, *(" " + c for c in rest)])
-            needed = {c for cs in cut for c in cs}
-            missing = [c for c in needed if c not in memory]
-            if len(memory) + len(missing) > kept:
-                memory.clear()
-                missing = list(needed)
+                cut.append([first, *[" " + c for c in rest]])
+            for memory in (known, ids_of, bytes_of):
+                _trim(memory, kept)
+            needed = set().union(*cut)
+            missing = [c for c in needed if c not in ids_of]
             learn(missing)
             for cs in cut:
-                parts = [memory[c] for c in cs]
-                yield b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
-            for c in missing:
-                if len(c) > LONGEST_KEPT:
-                    del memory[c]
+                yield b"".join(map(ids_of.__getitem__, cs)), b"".join(map(bytes_of.__getitem__, cs))
+            for chunk in missing:
+                if len(chunk) > LONGEST_KEPT:
+                    del ids_of[chunk], bytes_of[chunk]
 
     return encode
 

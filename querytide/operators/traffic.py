@@ -116,16 +116,20 @@ def top_blocked(domains: DataFrame, k: int = ReportParams.blocked_domains) -> Da
 
 
 def summary(traffic: DataFrame) -> DataFrame:
-    return (
-        traffic.groupBy(*DAY)
-        .agg(
-            F.sum("n").alias("total_queries"),
-            F.count_distinct("client").alias("unique_clients"),
-            F.count_distinct("domain").alias("unique_domains"),
-            F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(F.lit(0))).alias("total_blocked"),
-        )
-        .withColumn("date", iso_date(F.col("report_date")))
+    """Totals of a report, from the counts of its clients and the set of its domains.
+
+    Counting both in one aggregate would make three rows of every log row; two passes of hash
+    aggregates over a few columns are cheaper.
+    """
+    clients = client_totals(traffic).groupBy(*DAY).agg(
+        F.sum("total").alias("total_queries"),
+        F.count("*").alias("unique_clients"),
+        F.sum("blocked").alias("total_blocked"),
+    )
+    domains = traffic.select(*DAY, "domain").distinct().groupBy(*DAY).agg(
+        F.count("*").alias("unique_domains")
     )
+    return clients.join(domains, list(DAY)).withColumn("date", iso_date(F.col("report_date")))
 
 
 def summary_approx(traffic: DataFrame, rsd: float = 0.01) -> DataFrame:

@@ -54,6 +54,11 @@ def test_log_rows_go_through_hash_aggregates(plans, name):
     assert not _sorting(plans[name])
 
 
+def test_no_row_is_multiplied(plans):
+    for name in ("summary", "packet_sections"):
+        assert "Expand" not in plans[name]
+
+
 def test_first_client_hashes_log_rows_before_it_sorts(plans):
     lines = plans["new_domains"].splitlines()
     deepest = lines.index(_sorting(plans["new_domains"])[-1])

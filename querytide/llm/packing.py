@@ -11,6 +11,7 @@ again. Only lengths travel; no block, island or sequence grows with the data.
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections.abc import Callable, Iterator
@@ -70,20 +71,21 @@ class Vocabulary:
 def _encoder(vocabulary: Vocabulary) -> Callable[[str], bytes]:
     """A text to its ids as little-endian unsigned 32-bit integers.
 
-    Special tokens' strings in a text are ordinary text. Runs of white space that are too long
-    for the pattern's matcher go through the tokenizers file. A worker keeps the encoder for its
-    next tasks.
+    The tokenizers file's added tokens are found in a text as that library finds them. Runs of
+    white space that are too long for the pattern's matcher go through the tokenizers file. A
+    worker keeps the encoder for its next tasks.
     """
+    with open(vocabulary.tokenizer, encoding="utf-8") as file:
+        added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
     fast = tiktoken.Encoding(
-        "packing", pat_str=vocabulary.pattern, mergeable_ranks=read_ranks(vocabulary.ranks), special_tokens={}
+        "packing", pat_str=vocabulary.pattern, mergeable_ranks=read_ranks(vocabulary.ranks), special_tokens=added
     )
 
     def encode(text: str) -> bytes:
         try:
-            ids = fast.encode_to_numpy(text, disallowed_special=())
+            ids = fast.encode_to_numpy(text, allowed_special="all")
         except ValueError:
             whole = Tokenizer.from_file(vocabulary.tokenizer)
-            whole.encode_special_tokens = True
             ids = np.array(whole.encode(text, add_special_tokens=False).ids, "u4")
         return ids.astype("<u4").tobytes()
 

@@ -1,0 +1,16 @@
+"""Cases of the second review: what the operators used to leave out."""
+
+from __future__ import annotations
+
+import numpy as np
+import public_tokenizers
+from querytide.llm import packing
+from tokenizers import Tokenizer
+
+
+def test_ids_are_those_of_the_plain_tokenizers_call():
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing._encoder(packing.Vocabulary())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", " " * 300_000 + "<|endoftext|>"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]

@@ -1,7 +1,7 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
-Counts are learned from a bounded sample of the labelled documents, summed by Spark. The matrix of
-log-probabilities has one row for each slot and one column for each language; it is broadcast, and
+Counts are learned from a bounded sample of the labelled documents of every language, summed by
+Spark; no language that occurs is left out. The matrix of log-probabilities has one row for each slot and one column for each language; it is broadcast, and
 a batch of texts is scored by looking up the rows of all its n-grams at once.
 """
 
@@ -13,22 +13,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from querytide.llm.common import prepare, slices, texts
+from querytide.session import write_and_read
 
 _LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
 class LanguageParams:
-    #: Documents learned from, at most (all rows that tie with the last one's hash are taken).
+    #: Documents of each language learned from, at most (all rows that tie with the last one's hash
+    #: are taken).
     sample: int = 20_000
-    #: Languages learned at most, the most frequent first, and the documents each must have.
-    languages: int = 100
-    least_documents: int = 3
     #: Characters of an n-gram at most, and slots they are hashed to.
     longest: int = 3
     slots: int = 2**16
@@ -101,46 +100,77 @@ def _grams(data: np.ndarray, lengths: np.ndarray, params: LanguageParams) -> Ite
         yield at, (mixed % np.uint64(params.slots)).astype("i8")
 
 
+def _last_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """`lang`, its `documents`, and the `last` hash of its `most` smallest ones, of rows (`lang`, `hash`).
+
+    Languages are counted in 4096 ranges of hashes, and only the hashes of the range in which the
+    last one lies are ranked, so no task meets all documents of a language.
+    """
+    cell = F.shiftright("hash", 52).alias("cell")
+    so_far = Window.partitionBy("lang").orderBy("cell")
+    cells = write_and_read(rows.groupBy("lang", cell).agg(F.count("*").alias("n")), "language-cells")
+    summed = cells.withColumn("before", F.sum("n").over(so_far) - F.col("n"))
+    edges = summed.filter((F.col("before") < most) & (F.col("before") + F.col("n") >= most)).select("lang", "cell", "before")
+    edges = write_and_read(edges, "language-edges")
+    within = rows.withColumn("cell", cell).join(edges, ["lang", "cell"]).groupBy("lang", "hash", "before").agg(F.count("*").alias("n"))
+    rank = F.col("before") + F.sum("n").over(Window.partitionBy("lang").orderBy("hash"))
+    last = within.withColumn("rank", rank).filter(F.col("rank") >= most).groupBy("lang").agg(F.min("hash").alias("last"))
+    total = cells.groupBy("lang").agg(F.sum("n").alias("documents"))
+    return total.join(last, "lang", "left").select("lang", "documents", F.coalesce("last", F.lit(2**63 - 1)).alias("last"))
+
+
 def learn(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
     """A model from `text` and `lang`; rows with either null are not learned from.
 
-    The sample is the rows with the smallest hashes of their doc_id, so it is the same at every
-    run. Only counts reach the driver, `slots` for each of at most `languages` languages.
+    The sample is, of each language, the rows with the smallest hashes of their doc_id, so it is
+    the same at every run. The prior is by all rows. Every language that occurs is learned, and
+    only counts reach the driver, `slots` for each language at most.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(
         F.xxhash64(F.col("doc_id").cast("long")).alias("hash"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
-    last = rows.select("hash").orderBy("hash").limit(params.sample).agg(F.max("hash")).first()[0]
-    sample = rows.filter(F.col("hash") <= F.lit(last)) if last is not None else rows.limit(0)
-    frequent = sample.groupBy("lang").count().filter(F.col("count") >= params.least_documents)
-    found = frequent.orderBy(F.desc("count"), "lang").limit(params.languages).collect()
-    languages = sorted(r["lang"] for r in found)
-    documents = {r["lang"]: r["count"] for r in found}
+    last = write_and_read(_last_hashes(rows.select("lang", "hash"), params.sample), "languages")
+    documents = {r["lang"]: r["documents"] for r in last.select("lang", "documents").collect()}
+    languages = sorted(documents)
+    place = {name: k for k, name in enumerate(languages)}
     slots = params.slots
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(languages), slots), "i8")
+        tables: dict[str, np.ndarray] = {}
+
+        def summed_up() -> Iterator[pa.RecordBatch]:
+            for name, table in tables.items():
+                at = np.flatnonzero(table)
+                yield pa.RecordBatch.from_arrays([pa.array(at + place[name] * slots), pa.array(table[at])], ["slot", "n"])
+            tables.clear()
+
         for batch in batches:
-            own = texts(batch.column("lang"))
-            for k, name in enumerate(languages):
-                chosen = [t for t, n in zip(texts(batch.column("text")), own) if n == name] if name in own else []
+            by_name: dict[str, list[str]] = {}
+            for name, text in zip(texts(batch.column("lang")), texts(batch.column("text"))):
+                by_name.setdefault(name, []).append(text)
+            for name, chosen in by_name.items():
+                table = tables.setdefault(name, np.zeros(slots, "i8"))
                 for run in slices(chosen, [len(t) for t in chosen], 500_000):
                     for _, at in _grams(*_laid_out(chosen[run]), params):
-                        table[k] += np.bincount(at, minlength=slots)
-        flat = table.reshape(-1)
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["slot", "n"])
+                        table += np.bincount(at, minlength=slots)
+                if len(tables) >= 64:
+                    yield from summed_up()
+        yield from summed_up()
 
-    chosen = sample.filter(F.col("lang").isin(languages)).select("lang", "text")
+    chosen = rows.join(last, "lang").filter(F.col("hash") <= F.col("last")).select("lang", "text")
     summed = chosen.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full(len(languages) * slots, params.smoothing)
-    table[summed["slot"].to_numpy("i8")] += summed["n"].to_numpy("f8")
-    table = table.reshape(len(languages), slots)
-    matrix = np.log(table / table.sum(axis=1, keepdims=True)).T.astype("f4")
+    summed = summed.sort_values("slot")
+    slot, n = summed["slot"].to_numpy("i8"), summed["n"].to_numpy("f8")
+    edges = np.searchsorted(slot, np.arange(len(languages) + 1) * slots)
+    matrix = np.empty((slots, len(languages)), "f4")
+    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+        table = np.full(slots, params.smoothing)
+        table[slot[a:b] - k * slots] += n[a:b]
+        matrix[:, k] = np.log(table / table.sum())
     weight = np.array([documents[name] for name in languages], "f8")
-    return Model(languages, np.ascontiguousarray(matrix), np.log(weight / weight.sum()), params)
+    return Model(languages, matrix, np.log(weight / weight.sum()), params)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import public_tokenizers
-from querytide.llm import packing
+from pyspark.sql import functions as F
+from querytide.llm import language, packing
 from tokenizers import Tokenizer
 
 
@@ -14,3 +15,24 @@ def test_ids_are_those_of_the_plain_tokenizers_call():
     for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", " " * 300_000 + "<|endoftext|>"):
         assert np.frombuffer(encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_every_language_that_occurs_is_learned(spark):
+    rows = [(k, f"the cat sat on mat {k}", "en") for k in range(400)] + [(1000, "le chat noir sur la table", "fr")]
+    rows += [(2000 + k, f"zq{chr(97 + k // 26)}{chr(97 + k % 26)} xq", f"l{k}") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, language.LanguageParams(sample=50, slots=4096))
+    assert model.languages == sorted({lang for _, _, lang in rows})
+    assert model.predict(["le chat noir sur la table", "the cat sat on mat"])[0] == ["fr", "en"]
+
+
+def test_sample_is_the_smallest_hashes_of_each_language(spark):
+    rows = [(k % 900, "en" if k % 3 else "fr") for k in range(1000)] + [(None, "de")] * 5 + [(7, "nl")]
+    hashed = spark.createDataFrame(rows, "doc_id long, lang string").select("lang", F.xxhash64("doc_id").alias("hash"))
+    by_lang = {}
+    for row in hashed.collect():
+        by_lang.setdefault(row["lang"], []).append(row["hash"])
+    for most in (1, 4, 60, 5000):
+        found = {r["lang"]: (r["documents"], r["last"]) for r in language._last_hashes(hashed, most).collect()}
+        expected = {k: (len(v), sorted(v)[most - 1] if len(v) >= most else 2**63 - 1) for k, v in by_lang.items()}
+        assert found == expected

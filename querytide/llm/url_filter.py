@@ -185,19 +185,20 @@ def learn(urls: DataFrame, params: ModelParams = ModelParams()) -> Models:
 def judge(pages: DataFrame, rules: list[Rule], params: ModelParams = ModelParams()) -> DataFrame:
     """`page_id`, `host`, `path`, `rule`, `verdict` and the models' `score` of every page.
 
-    The score is null where a rule decides. A null URL, or one without `://`, has an empty host
-    and path, fits no rule with a host, and scores 0. A rule that no URL fits teaches nothing;
+    Rules look at host and path, models at the whole URL. The score is null where a rule decides. A
+    null URL, or one without `://`, has an empty host and path and fits no rule with a host; a null
+    or empty URL scores 0. A rule that no URL fits teaches nothing;
     with one class only, or none, the threshold is 0 and scores of 0 and more are allowed.
     Repeated rows stay repeated, null page_ids stay null, columns beside page_id and url are not
     read. An empty table gives an empty table.
     """
     prepare(pages.sparkSession)
     host, path = host_and_path(F.col("url").cast("string"))
-    cut = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
+    whole = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    cut = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"), whole.alias("url"))
     name, verdict = ruled(rules, F.col("host"), F.col("path"))
     known = write_and_read(cut.select("*", name.alias("rule"), verdict.alias("ruled")), "ruled-urls")
-    url = F.concat("host", "path")
-    models = learn(known.filter("ruled IS NOT NULL").select(url.alias("url"), (F.col("ruled") == "allow").alias("allowed")), params)
+    models = learn(known.filter("ruled IS NOT NULL").select("url", (F.col("ruled") == "allow").alias("allowed")), params)
     shared = pages.sparkSession.sparkContext.broadcast(models)
 
     @arrow_udf("double")
@@ -207,6 +208,6 @@ def judge(pages: DataFrame, rules: list[Rule], params: ModelParams = ModelParams
         scores[asked] = shared.value.score(text_bytes(values.take(pa.array(asked))))
         return pa.array(scores, pa.float64(), mask=np.isnan(scores))
 
-    scored = known.withColumn("score", run(F.when(F.col("ruled").isNull(), url)))
+    scored = known.withColumn("score", run(F.when(F.col("ruled").isNull(), F.col("url"))))
     decided = F.when(F.col("score") >= F.lit(models.threshold), "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", decided).alias("verdict"), "score")

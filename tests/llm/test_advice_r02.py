@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
-from querytide.llm import language, packing
+from querytide.llm import language, packing, url_filter
 from tokenizers import Tokenizer
 
 
@@ -36,3 +36,14 @@ def test_sample_is_the_smallest_hashes_of_each_language(spark):
         found = {r["lang"]: (r["documents"], r["last"]) for r in language._last_hashes(hashed, most).collect()}
         expected = {k: (len(v), sorted(v)[most - 1] if len(v) >= most else 2**63 - 1) for k, v in by_lang.items()}
         assert found == expected
+
+
+def test_models_see_the_whole_url(spark):
+    rows = [(n, f"https://h{n % 7}.{'org/en?page=one&n=' if n % 2 else 'com/de?ad=click&n='}{n}") for n in range(400)]
+    rows += [(1000, "https://x.net/a?page=one&n=5"), (1001, "https://x.net/a?ad=click&n=5"), (1002, "page=one"), (1003, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    found = url_filter.judge(pages, [url_filter.Rule("org", "/", True), url_filter.Rule("com", "/de", False)])
+    asked = {r["page_id"]: r for r in found.filter("page_id >= 1000").collect()}
+    assert (asked[1000]["host"], asked[1000]["path"]) == (asked[1001]["host"], asked[1001]["path"]) == ("x.net", "/a")
+    assert (asked[1000]["verdict"], asked[1001]["verdict"]) == ("allow", "block")
+    assert asked[1002]["score"] > 0 and asked[1003]["score"] == 0

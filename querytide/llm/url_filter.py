@@ -2,8 +2,9 @@
 
 One model is learned from the URLs that the rules allow, one from those they block. Both are
 variable-order Markov models: the probability of a character blends the counts of all contexts
-from the longest down, each context leaning on the next shorter one. Counts live in hashed slots,
-so a model has a fixed size however many URLs it is learned from. A URL that no rule fits is
+from the longest down, each context leaning on the next shorter one. Counts are exact and live in
+tables that grow with the URLs they are learned from; contexts to be scored are joined to them,
+each distinct one once. A URL that no rule fits is
 allowed if the length-normalised difference of its log-likelihoods reaches a threshold that is
 calibrated on ruled URLs kept apart from learning.
 """
@@ -17,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from querytide.llm.common import prepare, text_bytes
 from querytide.session import write_and_read
 
 
+#: Pages scored in one group at most.
+CHUNK_ROWS = 1024
+
+
 @dataclass(frozen=True)
 class Rule:
     """Fits `host` and its subdomains where the path starts with `path`."""
@@ -38,9 +42,9 @@ class Rule:
 
 @dataclass(frozen=True)
 class ModelParams:
-    #: Characters of context at most.
+    #: Bytes of context at most; up to 5, so that a context with its next byte fits a long.
     order: int = 5
-    #: Slots of a model for contexts with their next character, and again for contexts.
+    #: Without effect, as counts are exact; callers may still set it.
     slots: int = 2**17
     #: Weight of a shorter context in the next longer one.
     lean: float = 4.0
@@ -48,6 +52,10 @@ class ModelParams:
     bins: int = 400
     span: float = 8.0
 
+    def __post_init__(self):
+        if not 0 <= self.order <= 5:
+            raise ValueError("order is 0 to 5")
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host, A-Z lower-cased, and path of a URL; both empty without `://` or URL.
@@ -72,26 +80,27 @@ def ruled(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Column
     return name, verdict
 
 
-def _slots(data: np.ndarray, starts: np.ndarray, order: int, slots: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each context length up to `order`, the slots of contexts and of contexts with a character.
+#: Bits of a byte in a key (0 stands for what is before the beginning), and where the context's length is.
+_BITS, _LENGTH = 9, 54
+
+
+def _slots(data: np.ndarray, starts: np.ndarray, order: int, slots: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each context length up to `order`, the keys of contexts and of contexts with a byte.
 
     `data` is the bytes of all URLs, `starts` the position each byte's URL begins at. A context
-    that would reach over the beginning of its URL is filled up with zeros.
+    that would reach over the beginning of its URL is filled up with zeros. Keys are the bytes
+    themselves and the length, so no two contexts share one; `slots` has no effect.
     """
     at = np.arange(len(data))
-    value = data.astype("u8") + 1
-    context = np.zeros(len(data), "u8")
+    value = data.astype("i8") + 1
+    context = np.zeros(len(data), "i8")
     for length in range(order + 1):
         if length:
             back = at - length
-            before = np.where(back >= starts, value[np.maximum(back, 0)], 0).astype("u8")
-            context = (context + before) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(length)
-            context ^= context >> np.uint64(29)
-        joint = (context + value) * np.uint64(0xBF58476D1CE4E5B9)
-        joint ^= joint >> np.uint64(32)
-        own = context * np.uint64(0x94D049BB133111EB)
-        own ^= own >> np.uint64(31)
-        yield (own % np.uint64(slots)).astype("i8"), (joint % np.uint64(slots)).astype("i8")
+            before = np.where(back >= starts, value[np.maximum(back, 0)], 0)
+            context = context | (before << (_BITS * (length - 1)))
+        joint = (context << _BITS) | value | (length << _LENGTH)
+        yield joint >> _BITS, joint
 
 
 def _laid_out(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,84 +111,141 @@ def _laid_out(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Models:
-    """Counts by class (0 blocked, 1 allowed), context length and slot, and the threshold."""
+    """Tables of contexts (`context`) and contexts with a byte (`joint`), and the threshold.
+
+    Both have the counts of each class, `blocked` and `allowed`.
+    """
 
-    contexts: np.ndarray
-    joints: np.ndarray
+    contexts: DataFrame
+    joints: DataFrame
     params: ModelParams
     threshold: float = 0.0
 
     def score(self, urls: list[bytes]) -> np.ndarray:
-        """Difference of the log-likelihoods, allowed less blocked, a character; 0 if empty."""
-        data, starts, lengths = _laid_out(urls)
-        p = np.full((2, len(data)), 1 / 256)
-        for length, (own, joint) in enumerate(_slots(data, starts, self.params.order, self.params.slots)):
-            for kind in (0, 1):
-                # A shared slot can hold more joints than contexts; a share is one at most.
-                seen = np.minimum(self.joints[kind, length, joint], self.contexts[kind, length, own])
-                p[kind] = (seen + self.params.lean * p[kind]) / (self.contexts[kind, length, own] + self.params.lean)
-        difference = np.log(p[1]) - np.log(p[0])
-        ends = np.cumsum(lengths)
-        sums = np.concatenate(([0.0], np.cumsum(difference)))
-        return (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)
-
-
-def _counted(urls: DataFrame, params: ModelParams) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all rows (`url`, `allowed`); each task adds up its own before they meet."""
-    slots, order = params.slots, params.order
+        """The scores of a few URLs; see `scored`."""
+        rows = self.joints.sparkSession.createDataFrame([(k, 0, u) for k, u in enumerate(urls)], "at long, chunk long, url binary")
+        return np.array([r["score"] for r in self.scored(rows).orderBy("at").collect()])
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """`rows` with `score` in place of `chunk` and `url`.
+
+        The score is the difference of the log-likelihoods, allowed less blocked, a byte; 0 if
+        empty. Rows that share a `chunk` are scored in one group. A chunk asks once for each of its
+        distinct longest contexts with a byte, so a frequent one counts no more than there are chunks.
+        """
+        order = self.params.order
+
+        def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                chunks = batch.column("chunk").to_numpy(zero_copy_only=False)
+                urls = text_bytes(batch.column("url"))
+                for chunk in np.unique(chunks):
+                    data, starts, _ = _laid_out([urls[k] for k in np.flatnonzero(chunks == chunk)])
+                    grams = np.unique(_longest(data, starts, order))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), chunk)), pa.array(grams)], ["chunk", "joint"])
+
+        met = rows.select("chunk", "url").mapInArrow(distinct, "chunk long, joint long").distinct()
+        met = write_and_read(met, "url-contexts")
+        found = met.join(self._differences(met.select("joint").distinct()), "joint")
+        kept = [c for c in rows.columns if c not in ("chunk", "url")]
+
+        def score(own: pa.Table, known: pa.Table) -> pa.Table:
+            data, starts, lengths = _laid_out(text_bytes(own.column("url").combine_chunks()))
+            grams, values = known.column("joint").to_numpy(), known.column("difference").to_numpy()
+            ordered = np.argsort(grams)
+            at = np.searchsorted(grams[ordered], _longest(data, starts, order))
+            sums = np.concatenate(([0.0], np.cumsum(values[ordered][at])))
+            ends = np.cumsum(lengths)
+            scores = (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)
+            return own.select(kept).append_column("score", pa.array(scores, pa.float64()))
+
+        schema = rows.select(*kept, F.lit(0.0).alias("score")).schema
+        return rows.groupBy("chunk").cogroup(found.select("chunk", "joint", "difference").groupBy("chunk")).applyInArrow(score, schema)
+
+    def _differences(self, grams: DataFrame) -> DataFrame:
+        """`joint` and the `difference` of the classes' log-probabilities, of distinct longest `joint`s.
+
+        Every length asks for distinct keys, so no context is met more often than there are bytes
+        to follow it, and no shorter one more often than there are bytes to go before it.
+        """
+        lean, order = F.lit(float(self.params.lean)), self.params.order
+        levels = [F.col("joint").bitwiseAND((1 << _BITS * (k + 1)) - 1).bitwiseOR(k << _LENGTH) for k in range(order + 1)]
+        keys = grams.select(F.explode(F.array(*levels)).alias("joint")).distinct()
+        counts = self.joints.select("joint", *(F.col(c).alias(f"n_{c}") for c in _CLASSES))
+        around = self.contexts.select("context", *(F.col(c).alias(f"c_{c}") for c in _CLASSES))
+        looked = keys.join(counts, "joint", "left").withColumn("context", F.shiftright("joint", _BITS)).join(around, "context", "left")
+        looked = looked.select("joint", F.shiftright("joint", _LENGTH).alias("length"), *(f"{x}_{c}" for x in "nc" for c in _CLASSES)).fillna(0)
+        looked = write_and_read(looked, "url-counts")
+        shares = None
+        for k in range(order + 1):
+            level = looked.filter(F.col("length") == k)
+            if shares is None:
+                level = level.select("*", *(F.lit(1 / 256).alias(f"p_{c}") for c in _CLASSES))
+            else:
+                shorter = F.col("joint").bitwiseAND((1 << _BITS * k) - 1).bitwiseOR((k - 1) << _LENGTH)
+                level = level.withColumn("shorter", shorter).join(shares.withColumnRenamed("joint", "shorter"), "shorter")
+            p = [((F.col(f"n_{c}") + lean * F.col(f"p_{c}")) / (F.col(f"c_{c}") + lean)).alias(f"p_{c}") for c in _CLASSES]
+            shares = level.select("joint", *p)
+        return shares.select("joint", (F.log("p_allowed") - F.log("p_blocked")).alias("difference"))
+
+
+#: The classes in the order of `allowed`.
+_CLASSES = ("blocked", "allowed")
+
+
+def _longest(data: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+    """The key of every byte with its longest context."""
+    *_, (_, joint) = _slots(data, starts, order)
+    return joint
+
+
+def _counted(urls: DataFrame, params: ModelParams) -> tuple[DataFrame, DataFrame]:
+    """The tables of `Models` from all rows (`url`, `allowed`); each batch adds up its own before they meet."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 2, order + 1, slots), "i8")
         for batch in batches:
             for kind in (0, 1):
                 chosen = batch.filter(pa.compute.equal(batch.column("allowed"), bool(kind)))
                 data, starts, _ = _laid_out(text_bytes(chosen.column("url")))
-                for length, pair in enumerate(_slots(data, starts, order, slots)):
-                    for part, at in enumerate(pair):
-                        table[kind, part, length] += np.bincount(at, minlength=slots)
-        flat = table.reshape(-1)
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["slot", "n"])
+                keys, n = np.unique(np.concatenate([joint for _, joint in _slots(data, starts, params.order)]), return_counts=True)
+                sides = [n, np.zeros_like(n)] if kind == 0 else [np.zeros_like(n), n]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype("i8")) for x in (keys, *sides)], ["joint", *_CLASSES])
 
-    summed = urls.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(4 * (order + 1) * slots, "i8")
-    table[summed["slot"].to_numpy("i8")] = summed["n"].to_numpy("i8")
-    table = table.reshape(2, 2, order + 1, slots)
-    return table[:, 0], table[:, 1]
+    sums = [F.sum(c).alias(c) for c in _CLASSES]
+    counted = urls.select("url", "allowed").mapInArrow(count, "joint long, blocked long, allowed long")
+    joints = write_and_read(counted.groupBy("joint").agg(*sums), "url-joints")
+    contexts = joints.groupBy(F.shiftright("joint", _BITS).alias("context")).agg(*sums)
+    return write_and_read(contexts, "url-contexts"), joints
 
 
-def _scored(models: Models, url: Column) -> Column:
-    @arrow_udf("double")
-    def run(values: pa.Array) -> pa.Array:
-        return pa.array(models.score(text_bytes(values)), pa.float64())
-
-    return run(url)
+def _apart(url: Column) -> Column:
+    """True for the fifth of ruled URLs that the threshold is calibrated on."""
+    return F.pmod(F.xxhash64(url), F.lit(5)) == 0
 
 
 def learn(urls: DataFrame, params: ModelParams = ModelParams()) -> Models:
-    """Models from all rows (`url`, `allowed`), calibrated on the fifth that a hash sets apart.
+    """Models from all rows (`url`, `allowed`) but the fifth that a hash sets apart for `calibrated`."""
+    prepare(urls.sparkSession)
+    return Models(*_counted(urls.filter(~_apart(F.col("url"))), params), params)
 
-    Everything that reaches the driver has a size fixed by the parameters: the slots, and the
-    histograms of calibration scores. The threshold makes the shares of wrong verdicts in the two
-    classes add up to the least, in the middle of a tie; it is 0 where a class is missing.
+
+def calibrated(scored: DataFrame, params: ModelParams = ModelParams()) -> float:
+    """The threshold from rows (`score`, `allowed`).
+
+    Only a histogram reaches the driver. The threshold makes the shares of wrong verdicts in the
+    two classes add up to the least, in the middle of a tie; it is 0 where a class is missing.
     """
-    prepare(urls.sparkSession)
-    apart = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
-    models = Models(*_counted(urls.filter(~apart), params), params)
     width = 2 * params.span / params.bins
     cell = F.least(F.greatest(F.floor((F.col("score") + params.span) / width), F.lit(0)), F.lit(params.bins - 1))
-    histogram = (
-        urls.filter(apart).withColumn("score", _scored(models, F.col("url"))).groupBy("allowed", cell.alias("cell")).count().toPandas()
-    )
+    histogram = scored.groupBy("allowed", cell.alias("cell")).count().toPandas()
     counts = np.zeros((2, params.bins))
     counts[histogram["allowed"].to_numpy("i8"), histogram["cell"].to_numpy("i8")] = histogram["count"].to_numpy("f8")
     if not counts.sum(axis=1).all():
-        return models
+        return 0.0
     below = np.concatenate((np.zeros((2, 1)), counts.cumsum(axis=1)), axis=1) / counts.sum(axis=1, keepdims=True)
     wrong = below[1] + 1 - below[0]
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    middle = best[len(best) // 2]
-    return Models(models.contexts, models.joints, params, float(middle * width - params.span))
+    return float(best[len(best) // 2] * width - params.span)
 
 
 def judge(pages: DataFrame, rules: list[Rule], params: ModelParams = ModelParams()) -> DataFrame:
@@ -197,17 +263,17 @@ def judge(pages: DataFrame, rules: list[Rule], params: ModelParams = ModelParams
     whole = F.coalesce(F.col("url").cast("string"), F.lit(""))
     cut = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"), whole.alias("url"))
     name, verdict = ruled(rules, F.col("host"), F.col("path"))
-    known = write_and_read(cut.select("*", name.alias("rule"), verdict.alias("ruled")), "ruled-urls")
+    # Chunks of rows that follow each other; written, so that they stay as they are.
+    chunk = F.floor(F.monotonically_increasing_id() / CHUNK_ROWS).alias("chunk")
+    known = write_and_read(cut.select("*", name.alias("rule"), verdict.alias("ruled"), chunk), "ruled-urls")
     models = learn(known.filter("ruled IS NOT NULL").select("url", (F.col("ruled") == "allow").alias("allowed")), params)
-    shared = pages.sparkSession.sparkContext.broadcast(models)
-
-    @arrow_udf("double")
-    def run(values: pa.Array) -> pa.Array:
-        asked = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
-        scores = np.full(len(values), np.nan)
-        scores[asked] = shared.value.score(text_bytes(values.take(pa.array(asked))))
-        return pa.array(scores, pa.float64(), mask=np.isnan(scores))
-
-    scored = known.withColumn("score", run(F.when(F.col("ruled").isNull(), F.col("url"))))
-    decided = F.when(F.col("score") >= F.lit(models.threshold), "allow").otherwise("block")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", decided).alias("verdict"), "score")
+    asked = F.col("ruled").isNull() | _apart(F.col("url"))
+    columns = ["page_id", "host", "path", "rule", "ruled"]
+    scored = write_and_read(models.scored(known.filter(asked).select(*columns, "chunk", "url")), "scored-urls")
+    judged = scored.filter("ruled IS NOT NULL").select("score", (F.col("ruled") == "allow").alias("allowed"))
+    threshold = calibrated(judged, params)
+    others = known.filter(~asked).select(*columns, F.lit(None).cast("double").alias("score"))
+    every = scored.unionByName(others)
+    decided = F.when(F.col("score") >= F.lit(threshold), "allow").otherwise("block")
+    score = F.when(F.col("ruled").isNull(), F.col("score")).alias("score")
+    return every.select("page_id", "host", "path", "rule", F.coalesce("ruled", decided).alias("verdict"), score)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -47,3 +51,30 @@ def test_models_see_the_whole_url(spark):
     assert (asked[1000]["host"], asked[1000]["path"]) == (asked[1001]["host"], asked[1001]["path"]) == ("x.net", "/a")
     assert (asked[1000]["verdict"], asked[1001]["verdict"]) == ("allow", "block")
     assert asked[1002]["score"] > 0 and asked[1003]["score"] == 0
+
+
+def test_url_counts_are_exact_however_many_contexts(spark):
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789%_-ÄÖ") for _ in range(n))
+    training = [(f"{word(6)}.{'org' if k % 2 else 'com'}/{word(60)}", bool(k % 2)) for k in range(1500)]
+    asked = [f"{word(5)}.net/{word(30)}" for _ in range(20)] + [training[0][0], training[1][0], ""]
+    params = url_filter.ModelParams()
+    models = url_filter.Models(*url_filter._counted(spark.createDataFrame(training, "url string, allowed boolean"), params), params)
+    contexts, joints = Counter(), Counter()
+    for url, kind in training:
+        data = b"\0" * 5 + url.encode()
+        for at in range(5, len(data)):
+            for length in range(6):
+                contexts[kind, data[at - length : at]] += 1
+                joints[kind, data[at - length : at + 1]] += 1
+    found = models.score([u.encode() for u in asked])
+    for url, score in zip(asked, found):
+        data, total = b"\0" * 5 + url.encode(), 0.0
+        for at in range(5, len(data)):
+            p = [1 / 256, 1 / 256]
+            for length in range(6):
+                for kind in (0, 1):
+                    n, m = joints[kind, data[at - length : at + 1]], contexts[kind, data[at - length : at]]
+                    p[kind] = (n + params.lean * p[kind]) / (m + params.lean)
+            total += math.log(p[1]) - math.log(p[0])
+        assert abs(score - total / max(1, len(data) - 5)) < 1e-9

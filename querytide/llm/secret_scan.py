@@ -2,15 +2,19 @@
 
 Strong patterns are reported wherever they stand. Weak candidates (an identifier, a random-looking
 string, an endpoint) are reported only where the parts that complete a credential lie within
-reach of them. The parts meet in an interval join: texts are laid out in stretches of one reach,
-and for every stretch and role only the outermost positions are kept, so that a text with very
-many parts makes no pairs of them.
+reach of them or in the same block or section of a config text. Candidates that overlap are linked
+like others, an endpoint with the secret in it; which of them are reported is settled afterwards.
+The parts meet in an interval join: texts are laid out in stretches of one reach, and for every
+stretch and role only the outermost positions are kept, so that a text with very many parts makes
+no pairs of them. Blocks and sections are joined as further stretches.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,6 +43,13 @@ _RANDOM = re.compile(
 )
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:/@%-]+|(?:[a-z0-9-]+\.){2,}[a-z]{2,}:[0-9]{2,5}")
 
+#: Lines of a block: one word, a comment, an item, or a key with `:` or `=`. Names of sections.
+_BLOCK_LINE = re.compile(
+    r"""[\x20\t]*(?:[^\s]+\s*$|[#;]|//|[-?]\x20|(?:export\x20+)?["']?[\w.-]+["']?[\x20\t]*[:=])"""
+)
+_BRACKETS = re.compile(r"[\x20\t]*\[[^\[\]\n]+\]\s*$")
+_HEADING = re.compile(r"#{1,6}\x20+\S")
+
 SPAN = "struct<kind: string, start: int, end: int>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
@@ -54,60 +65,137 @@ def strong_spans(text: str) -> list[Span]:
 
 
 def weak_spans(text: str, strong: list[Span]) -> list[Span]:
-    """Weak candidates that no strong span and no earlier candidate overlaps."""
-    found = [("identifier", *m.span()) for m in _IDENTIFIER.finditer(text)]
-    found += [("secret", *m.span()) for m in _RANDOM.finditer(text)]
+    """Weak candidates by start, then kind, those that overlap others included.
+
+    One part is not taken for two: a candidate within a strong span is that span, and a
+    random-looking string that shares characters with an access key or an identifier is its value;
+    an identifier is drawn out to the end of its value.
+    """
+    names = [list(m.span()) for m in _IDENTIFIER.finditer(text)]
+    named = [start for start, _ in names]
+    access = [s[1:] for s in strong if s[0] == "access"]
+    keyed = [start for start, _ in access]
+    found: list[Span] = []
+    for m in _RANDOM.finditer(text):
+        start, end = m.span()
+        at, key = bisect_right(named, end - 1) - 1, bisect_right(keyed, end - 1) - 1
+        if at >= 0 and names[at][1] > start:
+            names[at] = [min(names[at][0], start), max(names[at][1], end)]
+        elif key < 0 or access[key][1] <= start:
+            found.append(("secret", start, end))
+    found += [("identifier", *span) for span in names]
     if found or strong:  # endpoints count only beside other parts
         found += [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)]
-    kept, free, at = [], 0, 0
+    begins, furthest = [s[1] for s in strong], list(accumulate((s[2] for s in strong), max))
+    kept = []
     for span in sorted(found, key=lambda s: (s[1], KINDS.index(s[0]))):
-        while at < len(strong) and strong[at][1] < span[1]:
-            free, at = max(free, strong[at][2]), at + 1
-        if span[1] >= free and (at == len(strong) or strong[at][1] >= span[2]):
+        before = bisect_right(begins, span[1])
+        if not before or furthest[before - 1] < span[2]:
+            kept.append(span)
+    return kept
+
+
+def scopes(text: str, spans: list[Span]) -> list[list[int]]:
+    """The blocks and sections of a text that each span lies in, as `4 * number + scope`.
+
+    Scope 1 is a block, two lines or more like those of a config text without another between
+    them; 2 is a section from a line with a name in brackets to the next, 3 one from a Markdown
+    heading to the next. Spans lie within a line.
+    """
+    begins, places = [], []
+    block = brackets = heading = 0
+    within, at = False, 0
+    for line in text.split("\n"):
+        if _BRACKETS.match(line):
+            brackets += 1
+        if _HEADING.match(line):
+            heading += 1
+        fits = _BLOCK_LINE.match(line) is not None
+        block += fits and not within
+        within = fits
+        begins.append(at)
+        places.append((block if fits else 0, brackets, heading))
+        at += len(line) + 1
+    lonely = {
+        p[0] for k, p in enumerate(places) if p[0] and (not k or places[k - 1][0] != p[0]) and (k + 1 == len(places) or places[k + 1][0] != p[0])
+    }
+    found = []
+    for _, start, _ in spans:
+        own = places[bisect_right(begins, start) - 1]
+        found.append([4 * n + scope for scope, n in enumerate(own, 1) if n and not (scope == 1 and n in lonely)])
+    return found
+
+
+def settled(strong: list[Span], linked: list[Span]) -> list[Span]:
+    """The linked spans that no other reported span holds; of equal ones the first kind."""
+    furthest, kept = -1, []
+    every = [(s[1], -s[2], k, s) for k, spans in enumerate((strong, linked)) for s in spans]
+    for _, end, weak, span in sorted(every, key=lambda e: (e[0], e[1], e[2], KINDS.index(e[3][0]))):
+        if weak and -end > furthest:
             kept.append(span)
-            free = span[2]
+        furthest = max(furthest, -end)
     return kept
 
 
 def _scan(text: Column) -> Column:
-    @arrow_udf(f"strong array<{SPAN}>, weak array<{SPAN}>")
+    """The spans of a text, and the places of all, strong ones first, if there are weak ones."""
+
+    @arrow_udf(f"strong array<{SPAN}>, weak array<{SPAN}>, places array<array<long>>")
     def run(values: pa.Array) -> pa.Array:
         strong = [strong_spans(t) for t in texts(values)]
         weak = [weak_spans(t, s) for t, s in zip(texts(values), strong)]
-        return pa.StructArray.from_arrays([pa.array(x, pa.list_(_SPAN)) for x in (strong, weak)], names=["strong", "weak"])
+        places = [scopes(t, s + w) if w else [] for t, s, w in zip(texts(values), strong, weak)]
+        spans = [pa.array(x, pa.list_(_SPAN)) for x in (strong, weak)]
+        return pa.StructArray.from_arrays([*spans, pa.array(places, pa.list_(pa.list_(pa.int64())))], names=["strong", "weak", "places"])
 
     return run(text.cast("string"))
 
 
+def _settled(strong: Column, linked: Column) -> Column:
+    @arrow_udf(f"array<{SPAN}>")
+    def run(strong: pa.Array, linked: pa.Array) -> pa.Array:
+        rows = zip(strong.to_pylist(), linked.to_pylist())
+        as_spans = lambda spans: [(s["kind"], s["start"], s["end"]) for s in spans]
+        return pa.array([settled(as_spans(s), as_spans(found)) if found else [] for s, found in rows], pa.list_(_SPAN))
+
+    return run(F.when(linked.isNotNull(), strong), linked)
+
+
 def _linked(scanned: DataFrame, reach: int) -> DataFrame:
-    """`key` and the weak spans of the rows (`key`, `strong`, `weak`) whose complement is near.
+    """`key` and the weak spans of the rows (`key`, `strong`, `weak`, `places`) whose complement is near.
 
-    An identifier needs a secret within `reach` code points, a random-looking string needs an
+    Near is within `reach` code points or in a block or section of the same text (`scopes`). An
+    identifier needs a secret near, a random-looking string needs an
     identifier, and an endpoint needs both. Every strong access span counts as an identifier, all
     other strong spans as secrets.
     """
     some = scanned.filter(F.size("weak") > 0)
-    part = some.select("key", F.explode(F.concat("strong", "weak")).alias("span")).select("key", "span.*")
+    zipped = F.arrays_zip(F.concat("strong", "weak").alias("span"), F.col("places").alias("scopes"))
+    part = some.select("key", F.explode(zipped).alias("part")).select("key", "part.span.*", "part.scopes")
     role = F.when(F.col("kind").isin("access", "identifier"), "identifier").when(F.col("kind") != "endpoint", "secret")
-    stretch = F.explode(F.sequence(F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach)))
-    low = F.col("stretch") * reach
+    # A place is four times a stretch's number, or that of a block or section as in `scopes`.
+    stretch = F.transform(F.sequence(F.floor(F.col("start") / reach), F.floor((F.col("end") - 1) / reach)), lambda n: n * 4)
+    low = F.floor(F.col("place") / 4) * reach
     outermost = (
         part.withColumn("role", role)
         .filter(F.col("role").isNotNull())
-        .withColumn("stretch", stretch)
-        .groupBy("key", "stretch", "role")
+        .withColumn("place", F.explode(F.concat(stretch, "scopes")))
+        .groupBy("key", "place", "role")
         .agg(F.min(F.greatest("start", low)).alias("first"), F.max(F.least("end", low + reach)).alias("last"))
     )
-    weak = some.select("key", F.explode("weak").alias("span"))
-    around = F.sequence(
-        F.floor((F.col("span.start") - reach) / reach), F.floor((F.col("span.end") + reach) / reach)
+    n_strong, n_weak = F.size("strong"), F.size("weak")
+    own = F.arrays_zip(F.col("weak").alias("span"), F.slice("places", n_strong + 1, n_weak).alias("scopes"))
+    weak = some.select("key", F.explode(own).alias("part")).select("key", "part.*")
+    around = F.transform(
+        F.sequence(F.floor((F.col("span.start") - reach) / reach), F.floor((F.col("span.end") + reach) / reach)), lambda n: n * 4
     )
     # What a candidate reaches is longer than a stretch, so within one it covers the beginning or
     # the end; the outermost positions decide.
+    within = (F.col("first") <= F.col("span.end") + reach) & (F.col("last") >= F.col("span.start") - reach)
     near = (
-        weak.withColumn("stretch", F.explode(around))
-        .join(outermost, ["key", "stretch"])
-        .filter((F.col("first") <= F.col("span.end") + reach) & (F.col("last") >= F.col("span.start") - reach))
+        weak.withColumn("place", F.explode(F.concat(around, "scopes")))
+        .join(outermost, ["key", "place"])
+        .filter((F.pmod("place", F.lit(4)) != 0) | within)
     )
     beside = near.groupBy("key", "span").agg(
         F.bool_or(F.col("role") == "identifier").alias("identifier"), F.bool_or(F.col("role") == "secret").alias("secret")
@@ -142,7 +230,8 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     """`doc_id`, the `strong` spans and all `spans` of every row, each by start, then kind.
 
-    A null text is empty and has no spans. Offsets are code points, ends exclusive. Repeated rows
+    A linked span that lies within another reported one is not told again; spans that overlap only
+    in part are all told. A null text is empty and has no spans. Offsets are code points, ends exclusive. Repeated rows
     stay repeated, a null doc_id stays null, other columns are not read, and an empty table gives
     an empty table.
     """
@@ -153,7 +242,7 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     rows = write_and_read(scanned.select("doc_id", "key", "found.*"), "scanned")
     linked = _linked(rows, reach)
     return rows.join(linked, "key", "left").select(
-        "doc_id", "strong", _in_order(F.concat("strong", F.coalesce("linked", F.array().cast(f"array<{SPAN}>")))).alias("spans")
+        "doc_id", "strong", _in_order(F.concat("strong", _settled(F.col("strong"), F.col("linked")))).alias("spans")
     )
 
 
@@ -178,7 +267,7 @@ def redact(docs: DataFrame, reach: int = 200, mask: str = "[secret]") -> DataFra
     keyed = docs.withColumn(found, _scan(text)).withColumn(
         key, F.when(F.size(F.col(found)["weak"]) > 0, F.unhex(F.sha2(text.cast("binary"), 256)))
     )
-    suspects = keyed.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), f"{found}.strong", f"{found}.weak")
+    suspects = keyed.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), f"{found}.strong", f"{found}.weak", f"{found}.places")
     linked = write_and_read(_linked(suspects.dropDuplicates(["key"]), reach), "linked")
     linked = linked.withColumnsRenamed({"key": key, "linked": spans})
     marked = keyed.join(linked, key, "left")

@@ -1,7 +1,7 @@
 """License scans in DataFrame operations alone.
 
 Every line of a text is compared with the sentences of known licenses by the cosine of sparse
-TF-IDF vectors. Inverse document frequencies come from all lines of all documents. Only a line
+TF-IDF vectors. Inverse document frequencies of all terms come from all lines of all documents. Only a line
 with one of the heaviest terms of a sentence can reach the threshold, so other lines are left
 aside without loss. A text with more license lines than others, or named like one, is the license file
 of its directory; files without a license of their own inherit from the nearest directory above
@@ -41,6 +41,9 @@ TEMPLATES = (
     ("proprietary", "All rights reserved"),
 )
 
+#: Shares of the terms of candidate lines.
+SALTS = 16
+
 _TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 _FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
@@ -57,15 +60,34 @@ def _sentence_terms() -> list[tuple[str, Counter]]:
     return [(name, Counter(re.findall(_TERM, sentence.lower()))) for name, sentence in TEMPLATES]
 
 
-def inverse_frequencies(docs: DataFrame) -> tuple[dict[str, float], float]:
-    """The weight of every term of the templates, from all lines, and that of any other term."""
-    known = sorted({t for _, counted in _sentence_terms() for t in counted})
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """`term` and `n`, the lines of all documents that have it, of every term; the empty term has all lines."""
     line = docs.select(F.explode(_lines(F.col("text").cast("string"))).alias("line"))
-    marked = F.array_append(F.array_intersect(terms(F.col("line")), F.array(*map(F.lit, known))), F.lit(""))
-    counted = {r["term"]: r["n"] for r in line.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    marked = F.array_append(F.array_distinct(terms(F.col("line"))), F.lit(""))
+    counted = line.select(F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return write_and_read(counted, "line-frequencies")
+
+
+def template_weights(frequencies: DataFrame) -> tuple[dict[str, float], int]:
+    """The weight of every term of the templates, and the number of lines."""
+    known = sorted({t for _, counted in _sentence_terms() for t in counted})
+    counted = {r["term"]: r["n"] for r in frequencies.filter(F.col("term").isin([*known, ""])).collect()}
     lines = counted.get("", 0)
-    weight = {t: math.log((1 + lines) / (1 + counted.get(t, 0))) + 1 for t in known}
-    return weight, math.log(1 + lines) + 1
+    return {t: math.log((1 + lines) / (1 + counted.get(t, 0))) + 1 for t in known}, lines
+
+
+def _other_weights(rows: DataFrame, frequencies: DataFrame, weight: dict[str, float], lines: int) -> DataFrame:
+    """`key` and `others`, the weights of the terms of `anchored` that no template has.
+
+    Terms meet their frequencies in SALTS shares, so that a frequent one is not met in one task.
+    """
+    known = F.array(*map(F.lit, sorted(weight)))
+    some = rows.filter(F.size("anchored") > 0).select("key", F.explode(F.array_except(F.flatten("anchored"), known)).alias("term"))
+    some = some.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    met = frequencies.join(some.select("term").distinct(), "term", "left_semi")
+    copies = met.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    entry = F.struct("term", (F.log((1 + F.lit(lines)) / (1 + F.col("n"))) + 1).alias("weight"))
+    return some.join(copies, ["term", "salt"]).groupBy("key").agg(F.map_from_entries(F.collect_list(entry)).alias("others"))
 
 
 def _anchors(weights: list[dict[str, float]], threshold: float) -> set[str]:
@@ -91,13 +113,13 @@ def _lookup(weights: dict[str, float]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(t), F.lit(w)) for t, w in sorted(weights.items())))
 
 
-def _vector(words: Column, weight: dict[str, float], other: float) -> Column:
-    """The distinct terms of a line with their weights."""
+def _vector(words: Column, weight: dict[str, float], others: Column) -> Column:
+    """The distinct terms of a line with their weights; `others` has those of no template."""
     table = _lookup(weight)
 
     def weighed(term: Column) -> Column:
         times = F.size(F.filter(words, lambda w: w == term))
-        return F.struct(term.alias("term"), (times * F.coalesce(F.element_at(table, term), F.lit(other))).alias("weight"))
+        return F.struct(term.alias("term"), (times * F.coalesce(F.element_at(table, term), F.element_at(others, term))).alias("weight"))
 
     return F.transform(F.array_distinct(words), weighed)
 
@@ -133,7 +155,8 @@ def scan(docs: DataFrame, path: Column, threshold: float = 0.8) -> DataFrame:
     path inherits nothing. Repeated rows stay repeated, columns beside doc_id, text and those of
     `path` are not read, and an empty table gives an empty table.
     """
-    weight, other = inverse_frequencies(docs)
+    frequencies = document_frequencies(docs)
+    weight, lines = template_weights(frequencies)
     sentences = [{t: n * weight[t] for t, n in counted.items()} for _, counted in _sentence_terms()]
     anchors = F.array(*map(F.lit, sorted(_anchors(sentences, threshold))))
     every = _lines(F.col("text").cast("string"))
@@ -142,9 +165,13 @@ def scan(docs: DataFrame, path: Column, threshold: float = 0.8) -> DataFrame:
         path.alias("path"),
         F.size(every).alias("lines"),
         F.filter(F.transform(every, terms), lambda words: F.arrays_overlap(words, anchors)).alias("anchored"),
+        F.monotonically_increasing_id().alias("key"),
     )
+    rows = write_and_read(rows, "license-candidates")
+    rows = rows.join(_other_weights(rows, frequencies, weight, lines), "key", "left")
+    others = F.coalesce("others", F.create_map().cast("map<string,double>"))
     # One bound variable after the other, so that no line is cut or weighed twice.
-    vectors = F.transform("anchored", lambda words: _vector(words, weight, other))
+    vectors = F.transform("anchored", lambda words: _vector(words, weight, others))
     scored = rows.withColumn("scored", F.transform(vectors, lambda vector: _best(vector, weight)))
     matched = scored.withColumn("matched", F.filter("scored", lambda s: s["score"] >= threshold))
     found = write_and_read(

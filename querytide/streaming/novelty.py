@@ -25,7 +25,9 @@ def stream_novel_domains(
 
     State is the last day each domain was seen. It expires when the domain would count as
     new anyway, so the state holds one window of domains and not all domains ever seen.
-    Days older than the state's last day count as known.
+    Days older than the state's last day count as known. Rows whose report day is behind the
+    watermark, `lateness` before the newest, are dropped without an alert, also those of a domain
+    never seen; where they matter, use `StateUpkeep`, which takes late rows in.
     """
     # Both functions are local ones, so they travel with the query and the workers need no
     # copy of this package.

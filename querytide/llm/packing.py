@@ -68,7 +68,12 @@ class Vocabulary:
 
 
 @lru_cache(maxsize=1)
-def _encoder(vocabulary: Vocabulary) -> Callable[[str], bytes]:
+def _whole(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=1)
+def text_encoder(vocabulary: Vocabulary) -> Callable[[str], bytes]:
     """A text to its ids as little-endian unsigned 32-bit integers.
 
     The tokenizers file's added tokens are found in a text as that library finds them. Runs of
@@ -85,8 +90,7 @@ def _encoder(vocabulary: Vocabulary) -> Callable[[str], bytes]:
         try:
             ids = fast.encode_to_numpy(text, allowed_special="all")
         except ValueError:
-            whole = Tokenizer.from_file(vocabulary.tokenizer)
-            ids = np.array(whole.encode(text, add_special_tokens=False).ids, "u4")
+            ids = np.array(_whole(vocabulary.tokenizer).encode(text, add_special_tokens=False).ids, "u4")
         return ids.astype("<u4").tobytes()
 
     return encode
@@ -112,7 +116,7 @@ def pieces(
     capacity, end = params.capacity, np.array([params.end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary)
+        encode = text_encoder(vocabulary)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             columns: list[list] = [[] for _ in range(7)]
@@ -322,8 +326,10 @@ def pack(pieces: DataFrame, params: PackingParams = PackingParams()) -> DataFram
     Full pieces are sequences of their own. No length may exceed the capacity; an empty table
     gives an empty table.
     """
+    prepare(pieces.sparkSession)
+    kinds = params.rounds + 1  # full pieces and the bins of each round number their sequences apart
     full = pieces.filter(F.col("length") >= params.capacity).select(
-        "key", (F.col("key") * 4 + 3).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        "key", (F.col("key") * kinds + params.rounds).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     rest = pieces.filter(F.col("length") < params.capacity).select("key", "length")
     done = [full]
@@ -349,7 +355,7 @@ def pack(pieces: DataFrame, params: PackingParams = PackingParams()) -> DataFram
         done.append(
             settled.select(
                 "key",
-                ((F.col("block") * 2**20 + F.col("bin")) * 4 + number).cast("long").alias("sequence_id"),
+                ((F.col("block") * 2**20 + F.col("bin")) * kinds + number).cast("long").alias("sequence_id"),
                 "offset",
             )
         )

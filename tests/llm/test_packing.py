@@ -16,9 +16,7 @@ from tokenizers import Tokenizer
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
-    return whole
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def expected_pieces(tokenizer, doc_id, text):
@@ -59,6 +57,11 @@ def test_odd_rows(spark, tokenizer):
     assert packing.pack_documents(no_docs(spark)).count() == 0
 
 
+def test_no_pieces_no_sequences(spark):
+    packed = packing.pack_documents(no_docs(spark), with_ids=True)
+    assert packing.sequences(packed).count() == 0
+
+
 def test_sequences_hold_the_ids(spark, tokenizer):
     docs = spark.createDataFrame([(1, "some words here"), (2, None), (3, "more " * 3000)], "doc_id long, text string")
     packed = packing.pack_documents(docs, with_ids=True)
@@ -69,10 +72,12 @@ def test_sequences_hold_the_ids(spark, tokenizer):
     assert total == sorted(i for t in ("some words here", "", "more " * 3000) for i in [*tokenizer.encode(t).ids, 2])
 
 
-def test_blocks_rounds_and_islands_lose_nothing(spark):
+@pytest.mark.parametrize("rounds", [2, 3, 4, 6])
+def test_blocks_rounds_and_islands_lose_nothing(spark, rounds):
     draw = random.Random(4)
-    pieces = spark.createDataFrame([(k, draw.randint(1, 1024)) for k in range(3000)], "key long, length long")
-    params = PackingParams(block_items=200, islands=3, rounds=3)
+    lengths = [1024 if k % 2 and rounds > 2 else draw.randint(1, 1024) for k in range(3000)]
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "key long, length long")
+    params = PackingParams(block_items=200, islands=3, rounds=rounds)
     packed = packing.pack(pieces, params).join(pieces, "key")
     rows = packed.collect()
     assert sorted(r["key"] for r in rows) == list(range(3000))

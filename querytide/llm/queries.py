@@ -16,6 +16,7 @@ from querytide.llm import (
     quality_rules,
     secret_scan,
     simhash,
+    token_files,
     url_filter,
 )
 from querytide.llm.common import read_table
@@ -111,3 +112,8 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return licenses.scan(docs, path)
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_digests(read_table(spark, sf_dir, "documents"))

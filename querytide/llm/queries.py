@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from querytide.llm import (
     bpe,
+    conversations,
     language,
     licenses,
     packing,
@@ -117,3 +118,25 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_digests(read_table(spark, sf_dir, "documents"))
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, cut off, repeated or given to the user, by a checksum of their place."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    kind = (F.crc32(key.cast("binary")) % 20).alias("kind")
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text"))
+    kept = rows.select("conv_id", "turn", role, text, kind).filter("kind <> 0")
+    return kept.select(
+        "conv_id", "turn",
+        F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "")
+        .when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations")
+    return conversations.repair_digests(_damaged(rows), rows)

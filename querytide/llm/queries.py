@@ -19,6 +19,7 @@ from querytide.llm import (
     simhash,
     token_files,
     url_filter,
+    whitening,
 )
 from querytide.llm.common import read_table
 from querytide.llm.exact_dedup import DigestIndex
@@ -140,3 +141,8 @@ def _damaged(rows: DataFrame) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations")
     return conversations.repair_digests(_damaged(rows), rows)
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))

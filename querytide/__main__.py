@@ -9,10 +9,9 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import SparkSession
 
-from querytide.operators.report_days import assign_report_days
 from querytide.params import DAY, ReportParams
 from querytide.plans.daily import run_report
-from querytide.plans.packet import backfill_packets
+from querytide.plans.packet import backfill_packets, times_of_span
 from querytide.plans.reports import (
     PROMPT_SCHEMA,
     import_dated_files,
@@ -128,10 +127,10 @@ def make_packets(spark: SparkSession, args: argparse.Namespace) -> None:
             **side_inputs,
         )
     else:
-        log = assign_report_days(read_log(spark, args.log), params)
+        span = (args.first, args.last) if args.first else None
+        log = read_log(spark, args.log, *(times_of_span(span, params) if span else ()))
         if networks is not None:
             log = log.join(networks.distinct(), "network_id", "left_semi")
-        span = (args.first, args.last) if args.first else None
         made = backfill_packets(log, params, span=span, **side_inputs)
         packets = write_and_read(made, "packets")
     write_packets(packets, f"{args.out}/packets")

@@ -17,6 +17,7 @@ from querytide.operators import (
     fingerprints,
     messages,
     novelty,
+    panes,
     report_days,
     traffic,
     volume,
@@ -230,6 +231,63 @@ def off_hours_dst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.off_hours_domains(log, b.DST_PARAMS)
 
 
+# Windows longer than a day, by panes.
+
+LONG = {"36h": 36, "48h": 48, "30d": 30 * 24}
+
+
+def _panes(spark: SparkSession, sf_dir: str, hours: int, log=b.event_log) -> tuple[DataFrame, ReportParams]:
+    params = replace(PARAMS if log is b.event_log else b.BULK_PARAMS, window_hours=hours)
+    return write_and_read(panes.pane_rollup(log(spark, sf_dir), params), "panes"), params
+
+
+def _long_windows(spark: SparkSession, sf_dir: str, operator) -> DataFrame:
+    parts = [
+        operator(*_panes(spark, sf_dir, hours)).withColumn("lookback", F.lit(name))
+        for name, hours in LONG.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def pane_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long_windows(spark, sf_dir, panes.summary)
+
+
+@query
+def pane_top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long_windows(spark, sf_dir, panes.top_domains)
+
+
+@query
+def pane_client_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long_windows(spark, sf_dir, panes.client_totals)
+
+
+@query
+def pane_off_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Off-hours over midnight from rollups of overlapping windows."""
+    params = replace(WRAPPED, window_hours=48)
+    return traffic.off_hours_domains(panes.report_rollup(b.event_log(spark, sf_dir), params), params)
+
+
+@query
+def pane_blocked_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rule of a blocked domain within overlapping windows of 36 hours."""
+    params = replace(PARAMS, window_hours=36)
+    return traffic.blocked_domains(panes.report_rollup(b.event_log(spark, sf_dir), params))
+
+
+@query
+def bulk_summary_30d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panes.summary(*_panes(spark, sf_dir, 30 * 24, b.lineitem_log))
+
+
+@query
+def bulk_top_domains_30d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panes.top_domains(*_panes(spark, sf_dir, 30 * 24, b.lineitem_log))
+
+
 # Novelty.
 
 
@@ -524,6 +582,26 @@ def packet_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def backfill_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of some late days: what they find new or unusual rests on the days before them."""
+    params = replace(PARAMS, known_domains_window_days=NOVELTY_DAYS)
+    span = (REPORT_DATE, REPORT_DATE + timedelta(days=4))
+    packets = packet.backfill_packets(
+        b.event_log(spark, sf_dir), params, b.base_devices(spark, sf_dir), span=span
+    )
+    return _findings(packets)
+
+
+@query
+def packet_48h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of overlapping windows of two days, over the whole log."""
+    params = replace(PARAMS, known_domains_window_days=NOVELTY_DAYS, window_hours=48)
+    return _findings(
+        packet.backfill_packets(b.event_log(spark, sf_dir), params, b.base_devices(spark, sf_dir))
+    )
+
+
 @query
 def packet_client_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested per-client lists taken apart again."""
@@ -625,6 +703,11 @@ def daily_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         params,
         b.base_devices(spark, sf_dir),
     )
+    return _findings(packets)
+
+
+def _findings(packets: DataFrame) -> DataFrame:
+    """New domains, unusual clients and total of every report."""
     new = packets.select(*DAY, F.explode("packet.new_domains").alias("e")).select(
         *DAY, F.lit("new").alias("section"), F.col("e.domain").alias("name"), "e.count"
     )

@@ -29,11 +29,34 @@ dated AS (
          CAST(l_shipdate - INTERVAL 15 HOURS AS DATE) + 1 AS report_date
   FROM lineitem)"""
 
+
+
+def long_windows(windows: str, log: str = "log") -> str:
+    """Every row once for each report whose window of so many hours it is in."""
+    return f"""
+runs AS (
+  SELECT CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS report_date
+  FROM (SELECT CAST(min(time) AS DATE) AS a, CAST(max(time) AS DATE) + 40 AS z FROM {log})),
+dated AS (
+  SELECT l.*, d.report_date, w.lookback
+  FROM {log} l JOIN (VALUES {windows}) w(lookback, hours) ON TRUE
+  JOIN runs d ON time < d.report_date + INTERVAL 15 HOURS
+             AND time >= d.report_date + INTERVAL 15 HOURS - hours * INTERVAL 1 HOUR)"""
+
+
+LONG = f"{LOG}," + long_windows("('36h', 36), ('48h', 48), ('30d', 720)")
+LONG_36 = f"{LOG}," + long_windows("('36h', 36)")
+LONG_48 = f"{LOG}," + long_windows("('48h', 48)")
+
 DEVICES = """
 devices AS (
   SELECT 'net' || (c_custkey % 3) AS network_id, '10.0.0.' || c_custkey AS ip, c_name AS device
   FROM customer WHERE c_mktsegment <> 'HOUSEHOLD')"""
 
+BULK_30 = BULK.replace("dated AS", "log AS").replace(
+    ",\n         CAST(l_shipdate - INTERVAL 15 HOURS AS DATE) + 1 AS report_date", ""
+) + "," + long_windows("('30d', 720)")
+
 SUPPLIERS = """
 devices AS (
   SELECT 'site' || (s_suppkey % 3) AS network_id, 's' || s_suppkey AS ip, s_name AS device
@@ -186,7 +209,10 @@ def with_(*parts: str) -> str:
     return "WITH " + ",".join(part for part in parts[:-1]) + parts[-1]
 
 
-PACKET_PARTS = f"""{DATED},{DEVICES},{VOLUMES},{ANOMALIES},{QUIET},{novel(7)},{found("arg_max")},
+
+
+def packet_parts(dated: str) -> str:
+    return f"""{dated},{DEVICES},{VOLUMES},{ANOMALIES},{QUIET},{novel(7)},{found("arg_max")},
 clients AS ({CLIENTS}), client_top AS ({CLIENT_TOP}), top AS ({TOP}), blocked AS ({BLOCKED}),
 quiet_devices AS ({QUIET_DEVICES}), new_domains AS ({FOUND}), totals AS ({SUMMARY}),
 span AS (SELECT network_id, MIN(report_date) AS a, MAX(report_date) AS z FROM dated GROUP BY ALL),
@@ -194,6 +220,9 @@ days AS (SELECT network_id, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) A
          FROM span)"""
 
 
+PACKET_PARTS = packet_parts(DATED)
+
+
 def _section(table: str, order: str, first: str, prefix: str, alias: str) -> str:
     return f"""
 LEFT JOIN (SELECT network_id, report_date, COUNT(*) AS {prefix}_rows,
@@ -201,6 +230,16 @@ LEFT JOIN (SELECT network_id, report_date, COUNT(*) AS {prefix}_rows,
            FROM {table} GROUP BY ALL) {prefix} USING (network_id, report_date)"""
 
 
+def findings(days: str) -> str:
+    return f"""
+SELECT network_id, report_date, 'new' AS section, domain AS name, count
+FROM new_domains WHERE report_date {days}
+UNION ALL SELECT network_id, report_date, 'anomaly', client, today_count
+FROM anomalies WHERE report_date {days}
+UNION ALL SELECT network_id, report_date, 'total', '', total_queries
+FROM totals WHERE report_date {days}"""
+
+
 PACKET_SECTIONS = f"""
 SELECT network_id, report_date, COALESCE(total_queries, 0) AS total_queries, total_blocked,
        COALESCE(top_rows, 0) AS top_rows, top_first,
@@ -519,16 +558,22 @@ UNION ALL SELECT network_id, report_date, 'by_device', device || ' ' || client,
 UNION ALL SELECT network_id, report_date, 'volume_anomalies', device || ' ' || client, today_count
           FROM anomalies""",
     ),
-    "daily_run": with_(
-        PACKET_PARTS,
+    "pane_summary": with_(LONG, SUMMARY.replace("network_id,", "lookback, network_id,")),
+    "pane_top_domains": with_(LONG, TOP.replace("network_id,", "lookback, network_id,")),
+    "pane_client_totals": with_(
+        LONG,
         """
-SELECT network_id, report_date, 'new' AS section, domain AS name, count
-FROM new_domains WHERE report_date = DATE '2024-01-20'
-UNION ALL SELECT network_id, report_date, 'anomaly', client, today_count
-FROM anomalies WHERE report_date = DATE '2024-01-20'
-UNION ALL SELECT network_id, report_date, 'total', '', total_queries
-FROM totals WHERE report_date = DATE '2024-01-20'""",
+SELECT lookback, network_id, report_date, client, COUNT(*) AS total,
+       CAST(SUM(CAST(blocked AS INT)) AS BIGINT) AS blocked
+FROM dated GROUP BY ALL""",
     ),
+    "pane_off_hours": with_(LONG_48, QUIET_WRAPPED, QUIET_TOP),
+    "pane_blocked_domains": with_(LONG_36, BLOCKED),
+    "bulk_summary_30d": with_(BULK_30, SUMMARY),
+    "bulk_top_domains_30d": with_(BULK_30, TOP),
+    "backfill_span": with_(PACKET_PARTS, findings("BETWEEN DATE '2024-01-20' AND DATE '2024-01-24'")),
+    "packet_48h": with_(packet_parts(LONG_48), findings("IS NOT NULL")),
+    "daily_run": with_(PACKET_PARTS, findings("= DATE '2024-01-20'")),
     "job_daily": with_(
         DATED,
         VOLUMES,

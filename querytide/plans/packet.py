@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime, time, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from querytide.functions.scalar import blocked_percent, iso_date
-from querytide.operators import enforcement, fingerprints, novelty, traffic, volume
+from querytide.functions.scalar import blocked_percent, iso_date, utc_literal
+from querytide.operators import enforcement, fingerprints, novelty, panes, traffic, volume
 from querytide.operators.devices import label_clients
 from querytide.operators.paging import paginate
-from querytide.operators.report_days import report_calendar
+from querytide.operators.report_days import assign_report_days, report_calendar
 from querytide.params import DAY, ReportParams
 from querytide.session import write_and_read
 
@@ -41,8 +41,11 @@ class ReportTables:
 
 def report_tables(dated_log: DataFrame, params: ReportParams = ReportParams()) -> ReportTables:
     """Scan the log once; sections then read the smallest table that has what they need."""
-    rows = traffic.rollup(traffic.as_traffic(dated_log, params)).drop("oldest_key")
-    cube = write_and_read(rows, "rollup")
+    return rollup_tables(traffic.rollup(traffic.as_traffic(dated_log, params)))
+
+
+def rollup_tables(rollup: DataFrame) -> ReportTables:
+    cube = write_and_read(rollup.drop("oldest_key"), "rollup")
     return ReportTables(
         cube,
         write_and_read(traffic.client_totals(cube), "clients"),
@@ -51,7 +54,7 @@ def report_tables(dated_log: DataFrame, params: ReportParams = ReportParams()) -
 
 
 def backfill_packets(
-    dated_log: DataFrame,
+    log: DataFrame,
     params: ReportParams = ReportParams(),
     devices: DataFrame | None = None,
     intercepts: DataFrame | None = None,
@@ -60,25 +63,54 @@ def backfill_packets(
 ) -> DataFrame:
     """Packets of every report day in a log, with state taken from the log's own history.
 
-    `span` gives the first and the last report date; without it every network's own first and
-    last day count, which rows with wrong clocks may stretch.
+    The log is dated, by `assign_report_days`, or not; only a log without dates is aggregated by
+    panes where windows overlap. `span` gives the first and the last report date; without it every
+    network's own first and last day count, which rows with wrong clocks may stretch. The days
+    before a span that its first days look back on are read as well, for their domains and volumes
+    only, so a span's packets are those of the whole backfill.
     """
     first, last = (F.lit(d) for d in span) if span else (None, None)
+    window, baseline = params.known_domains_window_days, params.volume_baseline_days
+    if span and "report_date" not in log.columns:
+        since, until = map(utc_literal, times_of_span(span, params))
+        log = log.filter((F.col("time") >= since) & (F.col("time") < until))
+    if "report_date" in log.columns:
+        rows = traffic.as_traffic(log, params)
+    elif params.window_hours <= 24:
+        rows = traffic.as_traffic(assign_report_days(log, params), params)
+    else:
+        rows = write_and_read(panes.report_rollup(log, params), "report-rollup")
+    inside = rows.filter(F.col("report_date").between(first, last)) if span else rows
+    tables = rollup_tables(traffic.rollup(inside))
+    days, volumes = tables.domains, tables.volumes()
+    if span:
+        earlier = _earlier_days(rows, first, max(window, baseline))
+        days = days.unionByName(novelty.first_sightings(earlier), allowMissingColumns=True)
+        volumes = volumes.unionByName(volume.daily_volume(earlier))
+    novel = novelty.novel_over_history(days, window)
+    compared = volume.with_trailing_baseline(volumes, baseline)
     if span:
-        dated_log = dated_log.filter(F.col("report_date").between(first, last))
-    tables = report_tables(dated_log, params)
+        novel, compared = (found.filter(F.col("report_date") >= first) for found in (novel, compared))
     return assemble(
-        tables,
-        novelty.novel_over_history(tables.domains, params.known_domains_window_days),
-        volume.with_trailing_baseline(tables.volumes(), params.volume_baseline_days),
-        params,
-        devices,
-        intercepts,
-        snapshots,
-        report_calendar(tables.clients, first, last),
+        tables, novel, compared, params, devices, intercepts, snapshots, report_calendar(tables.clients, first, last)
     )
 
 
+def times_of_span(span: tuple[date, date], params: ReportParams) -> tuple[datetime, datetime]:
+    """What any report of a span, or of the days before it, can see; days to spare for time zones."""
+    days = max(params.known_domains_window_days, params.volume_baseline_days)
+    days += -(-int(params.window_hours) // 24) + 2
+    first, last = (datetime.combine(day, time()) for day in span)
+    return first - timedelta(days=days), last + timedelta(days=2)
+
+
+def _earlier_days(rows: DataFrame, first: Column, days: int) -> DataFrame:
+    """Clients and domains of the days before a span, one row each a day with its queries."""
+    before = (F.col("report_date") >= F.date_sub(first, days)) & (F.col("report_date") < first)
+    counted = rows.filter(before).groupBy(*DAY, "client", "domain").agg(F.sum("n").alias("n"))
+    return write_and_read(counted, "earlier-days")
+
+
 def evidence_packets(
     tables: ReportTables,
     novel: DataFrame,

@@ -356,6 +356,22 @@ def state_per_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.withColumn("queries", F.lit(None).cast("bigint")).unionByName(volumes)
 
 
+@query
+def state_overlapping_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs that start from the same state: two publish, a third fails before it does."""
+    log = b.event_traffic(spark, sf_dir)
+    sightings = write_and_read(novelty.first_sightings(log), "sightings")
+    state = StateTables(spark, scratch_path(spark, "state"))
+    state.record_domains(sightings.filter(F.col("network_id") == "net2"))
+    one = state.stage_domains(sightings.filter(F.col("network_id") == "net0"))
+    blocked = novelty.first_sightings(log.filter(F.col("blocked")))
+    other = state.stage_domains(blocked.filter(F.col("network_id") != "net0"))
+    state.stage_domains(sightings.withColumn("domain", F.lit("never published")))
+    other.publish()
+    one.publish()
+    return state.known_domains(date.max)
+
+
 @query
 def known_domains_late_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An older day first recorded in part, and whole only after the days that follow it."""

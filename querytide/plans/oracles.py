@@ -397,6 +397,17 @@ SELECT network_id, domain AS name, MIN(report_date) AS first_seen, MAX(report_da
 FROM kept GROUP BY ALL
 UNION ALL
 SELECT network_id, client, MIN(report_date), MAX(report_date), COUNT(*) FROM kept GROUP BY ALL""",
+    ),
+    "state_overlapping_runs": with_(
+        DATED,
+        """
+SELECT network_id, domain, MIN(report_date) AS first_seen, MAX(report_date) AS last_seen
+FROM (
+  SELECT network_id, domain, report_date FROM dated WHERE network_id = 'net0' OR blocked
+  UNION ALL
+  SELECT network_id, domain, report_date FROM dated d WHERE network_id = 'net2' AND NOT EXISTS (
+    SELECT 1 FROM dated b WHERE b.blocked AND b.network_id = d.network_id AND b.report_date = d.report_date))
+GROUP BY network_id, domain""",
     ),
     "known_domains_late_rerun": with_(
         DATED,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from querytide.operators.devices import overlay_devices
 from querytide.schemas import DEVICE_SCHEMA, FINGERPRINT_SCHEMA, INTERCEPT_SCHEMA
 from querytide.sources.files import path_exists
-from querytide.sources.day_tables import replace_days
+from querytide.sources.day_tables import current_paths, replace_days
 
 logger = logging.getLogger(__name__)
 
@@ -30,11 +30,12 @@ def read_optional_json(
         logger.warning("optional input not found: %s", path)
         return spark.createDataFrame([], schema)
     multi_line = layout == "documents"
+    paths = current_paths(spark, path) or [path]
     checked = (
         spark.read.schema(f"{schema}, _unreadable STRING")
         .option("multiLine", multi_line)
         .option("columnNameOfCorruptRecord", "_unreadable")
-        .json(path)
+        .json(paths)
     )
     # The largest row has the unreadable text if there is one; the other columns are taken along
     # because Spark does not read the corrupt ones alone.
@@ -47,7 +48,7 @@ def read_optional_json(
     )
     for row in broken.select("file").orderBy("file").limit(WARNINGS).collect():
         logger.warning("optional input cannot be read: %s", row.file)
-    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(paths)
 
 
 def read_intercept_stats(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:

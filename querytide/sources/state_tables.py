@@ -7,15 +7,15 @@ then on, and networks can be run apart.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querytide.operators.volume import upsert_daily_volume
 from querytide.params import DAY, ReportParams
 from querytide.schemas import DAILY_VOLUME_SCHEMA, SIGHTING_SCHEMA
-from querytide.sources.day_tables import read_days, replace_days
+from querytide.sources.day_tables import DayChange, clean_days, read_days, stage_days
 
 
 class StateTables:
@@ -29,8 +29,8 @@ class StateTables:
 
         With a window only its dates are read, and `first_seen` is the first day inside it.
         """
-        seen = read_days(self._spark, self._sightings, SIGHTING_SCHEMA).filter(
-            F.col("domain").isNotNull() & _days_before(before, window_days)
+        seen = self._read(self._sightings, SIGHTING_SCHEMA, before, window_days).filter(
+            F.col("domain").isNotNull()
         )
         return seen.groupBy("network_id", "domain").agg(
             F.min("report_date").alias("first_seen"), F.max("report_date").alias("last_seen")
@@ -38,21 +38,25 @@ class StateTables:
 
     def record_domains(self, sightings: DataFrame, reports: DataFrame | None = None) -> None:
         """Replace the sightings of the given reports, by default of those that have any."""
+        self.stage_domains(sightings, reports).publish()
+
+    def stage_domains(self, sightings: DataFrame, reports: DataFrame | None = None) -> DayChange:
+        """The same, written but not yet published."""
         rows = sightings.select("network_id", "domain", "report_date").distinct()
-        self._replace(rows, "domain", self._sightings, SIGHTING_SCHEMA, reports)
+        return self._stage(rows, self._sightings, SIGHTING_SCHEMA, reports)
 
     def daily_volume(
         self, before: date, baseline_days: int | None = ReportParams.volume_baseline_days
     ) -> DataFrame:
         """Volumes of the baseline days, or of all earlier days; only their folders are read."""
-        return read_days(self._spark, self._volumes, DAILY_VOLUME_SCHEMA).filter(
-            F.col("client").isNotNull() & _days_before(before, baseline_days)
+        return self._read(self._volumes, DAILY_VOLUME_SCHEMA, before, baseline_days).filter(
+            F.col("client").isNotNull()
         )
 
     def record_volume(self, volumes: DataFrame, reports: DataFrame | None = None) -> None:
         """Replace the counts of the given reports, by default of those that have any."""
         rows = volumes.select("network_id", "client", "query_count", "report_date")
-        self._replace(rows, "client", self._volumes, DAILY_VOLUME_SCHEMA, reports)
+        self._stage(rows, self._volumes, DAILY_VOLUME_SCHEMA, reports).publish()
 
     def merge_volume(self, volumes: DataFrame) -> None:
         """Like `record_volume`, but clients absent from this run keep their counts."""
@@ -61,19 +65,18 @@ class StateTables:
         old = old.filter(F.col("client").isNotNull()).join(days, list(DAY), "left_semi")
         self.record_volume(upsert_daily_volume(old, volumes))
 
-    def _replace(
-        self, rows: DataFrame, key: str, path: str, schema: str, reports: DataFrame | None
-    ) -> None:
-        """A report without rows leaves a marker with no key, which readers skip."""
-        if reports is not None:
-            markers = reports.select(*DAY).distinct()
-            rows = rows.join(markers, list(DAY), "left_semi").unionByName(
-                markers, allowMissingColumns=True
-            )
-        replace_days(rows, path, schema, reports)
+    def clean(self, keep: int = 10) -> None:
+        """Delete what runs have replaced, but for the newest states."""
+        for path in (self._sightings, self._volumes):
+            clean_days(self._spark, path, keep)
 
+    def _read(self, path: str, schema: str, before: date, days: int | None) -> DataFrame:
+        since = None if days is None else before - timedelta(days=days)
+        return read_days(self._spark, path, schema, since=since, before=before)
 
-def _days_before(day: date, days: int | None) -> Column:
-    end = F.lit(day.isoformat()).cast("date")
-    before = F.col("report_date") < end
-    return before if days is None else before & (F.col("report_date") >= F.date_sub(end, days))
+    def _stage(
+        self, rows: DataFrame, path: str, schema: str, reports: DataFrame | None
+    ) -> DayChange:
+        if reports is not None:
+            rows = rows.join(reports.select(*DAY).distinct(), list(DAY), "left_semi")
+        return stage_days(rows, path, schema, reports)

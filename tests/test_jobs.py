@@ -14,6 +14,7 @@ from querytide import __main__ as jobs
 from querytide.params import ReportParams
 from querytide.sources.archive import read_packets, read_reports
 from querytide.sources.log_store import read_log, write_log
+from querytide.sources.day_tables import current_paths
 from querytide.sources.state_tables import StateTables
 
 ZONE = ("--timezone", "Asia/Kolkata", "--off-hours", "00:30", "04:30")
@@ -77,6 +78,11 @@ def test_loads_are_added_and_replaced_whole(spark, log):
     assert read_log(spark, log).count() == rest.count()
 
 
+def raw(spark, path):
+    """JSON documents as they were written, absent keys included."""
+    return spark.read.option("basePath", str(path)).json(current_paths(spark, str(path)))
+
+
 def test_daily_job(spark, log, tmp_path, monkeypatch):
     (tmp_path / "devices.json").write_text(
         json.dumps({"network_id": "flat7", "ip": "10.7.0.3", "device": "Tablet"})
@@ -90,13 +96,13 @@ def test_daily_job(spark, log, tmp_path, monkeypatch):
         monkeypatch, tmp_path, log, "--devices", str(tmp_path / "devices.json"),
         "--intercepts", str(tmp_path / "counters"), "--fingerprints", str(tmp_path / "none"),
     )
-    (packet,) = spark.read.json(str(tmp_path / "out/packets")).collect()
+    (packet,) = raw(spark, tmp_path / "out/packets").collect()
     assert packet.report_date == date(2025, 11, 16)
     assert packet.packet.summary.total_queries == TOTAL
     assert "Tablet" in {c.device for c in packet.packet.per_client}
     assert packet.packet.dns_enforcement.udp_queries == 7
     assert "device_profiles" not in packet.packet.asDict()
-    (prompt,) = spark.read.json(str(tmp_path / "out/prompts")).collect()
+    (prompt,) = raw(spark, tmp_path / "out/prompts").collect()
     assert prompt.response_id == "flat7/2025-11-16/0"
 
 
@@ -133,7 +139,7 @@ def test_backfill_job(spark, log, tmp_path, monkeypatch):
         monkeypatch, "backfill", "--log", log, "--out", str(tmp_path / "out"),
         "--off-hours", "02:00", "04:00",
     )
-    rows = spark.read.json(str(tmp_path / "out/packets")).collect()
+    rows = read_packets(spark, str(tmp_path / "out/packets")).collect()
     assert sum(r.packet.summary.total_queries for r in rows) == TOTAL
     assert {r.packet.off_hours_activity.window_start for r in rows} == {"02:00"}
 

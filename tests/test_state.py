@@ -11,6 +11,7 @@ from querytide.operators import novelty, volume
 from querytide.operators.traffic import as_traffic
 from querytide.params import ReportParams
 from querytide.plans.daily import run_report
+from querytide.sources.archive import read_packets
 from querytide.sources.state_tables import StateTables
 
 TODAY = date(2026, 5, 8)
@@ -251,7 +252,7 @@ def test_daily_runs_can_be_repeated(spark, tmp_path):
     assert again["silent"].summary.total_blocked is None
     assert again["silent"].top_domains == []
     assert state.known_domains(date(2026, 5, 8)).count() == 9
-    assert spark.read.json(str(tmp_path / "packets")).count() == 6
+    assert read_packets(spark, str(tmp_path / "packets")).count() == 6
 
 
 def test_first_client_is_the_newest_in_arrival_order(spark):

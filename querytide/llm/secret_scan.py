@@ -38,10 +38,13 @@ _IDENTIFIER = re.compile(
     r"""(?ai:access_?key_?id|client_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@+-]{4,})"""
 )
 _RANDOM = re.compile(
-    r"(?<![A-Za-z0-9+/_=-])(?=[a-zA-Z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])"
+    r"(?<![A-Za-z0-9+/_-])(?=[a-zA-Z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])"
     r"[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 )
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._~:/@%-]+|(?:[a-z0-9-]+\.){2,}[a-z]{2,}:[0-9]{2,5}")
+#: A connection string's user and password; with the host it is an endpoint itself.
+_LOGIN = re.compile(r"://([^\s:/@?#]+):([^\s/@?#]+)@[A-Za-z0-9.-]+(?::[0-9]{2,5})?")
+_SCHEME = re.compile(r"[a-z][a-z0-9+]{0,15}$")
 
 #: Lines of a block: one word, a comment, an item, or a key with `:` or `=`. Names of sections.
 _BLOCK_LINE = re.compile(
@@ -69,7 +72,8 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
 
     One part is not taken for two: a candidate within a strong span is that span, and a
     random-looking string that shares characters with an access key or an identifier is its value;
-    an identifier is drawn out to the end of its value.
+    an identifier is drawn out to the end of its value. A connection string with a password is an
+    identifier, a secret and an endpoint that holds both.
     """
     names = [list(m.span()) for m in _IDENTIFIER.finditer(text)]
     named = [start for start, _ in names]
@@ -84,11 +88,16 @@ def weak_spans(text: str, strong: list[Span]) -> list[Span]:
         elif key < 0 or access[key][1] <= start:
             found.append(("secret", start, end))
     found += [("identifier", *span) for span in names]
+    for m in _LOGIN.finditer(text):
+        scheme = _SCHEME.search(text[max(0, m.start() - 16) : m.start()])
+        begin = m.start() - (scheme.end() - scheme.start() if scheme else 0)
+        parts = [("identifier", *m.span(1)), ("secret", *m.span(2)), ("endpoint", begin, m.end())]
+        found += parts
     if found or strong:  # endpoints count only beside other parts
         found += [("endpoint", *m.span()) for m in _ENDPOINT.finditer(text)]
     begins, furthest = [s[1] for s in strong], list(accumulate((s[2] for s in strong), max))
     kept = []
-    for span in sorted(found, key=lambda s: (s[1], KINDS.index(s[0]))):
+    for span in sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]))):
         before = bisect_right(begins, span[1])
         if not before or furthest[before - 1] < span[2]:
             kept.append(span)

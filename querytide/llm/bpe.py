@@ -13,7 +13,7 @@ import hashlib
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, pairwise
 
 import duckdb
 import numpy as np
@@ -105,6 +105,8 @@ _DECODE = """
 
 #: Words of more bytes than this are contracted at many places at a time.
 LONG_WORD = 48
+#: Characters of the texts that are cut and looked up together.
+RUN_CHARS = 4_000_000
 #: Token rows of long words that the rounds of one recursive query may keep.
 ROUND_ROWS = 1_000_000
 
@@ -192,56 +194,80 @@ class WordEncoder:
             )
 
 
-def _trim(memory: dict, most: int) -> None:
-    """Forget the older half of what is remembered once it is more than `most`."""
-    if len(memory) > most:
-        for key in list(islice(memory, len(memory) // 2)):
-            del memory[key]
+class Memory(dict):
+    """Remembers about `kept` entries, and of those the ones asked for last.
+
+    Entries lie in two generations; one that is found in the old one moves to the new one, and when
+    that is full it becomes the old one.
+    """
+
+    def __init__(self, kept: int):
+        super().__init__()
+        self.half, self.old = kept // 2, {}
+
+    def __missing__(self, key: str) -> tuple[bytes, bytes]:
+        value = self[key] = self.old[key]
+        return value
+
+    def unknown(self, keys: Iterable[str]) -> list[str]:
+        return [key for key in keys if key not in self and key not in self.old]
+
+    def age(self) -> None:
+        if len(self) > self.half:
+            self.old = dict(self)
+            self.clear()
+
+    def forget(self, keys: Iterable[str]) -> None:
+        for key in keys:
+            if len(key) > LONGEST_KEPT:
+                self.pop(key, None)
+
+
+def _joined(values: tuple[bytes, ...], indices: pa.Array, ends: np.ndarray) -> Iterator[bytes]:
+    """The values at `indices` joined, a result for each two neighbours of `ends`."""
+    laid_out = pa.array(values, pa.large_binary()).take(indices)
+    _, starts, data = laid_out.buffers()
+    at = np.frombuffer(starts, "i8")[ends].tolist()
+    view = memoryview(data or b"")
+    return (bytes(view[a:b]) for a, b in pairwise(at))
 
 
 @lru_cache(maxsize=1)
-def text_encoder(path: str, pattern: str, kept: int = 400_000) -> Callable[[list[str]], Iterator[tuple[bytes, bytes]]]:
+def text_encoder(path: str, pattern: str, kept: int = 600_000) -> Callable[[list[str]], Iterator[tuple[bytes, bytes]]]:
     """Texts to their ids, each with a space before it, and the bytes these decode to.
 
-    What short words and chunks became is remembered, about `kept` of either; older ones are
-    forgotten. A worker keeps the encoder for its next tasks.
+    A run of texts is cut into chunks, and each distinct one is looked up once. What words and
+    chunks became is remembered, about `kept` of either; older ones are forgotten. A worker keeps
+    the encoder for its next tasks.
     """
     encoder, match = WordEncoder(read_ranks(path)), regex.compile(pattern)
-    known: dict[str, tuple[bytes, bytes]] = {}
-    ids_of: dict[str, bytes] = {}
-    bytes_of: dict[str, bytes] = {}
-
-    def learn(new_chunks: Iterable[str]) -> None:
-        found = {c: match.findall(c) for c in new_chunks}
-        new = list({w for words in found.values() for w in words if w not in known})
-        known.update(zip(new, encoder.encode([w.encode() for w in new])))
-        for chunk, words in found.items():
-            if len(words) == 1:
-                ids_of[chunk], bytes_of[chunk] = known[words[0]]
+    words, known = Memory(kept), Memory(kept)
+
+    def learn(new: list[str]) -> None:
+        found = [match.findall(chunk) for chunk in new]
+        fresh = words.unknown({w for ws in found for w in ws})
+        words.update(zip(fresh, encoder.encode([w.encode() for w in fresh])))
+        for chunk, ws in zip(new, found):
+            if len(ws) == 1:
+                known[chunk] = words[ws[0]]
             else:
-                parts = [known[w] for w in words]
-                ids_of[chunk] = b"".join([p[0] for p in parts])
-                bytes_of[chunk] = b"".join([p[1] for p in parts])
-        for word in new:
-            if len(word) > LONGEST_KEPT:
-                del known[word]
+                parts = [words[w] for w in ws]
+                known[chunk] = b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        words.forget(fresh)
 
     def encode(batch: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        for run in slices(batch, [len(t) + 1 for t in batch], 4_000_000):
-            cut = []
-            for text in batch[run]:
-                first, *rest = chunks(text)
-                cut.append([first, *[" " + c for c in rest]])
-            for memory in (known, ids_of, bytes_of):
-                _trim(memory, kept)
-            needed = set().union(*cut)
-            missing = [c for c in needed if c not in ids_of]
-            learn(missing)
-            for cs in cut:
-                yield b"".join(map(ids_of.__getitem__, cs)), b"".join(map(bytes_of.__getitem__, cs))
-            for chunk in missing:
-                if len(chunk) > LONGEST_KEPT:
-                    del ids_of[chunk], bytes_of[chunk]
+        for run in slices(batch, [len(t) + 1 for t in batch], RUN_CHARS):
+            cut = [chunks(text) for text in batch[run]]
+            words.age()
+            known.age()
+            flat = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+            distinct = flat.dictionary.to_pylist()
+            new = known.unknown(distinct)
+            learn(new)
+            ends = np.cumsum([0, *map(len, cut)])
+            found = zip(*map(known.__getitem__, distinct))
+            yield from zip(*(_joined(values, flat.indices, ends) for values in found))
+            known.forget(new)
 
     return encode
 

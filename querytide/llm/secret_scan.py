@@ -268,26 +268,28 @@ def redact(docs: DataFrame, reach: int = 200, mask: str = "[secret]") -> DataFra
     """All rows and columns of `docs`, each stretch of overlapping spans in `text` made `mask`.
 
     `n_chars`, where there is one, is set to the new length of a changed text. Rules as in `scan`.
-    Texts of equal bytes have equal spans, so candidates are linked once a text.
+    Texts of equal bytes have equal spans: each is scanned once, and what was found is joined back
+    by the digests of the texts.
     """
     prepare(docs.sparkSession)
-    found, key, spans = (fresh(docs, n) for n in ("found", "scan_key", "linked"))
+    key, spans = (fresh(docs, n) for n in ("scan_key", "spans"))
     text = F.col("text").cast("string")
-    keyed = docs.withColumn(found, _scan(text)).withColumn(
-        key, F.when(F.size(F.col(found)["weak"]) > 0, F.unhex(F.sha2(text.cast("binary"), 256)))
+    digest = F.unhex(F.sha2(text.cast("binary"), 256))
+    scanned = docs.select(digest.alias("key"), _scan(text).alias("found")).select("key", "found.*")
+    suspects = write_and_read(scanned.filter(F.size("strong") + F.size("weak") > 0).dropDuplicates(["key"]), "suspects")
+    linked = F.coalesce(F.col("linked"), F.array().cast(f"array<{SPAN}>"))
+    every = suspects.join(_linked(suspects, reach), "key", "left").select(
+        F.col("key").alias(key), _in_order(F.concat("strong", linked)).alias(spans)
     )
-    suspects = keyed.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), f"{found}.strong", f"{found}.weak", f"{found}.places")
-    linked = write_and_read(_linked(suspects.dropDuplicates(["key"]), reach), "linked")
-    linked = linked.withColumnsRenamed({"key": key, "linked": spans})
-    marked = keyed.join(linked, key, "left")
-    every = F.concat(F.col(found)["strong"], F.coalesce(F.col(spans), F.array().cast(f"array<{SPAN}>")))
-    hit = F.size(every) > 0
+    found = write_and_read(every.filter(F.size(spans) > 0), "found-spans")
+    marked = docs.withColumn(key, digest).join(found, key, "left")
+    hit = F.col(spans).isNotNull()
 
     @arrow_udf("string")
     def masked(values: pa.Array, at: pa.Array) -> pa.Array:
         return pa.array([_masked(t, s, mask) for t, s in zip(values.to_pylist(), at.to_pylist())], pa.string())
 
-    changed = masked(F.when(hit, text), F.when(hit, _in_order(every)))
+    changed = masked(F.when(hit, text), F.col(spans))
     columns = [
         F.coalesce(changed, F.col(c)).alias(c) if c == "text" else F.col(c) for c in docs.columns
     ]

@@ -1,51 +1,38 @@
 """License scans in DataFrame operations alone.
 
-Every line of a text is compared with the sentences of known licenses by the cosine of sparse
-TF-IDF vectors. Inverse document frequencies of all terms come from all lines of all documents. Only a line
-with one of the heaviest terms of a sentence can reach the threshold, so other lines are left
-aside without loss. A text with more license lines than others, or named like one, is the license file
-of its directory; files without a license of their own inherit from the nearest directory above
-them that has one.
+A text is compared with notices and texts of known licenses by the cosine of sparse TF-IDF vectors:
+each of its lines, each block of lines between empty ones, and each passage of lines whose words are
+mostly those of licenses, which joins the paragraphs of a header or of a license file and leaves the
+code beside them out. Copyright notices are set aside before, since they differ from holder to holder.
+Inverse document frequencies of all terms come from all lines of all documents. Only a unit with one
+of a few rare terms of a template can reach the threshold, so other texts are left aside without
+loss. An SPDX tag names its license itself. A text with more license lines than others, or named like
+one, is the license file of its directory; files without a license of their own inherit from the
+nearest directory above them that has one.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querytide.llm.license_texts import TEMPLATES
 from querytide.session import write_and_read
 
-# Sentences by which licenses are referred to or begin.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "you may not use this file except in compliance with the License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("proprietary", "All rights reserved"),
-)
-
-#: Shares of the terms of candidate lines.
+#: Shares of the terms of candidate units.
 SALTS = 16
+#: Share of a line's terms that the templates must have for the line to belong to a passage.
+OF_LICENSES = 0.7
 
 _TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 _FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
+_COPYRIGHT = r"(?i)(?:copyright[\x20\t]*(?:\(c\)|\u00a9)?|\(c\)|\u00a9)[\x20\t]*[0-9]{4}[^\n]*?(?=all rights reserved|\n|\z)"
+_TAG = r"SPDX-License-Identifier:[\x20\t]*\(?([A-Za-z0-9.+-]+(?:[\x20\t]+(?:AND|OR|WITH)[\x20\t]+[A-Za-z0-9.+-]+)*)"
 
 
 def terms(sentence: Column) -> Column:
@@ -56,8 +43,8 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _sentence_terms() -> list[tuple[str, Counter]]:
-    return [(name, Counter(re.findall(_TERM, sentence.lower()))) for name, sentence in TEMPLATES]
+def _template_terms() -> list[tuple[str, Counter]]:
+    return [(name, Counter(re.findall(_TERM, text.lower()))) for name, text in TEMPLATES]
 
 
 def document_frequencies(docs: DataFrame) -> DataFrame:
@@ -70,118 +57,130 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
 def template_weights(frequencies: DataFrame) -> tuple[dict[str, float], int]:
     """The weight of every term of the templates, and the number of lines."""
-    known = sorted({t for _, counted in _sentence_terms() for t in counted})
+    known = sorted({t for _, counted in _template_terms() for t in counted})
     counted = {r["term"]: r["n"] for r in frequencies.filter(F.col("term").isin([*known, ""])).collect()}
     lines = counted.get("", 0)
     return {t: math.log((1 + lines) / (1 + counted.get(t, 0))) + 1 for t in known}, lines
 
 
-def _other_weights(rows: DataFrame, frequencies: DataFrame, weight: dict[str, float], lines: int) -> DataFrame:
-    """`key` and `others`, the weights of the terms of `anchored` that no template has.
+def _anchors(weight: dict[str, float], threshold: float) -> set[str]:
+    """Terms of which a unit must have one to reach the threshold with any template.
 
-    Terms meet their frequencies in SALTS shares, so that a frequent one is not met in one task.
-    """
-    known = F.array(*map(F.lit, sorted(weight)))
-    some = rows.filter(F.size("anchored") > 0).select("key", F.explode(F.array_except(F.flatten("anchored"), known)).alias("term"))
-    some = some.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    met = frequencies.join(some.select("term").distinct(), "term", "left_semi")
-    copies = met.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    entry = F.struct("term", (F.log((1 + F.lit(lines)) / (1 + F.col("n"))) + 1).alias("weight"))
-    return some.join(copies, ["term", "salt"]).groupBy("key").agg(F.map_from_entries(F.collect_list(entry)).alias("others"))
-
-
-def _anchors(weights: list[dict[str, float]], threshold: float) -> set[str]:
-    """Terms of which a line must have one to reach the threshold with any sentence.
-
-    A line without the heaviest terms of a sentence has a cosine of at most the share that the
-    other terms have in the sentence's length.
+    A unit without the rarest terms of a template has a cosine of at most the share that the other
+    terms have in the template's length.
     """
     found = set()
-    for weight in weights:
-        ordered = sorted(weight, key=lambda t: (-weight[t], t))
-        norm = sum(w * w for w in weight.values())
-        rest = norm
-        for term in ordered:
+    for _, counted in _template_terms():
+        squares = {t: (n * weight[t]) ** 2 for t, n in counted.items()}
+        norm = rest = sum(squares.values())
+        for term in sorted(squares, key=lambda t: (-weight[t], t)):
             if rest < threshold * threshold * norm * (1 - 1e-9):
                 break
             found.add(term)
-            rest -= weight[term] ** 2
+            rest -= squares[term]
     return found
 
 
-def _lookup(weights: dict[str, float]) -> Column:
-    return F.create_map(*chain.from_iterable((F.lit(t), F.lit(w)) for t, w in sorted(weights.items())))
+def _runs(lines: Column, belongs) -> Column:
+    """Lines joined by newlines as long as they belong; only runs of two lines and more."""
+    joined = F.array_join(F.transform(lines, lambda line: F.when(belongs(line), line).otherwise("")), "\n")
+    runs = F.transform(F.split(joined, "\n\n+"), lambda run: F.btrim(run, F.lit("\n")))
+    return F.filter(runs, lambda run: run.contains("\n"))
 
 
-def _vector(words: Column, weight: dict[str, float], others: Column) -> Column:
-    """The distinct terms of a line with their weights; `others` has those of no template."""
-    table = _lookup(weight)
+def _units(text: Column, anchors: list[str], vocabulary: list[str]) -> Column:
+    """The lines, blocks and passages of a text that have an anchor."""
+    lines = F.split(F.regexp_replace(text, _COPYRIGHT, ""), "\n")
 
-    def weighed(term: Column) -> Column:
-        times = F.size(F.filter(words, lambda w: w == term))
-        return F.struct(term.alias("term"), (times * F.coalesce(F.element_at(table, term), F.element_at(others, term))).alias("weight"))
+    def worded(line: Column) -> Column:
+        return F.lower(line).rlike("[a-z0-9]")
 
-    return F.transform(F.array_distinct(words), weighed)
+    def of_licenses(line: Column) -> Column:
+        known = F.filter(terms(line), lambda term: term.isin(vocabulary))
+        return F.size(known) >= OF_LICENSES * F.size(terms(line))
 
+    with_words = F.filter(lines, worded)
+    runs = F.array_distinct(F.concat(_runs(lines, worded), _runs(with_words, of_licenses)))
+    return F.filter(F.concat(with_words, runs), lambda unit: _anchored(unit, anchors))
 
-def _product(sentence: Column):
-    return lambda v: v["weight"] * F.coalesce(F.element_at(sentence, v["term"]), F.lit(0.0))
 
+def _anchored(text: Column, anchors: list[str]) -> Column:
+    return F.exists(terms(text), lambda term: term.isin(anchors))
 
-def _best(vector: Column, weight: dict[str, float]) -> Column:
-    """The best (score, license) of a line's vector over all sentences."""
 
-    def total(value) -> Column:
-        return F.aggregate(vector, F.lit(0.0), lambda s, v: s + value(v))
+def _scores(units: DataFrame, frequencies: DataFrame, weight: dict[str, float], lines: int) -> DataFrame:
+    """`key`, `unit`, `size` and `best` (score, license) of each unit.
 
-    norm = F.sqrt(total(lambda v: v["weight"] * v["weight"]))
-    scores = []
-    for name, counted in _sentence_terms():
-        own = {t: n * weight[t] for t, n in counted.items()}
-        length = math.sqrt(sum(w * w for w in own.values()))
-        sentence = _lookup(own)
-        dot = total(_product(sentence))
-        scores.append(F.struct(F.round(dot / norm / length, 9).alias("score"), F.lit(name).alias("license")))
-    return F.array_max(F.array(*scores))
+    Terms meet their frequencies in SALTS shares, so that a frequent one is not met in one task, and
+    the vectors of the templates, whose number is fixed, as a broadcast table.
+    """
+    unit = ["key", "unit", "size"]
+    counted = units.select(*unit, F.explode(terms(F.col("text"))).alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("times"))
+    counted = counted.withColumn("salt", F.pmod(F.xxhash64("key", "unit"), F.lit(SALTS)))
+    met = frequencies.join(counted.select("term").distinct(), "term", "left_semi")
+    copies = met.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    own = F.col("times") * (F.log((1 + F.lit(lines)) / (1 + F.col("n"))) + 1)
+    weighed = counted.join(copies, ["term", "salt"]).select(*unit, "term", own.alias("own"))
+
+    templates = _template_terms()
+    lengths = [math.sqrt(sum((n * weight[t]) ** 2 for t, n in c.items())) for _, c in templates]
+    vectors = {t: [c[t] * weight[t] / length for (_, c), length in zip(templates, lengths)] for t in weight}
+    table = weighed.sparkSession.range(1).select(
+        F.explode(F.from_json(F.lit(json.dumps(vectors)), "map<string,array<double>>")).alias("term", "vector")
+    )
+    dots = [F.sum(F.col("own") * F.col("vector")[k]).alias(f"dot{k}") for k in range(len(templates))]
+    sums = weighed.join(F.broadcast(table), "term", "left").groupBy(*unit).agg(F.sum(F.col("own") * F.col("own")).alias("norm"), *dots)
+    scores = [
+        F.struct(F.round(F.coalesce(F.col(f"dot{k}"), F.lit(0.0)) / F.sqrt("norm"), 9).alias("score"), F.lit(name).alias("license"))
+        for k, (name, _) in enumerate(templates)
+    ]
+    return sums.select(*unit, F.array_max(F.array(*scores)).alias("best"))
 
 
 def scan(docs: DataFrame, path: Column, threshold: float = 0.8) -> DataFrame:
     """`doc_id`, `path`, `license`, `origin`, `score`, `license_lines` and `lines` of every row.
 
-    `license` is the one whose sentence a line of the text comes nearest to, at a cosine of at
-    least `threshold`, the last name by alphabet among equals (`origin` is `own`), or else that of
-    the nearest directory above (`inherited`), or null. A directory has the license of the license
-    files in it, the nearest match of them if there are several. A null text has no lines; a null
-    path inherits nothing. Repeated rows stay repeated, columns beside doc_id, text and those of
-    `path` are not read, and an empty table gives an empty table.
+    `license` is that of the first SPDX tag, or else the one whose template a unit of the text comes
+    nearest to, at a cosine of at least `threshold` (`origin` is `own`); `proprietary` counts where
+    nothing else does, and of equals the longest unit, then the last name by alphabet. Rows without
+    have that of the nearest directory above (`inherited`), or null. A directory has the license of
+    the license files in it, the nearest match of them if there are several. `license_lines` are the
+    lines that match on their own, or those of the longest unit that does, whichever is more. A null
+    text has no lines; a null path inherits nothing. Repeated rows stay repeated, columns beside
+    doc_id, text and those of `path` are not read, and an empty table gives an empty table.
     """
     frequencies = document_frequencies(docs)
     weight, lines = template_weights(frequencies)
-    sentences = [{t: n * weight[t] for t, n in counted.items()} for _, counted in _sentence_terms()]
-    anchors = F.array(*map(F.lit, sorted(_anchors(sentences, threshold))))
-    every = _lines(F.col("text").cast("string"))
+    anchors, vocabulary = sorted(_anchors(weight, threshold)), sorted(weight)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    none = F.array().cast("array<string>")
     rows = docs.select(
         F.col("doc_id"),
         path.alias("path"),
-        F.size(every).alias("lines"),
-        F.filter(F.transform(every, terms), lambda words: F.arrays_overlap(words, anchors)).alias("anchored"),
+        F.size(_lines(text)).alias("lines"),
+        F.when(_anchored(text, anchors), _units(text, anchors, vocabulary)).otherwise(none).alias("units"),
+        F.when(text.contains("SPDX-License-Identifier"), F.regexp_extract_all(text, F.lit(_TAG), 1)).otherwise(none).alias("tags"),
         F.monotonically_increasing_id().alias("key"),
     )
     rows = write_and_read(rows, "license-candidates")
-    rows = rows.join(_other_weights(rows, frequencies, weight, lines), "key", "left")
-    others = F.coalesce("others", F.create_map().cast("map<string,double>"))
-    # One bound variable after the other, so that no line is cut or weighed twice.
-    vectors = F.transform("anchored", lambda words: _vector(words, weight, others))
-    scored = rows.withColumn("scored", F.transform(vectors, lambda vector: _best(vector, weight)))
-    matched = scored.withColumn("matched", F.filter("scored", lambda s: s["score"] >= threshold))
+    units = rows.select("key", F.posexplode("units").alias("unit", "text"))
+    units = units.withColumn("size", F.size(F.split("text", "\n")))
+    nearest = _scores(units, frequencies, weight, lines).filter(F.col("best.score") >= threshold)
+    specific = (F.col("best.license") != "proprietary").alias("specific")
+    matched = nearest.groupBy("key").agg(
+        F.greatest(F.sum(F.when(F.col("size") == 1, 1).otherwise(0)), F.max("size")).cast("int").alias("matched"),
+        F.max(F.struct(specific, F.col("best.score").alias("score"), "size", F.col("best.license").alias("license"))).alias("nearest"),
+    )
+    tag = F.try_element_at("tags", F.lit(1))
+    tagged = F.struct(F.lit(True).alias("specific"), F.lit(1.0).alias("score"), F.lit(1).alias("size"), tag.alias("license"))
     found = write_and_read(
-        matched.select(
+        rows.drop("units").join(matched, "key", "left").select(
             "doc_id",
             "path",
             F.regexp_replace("path", r"/?[^/]*$", "").alias("directory"),
             "lines",
-            F.size("matched").alias("license_lines"),
-            F.array_max("matched").alias("best"),
+            F.greatest(F.coalesce("matched", F.lit(0)), F.size("tags")).alias("license_lines"),
+            F.when(tag.isNotNull(), tagged).otherwise(F.col("nearest")).alias("best"),
         ),
         "license-lines",
     )

@@ -7,7 +7,7 @@ from dataclasses import replace
 from datetime import date, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querytide.functions.scalar import utc_literal
@@ -63,9 +63,9 @@ def query(run: Query) -> Query:
 def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry as a captured page of its own, parsed back."""
     captured = b.raw_entries(b.event_log(spark, sf_dir)).select(
-        "network_id", F.to_json(F.struct(F.array("entry").alias("data"))).alias("page")
+        "network_id", "seq", F.to_json(F.struct(F.array("entry").alias("data"))).alias("page")
     )
-    return pages.log_rows(pages.parse_entries(pages.pages_from_text(captured)))
+    return pages.log_rows(pages.parse_entries(pages.pages_from_text(captured, number="seq")))
 
 
 @query
@@ -109,6 +109,23 @@ def pages_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.log_rows(pages.parse_entries(raw))
 
 
+@query
+def pages_arrival_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of whole days at one time, in pages of 70 and of 3000 that end at the same moment."""
+    log = b.event_log(spark, sf_dir).withColumn("time", F.date_trunc("day", "time").cast("timestamp_ntz"))
+    newest_first = Window.partitionBy("network_id").orderBy(F.desc("time"), "seq")
+    size = F.when(F.col("network_id") == "net0", 3000).otherwise(70)
+    entries = b.raw_entries(log).join(
+        log.select("network_id", "seq", (F.row_number().over(newest_first) - 1).alias("place")), ["network_id", "seq"]
+    )
+    captured = (
+        entries.groupBy("network_id", F.floor(F.col("place") / size).alias("number"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "entry"))).alias("rows"))
+        .select("network_id", "number", F.to_json(F.struct(F.col("rows.entry").alias("data"))).alias("page"))
+    )
+    return pages.log_rows(pages.parse_entries(pages.pages_from_text(captured, number="number")))
+
+
 @query
 def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_days.trailing_window(b.event_log(spark, sf_dir), RUN_TIME, PARAMS.window_hours)

@@ -299,7 +299,10 @@ seen AS (
 ORACLES: dict[str, str] = {
     "log_parse": with_(
         LOG,
-        " SELECT * REPLACE ((4102444800000000 - epoch_us(time)) * 1000 AS seq) FROM log",
+        """
+SELECT * REPLACE ((4102444800000000 - epoch_us(time)) // 1000000 * 2147483648 - 1 + row_number() OVER (
+    PARTITION BY network_id, (4102444800000000 - epoch_us(time)) // 1000000 ORDER BY time DESC, seq) AS seq)
+FROM log""",
     ),
     "log_rejects": """
 WITH faults AS (
@@ -316,11 +319,29 @@ WHERE reject_reason IS NOT NULL GROUP BY ALL""",
         LOG,
         """
 , placed AS (
-  SELECT *, row_number() OVER page - 1 AS place,
-         last_value(time) OVER (page ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS oldest
+  SELECT *, row_number() OVER page AS place, floor(seq / 1000) AS number,
+         last_value(time) OVER (page ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS oldest,
+         first_value(time) OVER page AS newest
   FROM log WINDOW page AS (PARTITION BY network_id, floor(seq / 1000) ORDER BY seq))
-SELECT * EXCLUDE (place, oldest)
-         REPLACE ((4102444800000000 - epoch_us(oldest)) * 1000 + place AS seq)
+SELECT * EXCLUDE (place, number, oldest, newest)
+         REPLACE ((4102444800000000 - epoch_us(oldest)) // 1000000 * 2147483648 - 1 + row_number() OVER (
+           PARTITION BY network_id, (4102444800000000 - epoch_us(oldest)) // 1000000
+           ORDER BY oldest DESC, newest DESC, number, place) AS seq)
+FROM placed""",
+    ),
+    "pages_arrival_order": with_(
+        LOG,
+        """
+, days AS (SELECT * REPLACE (date_trunc('day', time)::TIMESTAMP AS time) FROM log),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY network_id ORDER BY time DESC, seq) - 1 AS place FROM days),
+placed AS (
+  SELECT *, min(time) OVER page AS oldest, max(time) OVER page AS newest
+  FROM ranked WINDOW page AS (
+    PARTITION BY network_id, place // CASE WHEN network_id = 'net0' THEN 3000 ELSE 70 END))
+SELECT * EXCLUDE (place, oldest, newest)
+         REPLACE ((4102444800 - epoch(oldest)::BIGINT) * 2147483648 - 1 + row_number() OVER (
+           PARTITION BY network_id, oldest ORDER BY newest DESC, place) AS seq)
 FROM placed""",
     ),
     "trailing_window": with_(

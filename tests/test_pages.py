@@ -45,6 +45,40 @@ def test_arrival_order_over_pages(spark, tmp_path):
     assert [r.client for r in rows] == ["first", "second", "third", "last"]
 
 
+@pytest.mark.parametrize("layout", ["documents", "lines"])
+def test_pages_that_end_at_one_moment(spark, tmp_path, layout):
+    """Equal times over twelve numbered pages, of which one has 3,000 entries."""
+    same, names = "2026-05-08T13:00:00Z", []
+    for number in range(1, 13):
+        clients = [f"{number}.{k}" for k in range(3000 if number == 3 else 4)]
+        page = {"data": [entry(same, client=c) for c in clients], "oldest": same}
+        if layout == "documents":
+            (tmp_path / f"page-{number}.json").write_text(json.dumps(page, indent=2))
+        else:
+            with open(tmp_path / f"part-{(number + 5) // 6}.json", "a") as out:
+                out.write(json.dumps(page) + "\n")
+        names += clients
+    first = "2026-05-08T13:00:01Z"
+    begins = {"data": [entry(first, client="newest"), entry(same, client="first")], "oldest": same}
+    (tmp_path / "page-99.json").write_text(json.dumps(begins))
+    rows = log_rows(parse_entries(read_pages(spark, str(tmp_path), F.lit("home"), layout=layout)))
+    rows = rows.orderBy("seq").collect()
+    assert [r.client for r in rows] == ["newest", "first", *names]
+    assert len({r.seq for r in rows}) == len(rows)
+
+
+def test_pages_far_from_now(spark, tmp_path):
+    """The first and the last years that can be written do not run over; timeless pages stand."""
+    times = ["9999-12-31T23:59:59Z", "2026-05-08T13:00:00Z", "0001-01-01T00:00:00Z"]
+    for k, time_text in enumerate(times):
+        write_page(tmp_path, f"{k}.json", [entry(time_text, client=str(k))])
+    write_page(tmp_path, "8.json", [entry("never", client="8")] * 2)
+    (tmp_path / "9.json").write_text("no page")
+    parsed = read(spark, tmp_path)
+    assert [r.client for r in log_rows(parsed).orderBy("seq").collect()] == ["0", "1", "2"]
+    assert rejected_rows(parsed).count() == 3
+
+
 def test_partitioned_folders(spark, tmp_path):
     for network in ("n1", "n2"):
         (tmp_path / f"network_id={network}").mkdir()

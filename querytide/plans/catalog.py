@@ -39,6 +39,7 @@ from querytide.sources.state_tables import StateTables
 from querytide.streaming import novelty as novelty_stream
 from querytide.streaming import volume as volume_stream
 from querytide.streaming.files import append_available, log_stream
+from querytide.streaming.late import LateDomains
 from querytide.streaming.upkeep import StateUpkeep
 
 PARAMS = ReportParams()
@@ -1018,6 +1019,27 @@ def stream_late_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.daily_volume(date.max, None)
 
 
+@query
+def stream_late_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New domains where the second delivery comes last, days behind the watermark."""
+    pin_utc(spark)
+    params = replace(PARAMS, known_domains_window_days=NOVELTY_DAYS)
+    out, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")
+    late, beside = LateDomains(scratch_path(spark, "late"), params=params), scratch_path(spark, "late-state")
+    state, folded = StateTables(spark, scratch_path(spark, "state")), scratch_path(spark, "late-alerts")
+
+    def run(log: DataFrame) -> None:
+        append_available(novelty_stream.stream_novel_domains(log, NOVELTY_DAYS), out, checkpoint)
+        late.start(log, beside).awaitTermination()
+
+    _deliver(spark, sf_dir, run, order=(0, 2, 1))
+    day = F.col("time").cast("date")
+    in_time = b.event_log(spark, sf_dir).filter((day < F.lit(DELIVERIES[0])) | (day >= F.lit(DELIVERIES[1])))
+    state.record_domains(novelty.first_sightings(report_days.assign_report_days(in_time, params)))
+    late.fold(spark, state, folded)
+    return spark.read.parquet(out).unionByName(spark.read.parquet(folded)).distinct()
+
+
 # The same operators over the largest table.
 
 

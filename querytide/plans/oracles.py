@@ -735,6 +735,17 @@ GROUP BY ALL""",
     "stream_novel_domains": with_(
         DATED, novel(7), " SELECT network_id, report_date, domain FROM novel"
     ),
+    "stream_late_domains": with_(
+        DATED,
+        """
+, days AS (
+  SELECT DISTINCT network_id, report_date, domain,
+         time >= TIMESTAMP '2024-01-11' AND time < TIMESTAMP '2024-01-21' AS late FROM dated)
+SELECT DISTINCT network_id, report_date, domain FROM days s WHERE NOT EXISTS (
+  SELECT 1 FROM days p
+  WHERE p.network_id = s.network_id AND p.domain = s.domain AND (s.late OR NOT p.late)
+    AND p.report_date < s.report_date AND p.report_date >= s.report_date - 7)""",
+    ),
     "stream_batch_novel_domains": with_(
         DATED, novel(7), " SELECT network_id, report_date, domain FROM novel"
     ),

@@ -36,6 +36,21 @@ class StateTables:
             F.min("report_date").alias("first_seen"), F.max("report_date").alias("last_seen")
         )
 
+    def sightings(self, since: date, before: date) -> DataFrame:
+        """Domains of the report days from one date up to another."""
+        days = (before - since).days
+        seen = self._read(self._sightings, SIGHTING_SCHEMA, before, days)
+        return seen.filter(F.col("domain").isNotNull()).select(*DAY, "domain")
+
+    def merge_domains(self, sightings: DataFrame) -> None:
+        """Add sightings to the reports they belong to, whose own are kept."""
+        days = sightings.select(*DAY).distinct()
+        first, last = days.agg(F.min("report_date"), F.max("report_date")).first()
+        if first is None:
+            return
+        old = self.sightings(first, last + timedelta(days=1)).join(days, list(DAY), "left_semi")
+        self.record_domains(old.unionByName(sightings.select(*DAY, "domain")))
+
     def record_domains(self, sightings: DataFrame, reports: DataFrame | None = None) -> None:
         """Replace the sightings of the given reports, by default of those that have any."""
         self.stage_domains(sightings, reports).publish()

@@ -13,6 +13,8 @@ from querytide.operators.report_days import assign_report_days
 from querytide.params import ReportParams
 
 MS_PER_DAY = 86_400_000
+#: Tasks over which the rows of one domain and day are dealt before they become one.
+SHARES = 16
 
 
 def stream_novel_domains(
@@ -26,24 +28,25 @@ def stream_novel_domains(
     State is the last day each domain was seen. It expires when the domain would count as
     new anyway, so the state holds one window of domains and not all domains ever seen.
     Days older than the state's last day count as known. Rows whose report day is behind the
-    watermark, `lateness` before the newest, are dropped without an alert, also those of a domain
-    never seen; where they matter, use `StateUpkeep`, which takes late rows in.
-    """
-    # Both functions are local ones, so they travel with the query and the workers need no
-    # copy of this package.
-    def distinct_in_batches(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Combiner before the shuffle, so that a hot domain sends few rows to its task."""
-        for frame in frames:
-            yield frame.drop_duplicates()
+    watermark, `lateness` before the newest, are dropped here, also those of a domain never seen;
+    `LateDomains` beside this stream keeps them and gives their alerts.
 
+    Rows are reduced to one a domain, day and share before the state function sees them, by
+    Spark's own deduplication, whose state the watermark empties. The shares deal a hot domain's
+    rows out over the tasks.
+    """
+    share = F.pmod(F.xxhash64("client", "time"), F.lit(SHARES)).cast("int")
     days = (
         assign_report_days(log, params)
-        .select("network_id", "domain", F.unix_date("report_date").alias("day"))
-        .mapInPandas(distinct_in_batches, "network_id string, domain string, day int")
+        .select("network_id", "domain", F.unix_date("report_date").alias("day"), share.alias("share"))
         .withColumn("day_time", F.timestamp_seconds(F.col("day").cast("bigint") * 86400))
         .withWatermark("day_time", lateness)
+        .dropDuplicates(["network_id", "domain", "day_time", "share"])
+        .select("network_id", "domain", "day", "day_time")
     )
 
+    # A local function travels with the query, so the workers need no copy of this package.
+
     def alerts(
         key: tuple, frames: Iterable[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:

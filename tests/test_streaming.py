@@ -10,6 +10,7 @@ from querytide.operators.traffic import as_traffic
 from querytide.params import ReportParams
 from querytide.sources.state_tables import StateTables
 from querytide.streaming.files import append_available, log_stream
+from querytide.streaming.late import LateDomains
 from querytide.streaming.novelty import stream_novel_domains
 from querytide.streaming.upkeep import StateUpkeep
 from querytide.streaming.volume import stream_daily_volume
@@ -19,6 +20,7 @@ LOG = (
     "blocked boolean, block_rule string"
 )
 PARAMS = ReportParams(known_domains_window_days=3)
+LAST_SEEN = 0  # the state operator of the alert stream that is last in its plan
 
 
 def log_of(spark, times, client="c", domain="d"):
@@ -66,7 +68,7 @@ def test_alerts_follow_the_window(spark, paths):
         if day in (1, 20):
             log = log.union(log_of(spark, times(day), domain="rare"))
         out = deliver(log, paths, operator)
-        states = spark.read.format("statestore").load(paths["state"]).count()
+        states = spark.read.format("statestore").option("operatorId", LAST_SEEN).load(paths["state"]).count()
         assert states == (1 if day in (8, 12) else 2)
     assert sorted((r.domain, r.report_date.day) for r in out.collect()) == [
         ("often", 1), ("often", 6), ("often", 12), ("often", 20), ("rare", 1), ("rare", 20),
@@ -164,3 +166,42 @@ def test_streamed_volume_has_the_windows_of_the_batch(spark, paths):
     streamed = {r.report_date: r.query_count for r in out.collect()}
     assert streamed and streamed == {day: n for day, n in counted.items() if day in streamed}
     assert set(counted) - set(streamed) == {date(2026, 5, 6), date(2026, 5, 7)}
+
+
+def test_only_the_state_function_runs_in_python(spark, paths):
+    log_of(spark, [datetime(2026, 5, 1, 9)]).write.parquet(paths["in"])
+    stream = log_stream(spark, paths["in"], spark.read.parquet(paths["in"]).schema)
+    plan = stream_novel_domains(stream, 3)._jdf.queryExecution().analyzed().toString()
+    assert "MapInPandas" not in plan and plan.index("FlatMapGroupsInPandasWithState") < plan.index("Deduplicate")
+
+
+def test_domain_eleven_days_late(spark, paths):
+    """Never seen: alerted. Seen within the window before: not. A repeated batch and fold add nothing."""
+    late, state = LateDomains(paths["root"], params=PARAMS), StateTables(spark, paths["state"])
+    known = log_of(spark, [datetime(2026, 5, d, 9) for d in (3, 4, 15)], domain="known")
+    late(known.filter("day(time) < 5"), 0)
+    late(known.filter("day(time) > 5"), 1)
+    arrived = log_of(spark, [datetime(2026, 5, 4, 9)] * 3, domain="never").union(
+        log_of(spark, [datetime(2026, 5, 5, 9), datetime(2026, 5, 9, 9)], domain="known")
+    )
+    for _ in range(2):
+        late(arrived, 2)
+    state.record_domains(novelty.first_sightings(report_days.assign_report_days(known, PARAMS)))
+    for _ in range(2):
+        late.fold(spark, state, paths["out"], first_batch=2)
+        found = spark.read.parquet(paths["out"]).collect()
+        assert sorted((r.domain, r.report_date.day) for r in found) == [("known", 9), ("never", 4)]
+    days = state.sightings(date(2026, 5, 1), date(2026, 6, 1)).collect()
+    assert sorted((r.domain, r.report_date.day) for r in days) == [
+        ("known", 3), ("known", 4), ("known", 5), ("known", 9), ("known", 15), ("never", 4),
+    ]
+
+
+def test_nothing_late(spark, paths):
+    late, state = LateDomains(paths["root"], params=PARAMS), StateTables(spark, paths["state"])
+    late(log_of(spark, [datetime(2026, 5, 4, 9)]), 0)
+    late(log_of(spark, []), 1)
+    late(log_of(spark, [datetime(2026, 5, 5, 9)]), 2)
+    late.fold(spark, state, paths["out"])
+    assert spark.read.parquet(paths["out"]).count() == 0
+    assert late.late(spark).count() == 0

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 
 def one_name_each(devices: DataFrame) -> DataFrame:
-    """One row per network and address; of several names the first by alphabet."""
-    return devices.groupBy("network_id", "ip").agg(F.min("device").alias("device"))
+    """One row per network and address; of several names the first by alphabet.
+
+    The set of an address's few names stays in a hash aggregate; the minimum of a string would sort
+    the map.
+    """
+    return devices.groupBy("network_id", "ip").agg(
+        F.array_min(F.collect_set("device")).alias("device")
+    )
 
 
 def overlay_devices(base: DataFrame, local: DataFrame) -> DataFrame:

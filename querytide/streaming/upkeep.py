@@ -2,8 +2,8 @@
 
 Each micro-batch writes its own share of the state to a folder named by its batch number,
 so a batch that is repeated after a failure replaces its own files and nothing is counted
-twice. Readers merge the shares. Every so many batches the shares are merged into a base,
-which keeps the number of folders a reader opens bounded. A batch looks up its own domains
+twice. Readers merge the shares. Every so many batches the shares are merged into a base and
+older ones deleted, which keeps the number of folders bounded. A batch looks up its own domains
 only, in what the window still needs. There is no watermark: late rows are counted like all
 others, and days that were closed before are listed for closing again.
 """
@@ -26,7 +26,12 @@ from querytide.operators.report_days import assign_report_days
 from querytide.params import DAY, ReportParams
 from querytide.schemas import KNOWN_DOMAINS_SCHEMA
 from querytide.session import write_and_read
-from querytide.sources.files import finished_folders, path_exists
+from querytide.sources.files import (
+    delete_folder,
+    finished_folders,
+    matching_names,
+    path_exists,
+)
 from querytide.sources.state_tables import StateTables
 
 COUNTS_SCHEMA = "network_id STRING, report_date DATE, client STRING, domain STRING, n BIGINT"
@@ -79,10 +84,19 @@ class ShareTable:
         return self._merge(pick(spark.read.schema(self._schema).parquet(*paths)))
 
     def compact(self, spark: SparkSession, batch_id: int) -> None:
-        """Merge everything up to a batch; run after that batch has written its share."""
+        """Merge everything up to a batch; run after that batch has written its share.
+
+        The base before and the shares since then stay, for a batch that is repeated; what went
+        into that base is deleted, so the folders do not grow with the number of batches.
+        """
         self.read(spark, batch_id + 1).write.mode("overwrite").parquet(
             f"{self._bases}/{_folder(batch_id)}"
         )
+        before = [n for n in finished_folders(spark, self._bases) if n < _folder(batch_id)][-1:]
+        for folder in (self._shares, self._bases):
+            for name in finished_folders(spark, folder):
+                if before and (name < before[0] or (name == before[0] and folder == self._shares)):
+                    delete_folder(spark, f"{folder}/{name}")
 
 
 class StateUpkeep:
@@ -112,10 +126,11 @@ class StateUpkeep:
             .parquet(f"{self._batches}/{_folder(batch_id)}")
         )
         counted = spark.read.schema(COUNTS_SCHEMA).parquet(f"{self._batches}/{_folder(batch_id)}")
+        delete_folder(spark, f"{self._batches}/{_folder(batch_id - 1)}")
         counted.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("report_date", "batch").parquet(self._counts)
-        sightings = write_and_read(first_sightings(counted), "sightings")
+        sightings = first_sightings(counted)
         novel_after_state(
             sightings,
             self.known.read(spark, batch_id, lambda shares: self._needed(shares, sightings)),
@@ -131,15 +146,18 @@ class StateUpkeep:
             self.volumes.compact(spark, batch_id)
 
     def _needed(self, shares: DataFrame, sightings: DataFrame) -> DataFrame:
-        """The state of a batch's domains, as far back as its first day's window reaches."""
-        first = sightings.agg(F.min("report_date")).first()[0]
-        if first is None:
-            return shares.limit(0)
-        start = F.date_sub(F.lit(first), self._params.known_domains_window_days)
-        domains = sightings.select("network_id", "domain").distinct()
-        return shares.filter(F.col("last_seen") >= start).join(
-            domains, ["network_id", "domain"], "left_semi"
-        )
+        """The state of a batch's domains, of each as far back as its own first day's window reaches."""
+        first = sightings.groupBy("network_id", "domain").agg(F.min("report_date").alias("_first"))
+        start = F.date_sub("_first", self._params.known_domains_window_days)
+        met = shares.join(first, ["network_id", "domain"])
+        return met.filter(F.col("last_seen") >= start).drop("_first")
+
+    def forget_days(self, spark: SparkSession, before: date) -> None:
+        """Delete the counts of report days before a date, which can then not be closed again."""
+        for name in matching_names(spark, f"{self._counts}/report_date=*"):
+            if name < f"report_date={before.isoformat()}":
+                delete_folder(spark, f"{self._counts}/{name}")
+                delete_folder(spark, f"{self._closed}/{name}")
 
     def close_days(self, state: StateTables, spark: SparkSession, days: list[date]) -> None:
         """Hand finished report days over to the tables that daily runs read.
@@ -186,7 +204,7 @@ class StateUpkeep:
         return self.volumes.read(spark)
 
     def alerts(self, spark: SparkSession) -> DataFrame:
-        """New domains as found batch by batch."""
+        """New domains as found batch by batch; one folder a batch, for their reader to delete."""
         return spark.read.schema(ALERT_SCHEMA).parquet(f"{self._alerts}/batch=*")
 
 

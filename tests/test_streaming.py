@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from querytide.operators import novelty, report_days, volume
 from querytide.operators.traffic import as_traffic
 from querytide.params import ReportParams
+from querytide.schemas import KNOWN_DOMAINS_SCHEMA
 from querytide.sources.state_tables import StateTables
 from querytide.streaming.files import append_available, log_stream
 from querytide.streaming.late import LateDomains
@@ -205,3 +207,30 @@ def test_nothing_late(spark, paths):
     late.fold(spark, state, paths["out"])
     assert spark.read.parquet(paths["out"]).count() == 0
     assert late.late(spark).count() == 0
+
+
+def test_folders_do_not_grow_with_batches(spark, paths):
+    """Nineteen batches, one with a clock in 1970, the last merged one repeated twice."""
+    upkeep = StateUpkeep(paths["root"], PARAMS, compact_every=3)
+    times = [datetime(2026, 5, 1 + k, 9) for k in range(18)]
+    times.insert(7, datetime(1970, 1, 1, 9))
+    sizes = []
+    for k, when in enumerate(times):
+        batch = log_of(spark, [when], domain="daily").union(log_of(spark, [when], domain=f"d{k % 5}"))
+        for _ in range(3 if k == 17 else 1):
+            upkeep(batch, k)
+        folders = [f for name in ("batches", "*/shares", "*/bases") for f in Path(paths["root"]).glob(f"{name}/batch=*")]
+        sizes.append(len(folders))
+    assert max(sizes[6:]) <= 18 and max(sizes[13:]) <= max(sizes[6:13])
+    log = spark.createDataFrame(
+        [("n", 1, t, "c", d, False, "") for k, t in enumerate(times) for d in ("daily", f"d{k % 5}")], LOG
+    )
+    sightings = novelty.first_sightings(report_days.assign_report_days(log, PARAMS))
+    nothing = spark.createDataFrame([], KNOWN_DOMAINS_SCHEMA)
+    expected = novelty.upsert_known_domains(nothing, sightings)
+    columns = ("network_id", "domain", "first_seen", "last_seen")
+    assert sorted(upkeep.known_domains(spark).select(*columns).collect()) == sorted(expected.select(*columns).collect())
+    assert sorted(r.query_count for r in upkeep.daily_volume(spark).collect()) == [2] * 19
+    upkeep.forget_days(spark, date(2026, 5, 10))
+    left = {p.name for p in Path(paths["root"]).glob("counts/report_date=*")}
+    assert left and min(left) == "report_date=2026-05-10"

@@ -108,7 +108,9 @@ class DigestIndex:
         digest = fresh(docs, "digest")
         doc_id = F.col("doc_id").cast("long")
         narrow = docs.select(doc_id.alias("doc_id"), text_digest(F.col("text")).alias("digest"))
-        self.add(narrow.groupBy("digest").agg(F.min("doc_id").alias("keep_id")))
+        # Written before the join with the index: the optimizer would move that below the aggregate,
+        # where it meets every copy.
+        self.add(write_and_read(narrow.groupBy("digest").agg(F.min("doc_id").alias("keep_id")), "digest-groups"))
         first = one_row_each(
             docs.withColumn(digest, text_digest(F.col("text"))), [F.col(digest)], [doc_id.asc_nulls_last()]
         )

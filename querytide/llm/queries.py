@@ -120,15 +120,19 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licenses of the pieces of text between a page's tags, which are files below host and path.
 
-    A piece that is a license notice speaks for its page and for the pages below it.
+    A piece that is a license notice speaks for its page and for the pages below it. A page without
+    a host has no path and passes nothing on; a page without html has no rows.
     """
     pages = read_table(spark, sf_dir, "pages")
     host, path = F.regexp_extract("url", "://([^/?#]*)", 1), F.regexp_extract("url", "://[^/?#]*/?([^?#]*)", 1)
     labels = F.array_join(F.reverse(F.split(F.lower(host), "[.]")), "/")
     folder = F.concat_ws("/", labels, F.nullif(F.btrim(path, F.lit("/")), F.lit("")))
     pieces = F.filter(F.split("html", "<[^>]*>"), lambda piece: piece.rlike(r"[^\x20\x09-\x0D]"))
-    files = pages.select(F.col("page_id").alias("doc_id"), folder.alias("folder"), F.posexplode(pieces).alias("piece", "text"))
-    return licenses.scan(files, F.concat_ws("/", "folder", "piece")).withColumnRenamed("doc_id", "page_id")
+    files = pages.select(
+        F.col("page_id").alias("doc_id"), labels.alias("labels"), folder.alias("folder"), F.posexplode(pieces).alias("piece", "text")
+    )
+    place = F.when(F.col("labels") != "", F.concat_ws("/", "folder", "piece"))
+    return licenses.scan(files, place).withColumnRenamed("doc_id", "page_id")
 
 
 @query

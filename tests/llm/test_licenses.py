@@ -105,6 +105,15 @@ def test_pages_inherit_from_the_pieces_of_their_folder(spark):
     assert {"own", "inherited", None} <= {r["origin"] for r in rows}
 
 
+def test_pages_without_a_host_license_nothing_else(spark, tmp_path):
+    notice = "<p>Released under the MIT License.</p>"
+    rows = [(1, None, notice), (2, "no host", notice), (3, "https://a.example/x", "<p>some words</p>"), (4, "https://a.example/x", None), (5, "https://b.example", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    found = queries.license_pages(spark, str(tmp_path)).select("page_id", "path", "license", "origin").collect()
+    assert sorted(map(tuple, found)) == [(1, None, "MIT", "own"), (2, None, "MIT", "own"), (3, "example/a/x/0", None, None)]
+
+
 # Headers and license files as they are found in the wild, with names, marks and line breaks of their own.
 GPL3 = """This file is part of Frobnicate.
 

@@ -10,6 +10,7 @@ and panes are never copied for each report that sees them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -78,7 +79,8 @@ def over_windows(
 
     Each pane of a key counts from its own close on and falls out a window later, its late part a
     day after the rest. Between two such closes nothing changes. A key's group has at most three
-    rows for each of its panes, however long the window.
+    rows for each of its panes, however long the window. The panes are dealt out by their keys
+    once, and the rows of each of the three closes are windows over them.
     """
     whole, hours = _window(params)
     names = {**{c: F.sum for c in sums}, **{c: F.min for c in least}, **{c: F.max for c in most}}
@@ -87,44 +89,48 @@ def over_windows(
         *[f(c).alias(c) for c, f in names.items()],
         *[f(F.when(F.col("late"), F.col(c))).alias(f"late_{c}") for c, f in names.items() if hours],
     )
-    ends = [own.select(*keys, (F.col("pane") + whole).alias("pane"))]
-    if hours:
-        late = own.filter(F.col(f"late_{sums[0]}").isNotNull())
-        ends.append(late.select(*keys, (F.col("pane") + whole + 1).alias("pane")))
-    changes = own
-    for end in ends:
-        changes = changes.unionByName(end, allowMissingColumns=True)
-    changes = changes.groupBy(*keys, "pane").agg(
-        *[F.max(c).alias(c) for c in own.columns if c not in (*keys, "pane")]
-    )
     order = W.partitionBy(*keys).orderBy("pane")
-    days, before = order.rangeBetween(1 - whole, 0), order.rangeBetween(-whole, -whole)
 
-    def value(name: str) -> Column:
-        of_days = names[name](name).over(days)
-        if not hours:
-            return F.coalesce(of_days, F.lit(0)) if name in sums else of_days
-        of_late = names[name](f"late_{name}").over(before)
-        if name in sums:
-            return F.coalesce(of_days, F.lit(0)) + F.coalesce(of_late, F.lit(0))
-        return (F.least if name in least else F.greatest)(of_days, of_late)
+    def changes(after: int, unless: Sequence[int] = ()) -> DataFrame:
+        """The rows that begin so many closes after a pane, `unless` another pane's begin there."""
+        days, before = order.rangeBetween(after + 1 - whole, after), order.rangeBetween(after - whole, after - whole)
+        ahead = order.rangeBetween(after + 1, after + whole)
+        start = F.col("pane") + after
+        ends = [F.min("pane").over(ahead), F.min("pane").over(days) + whole]
+        if hours:
+            ends.append(F.when(F.max(f"late_{sums[0]}").over(before).isNotNull(), start + 1))
+
+        def value(name: str) -> Column:
+            of_days = names[name](name).over(days)
+            if not hours:
+                return F.coalesce(of_days, F.lit(0)) if name in sums else of_days
+            of_late = names[name](f"late_{name}").over(before)
+            if name in sums:
+                return F.coalesce(of_days, F.lit(0)) + F.coalesce(of_late, F.lit(0))
+            return (F.least if name in least else F.greatest)(of_days, of_late)
+
+        taken = [F.count("pane").over(order.rangeBetween(k, k)) for k in unless]
+        late = [F.col(f"late_{sums[0]}").isNotNull()] if after > whole else []
+        rows = own.select(
+            *keys, start.alias("from"), (F.least(*ends) - 1).alias("upto"),
+            *[value(name).alias(name) for name in names],
+            reduce(Column.__and__, [*late, *[n == 0 for n in taken]], F.lit(True)).alias("_begins"),
+        )
+        return rows.filter(F.col("_begins") & (F.col(sums[0]) > 0)).drop("_begins")
 
-    found = changes.select(
-        *keys, F.col("pane").alias("from"), (F.lead("pane").over(order) - 1).alias("upto"),
-        *[value(name).alias(name) for name in names],
-    )
-    return found.filter(F.col(sums[0]) > 0)
+    found = changes(0).unionByName(changes(whole, [whole]))
+    return found.unionByName(changes(whole + 1, [whole + 1, 1])) if hours else found
 
 
 def by_report(spans: DataFrame, params: ReportParams = ReportParams()) -> DataFrame:
     """A row for each report of a span, with its `report_date`."""
+    return _with_date(spans.withColumn("_close", F.explode(F.sequence("from", "upto"))).drop("from", "upto"), params)
+
+
+def _with_date(rows: DataFrame, params: ReportParams) -> DataFrame:
     close = F.col("_close").cast("bigint") * F.lit(24 * HOUR) + F.lit(int(params.close_hour_utc) * HOUR)
     instant = F.timestamp_micros(close).cast("timestamp_ntz")
-    return (
-        spans.withColumn("_close", F.explode(F.sequence("from", "upto")))
-        .withColumn("report_date", local_date(instant, params.timezone))
-        .drop("from", "upto", "_close")
-    )
+    return rows.withColumn("report_date", local_date(instant, params.timezone)).drop("_close")
 
 
 def report_rollup(log: DataFrame, params: ReportParams = ReportParams()) -> DataFrame:
@@ -166,19 +172,23 @@ def summary(panes: DataFrame, params: ReportParams = ReportParams()) -> DataFram
 
 
 def _present(panes: DataFrame, key: str, name: str, params: ReportParams) -> DataFrame:
-    spans = over_windows(panes, ["network_id", key], params)
+    return _held(over_windows(panes, ["network_id", key], params), ["network_id"], name)
+
+
+def _held(spans: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """The number of spans that hold at each close, as spans of equal numbers."""
     steps = F.explode(
         F.array(
             F.struct(F.col("from").alias("close"), F.lit(1).alias("step")),
             F.struct((F.col("upto") + 1).alias("close"), F.lit(-1).alias("step")),
         )
     ).alias("s")
-    changes = spans.select("network_id", steps).groupBy("network_id", F.col("s.close").alias("from"))
-    order = W.partitionBy("network_id").orderBy("from")
+    changes = spans.select(*keys, steps).groupBy(*keys, F.col("s.close").alias("from"))
+    order = W.partitionBy(*keys).orderBy("from")
     return (
         changes.agg(F.sum("s.step").alias("step"))
         .select(
-            "network_id", "from", (F.lead("from").over(order) - 1).alias("upto"),
+            *keys, "from", (F.lead("from").over(order) - 1).alias("upto"),
             F.sum("step").over(order).alias(name),
         )
         .filter(F.col(name) > 0)
@@ -186,10 +196,40 @@ def _present(panes: DataFrame, key: str, name: str, params: ReportParams) -> Dat
 
 
 def top_domains(panes: DataFrame, params: ReportParams = ReportParams()) -> DataFrame:
-    """`traffic.top_domains` of every window; a task keeps the k largest of a report it has seen."""
+    """`traffic.top_domains` of every window; only domains that reach its k-th count are ranked."""
     spans = over_windows(panes.filter(~F.col("blocked")), ["network_id", "domain"], params)
-    counts = by_report(spans.withColumnRenamed("n", "count"), params)
-    return keep_top(counts, DAY, "domain", params.top_domains)
+    rows = _reaching(spans, params.top_domains, params).withColumnRenamed("n", "count")
+    return keep_top(_with_date(rows, params), DAY, "domain", params.top_domains)
+
+
+def _reaching(spans: DataFrame, k: int, params: ReportParams) -> DataFrame:
+    """A row for each report of a span whose `n` is at least the k-th largest there, ties included.
+
+    How many spans have each count tells the k-th count of a close without ranking any. Spans are
+    first held against the least of these counts in two windows' time, so that few are repeated for
+    their reports.
+    """
+    whole, _ = _window(params)
+    counts = _held(spans, ["network_id", "n"], "spans").withColumn("_close", F.explode(F.sequence("from", "upto")))
+    above = W.partitionBy("network_id", "_close").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
+    limits = (
+        counts.withColumn("above", F.coalesce(F.sum("spans").over(above), F.lit(0)))
+        .filter(F.col("above") < k)
+        .groupBy("network_id", "_close")
+        .agg(F.min("n").alias("_least"))
+    )
+    block = F.floor(F.col("_close") / whole)
+    # A span is no longer than a window, so it ends in the block that it begins in or in the next.
+    blocks = (
+        limits.select("network_id", "_least", F.explode(F.array(block, block - 1)).alias("_block"))
+        .groupBy("network_id", "_block")
+        .agg(F.min("_least").alias("_least"))
+    )
+    near = spans.withColumn("_block", F.floor(F.col("from") / whole)).join(blocks, ["network_id", "_block"])
+    near = near.filter(F.col("n") >= F.col("_least")).drop("_block", "_least")
+    rows = near.withColumn("_close", F.explode(F.sequence("from", "upto"))).drop("from", "upto")
+    met = rows.join(limits, ["network_id", "_close"]).filter(F.col("n") >= F.col("_least"))
+    return met.select("network_id", "domain", "n", "_close")
 
 
 def client_totals(panes: DataFrame, params: ReportParams = ReportParams()) -> DataFrame:

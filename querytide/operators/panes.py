@@ -172,7 +172,17 @@ def summary(panes: DataFrame, params: ReportParams = ReportParams()) -> DataFram
 
 
 def _present(panes: DataFrame, key: str, name: str, params: ReportParams) -> DataFrame:
-    return _held(over_windows(panes, ["network_id", key], params), ["network_id"], name)
+    """How many values of a key each window has.
+
+    A pane's key is there until its pane falls out or the key's next one comes in, so only the
+    panes that have it are shuffled, without what was counted in them.
+    """
+    whole, hours = _window(params)
+    late = F.max(F.col("late").cast("int")) if hours else F.lit(0)
+    held = panes.groupBy("network_id", key, "pane").agg(late.alias("late"))
+    following = F.lead("pane").over(W.partitionBy("network_id", key).orderBy("pane"))
+    spans = held.select("network_id", F.col("pane").alias("from"), (F.least(F.col("pane") + whole + F.col("late"), following) - 1).alias("upto"))
+    return _held(spans, ["network_id"], name)
 
 
 def _held(spans: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

@@ -116,3 +116,13 @@ def test_top_domains_of_few_and_of_equal_counts(spark, hours):
     copied = traffic.top_domains(traffic.as_traffic(assign_report_days(log, params), params), 4)
     found = panes.top_domains(panes.pane_rollup(log, params), params).select(*copied.columns)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, copied.collect()))
+
+
+def test_keys_of_a_summary_are_shuffled_twice(spark):
+    """What a window has is told from the panes that have a key, without their sums or their ends."""
+    day = datetime(2025, 6, 1, 3)
+    log = make_log(spark, [(day + timedelta(hours=7 * k), "c", f"d{k % 9}") for k in range(20)])
+    params = ReportParams(window_hours=60)
+    held = panes._present(panes.pane_rollup(log, params), "domain", "unique_domains", params)
+    plan = held._jdf.queryExecution().sparkPlan().toString()
+    assert "Union" not in plan and plan.count("Scan ExistingRDD") == 1

@@ -74,14 +74,17 @@ def backfill_packets(
     if span and "report_date" not in log.columns:
         since, until = map(utc_literal, times_of_span(span, params))
         log = log.filter((F.col("time") >= since) & (F.col("time") < until))
+    rolled = False
     if "report_date" in log.columns:
         rows = traffic.as_traffic(log, params)
     elif params.window_hours <= 24:
         rows = traffic.as_traffic(assign_report_days(log, params), params)
     else:
-        rows = write_and_read(panes.report_rollup(log, params), "report-rollup")
+        rows = panes.report_rollup(log, params)
+        rows = write_and_read(rows, "report-rollup") if span else rows
+        rolled = True
     inside = rows.filter(F.col("report_date").between(first, last)) if span else rows
-    tables = rollup_tables(traffic.rollup(inside))
+    tables = rollup_tables(inside if rolled else traffic.rollup(inside))
     days, volumes = tables.domains, tables.volumes()
     if span:
         earlier = _earlier_days(rows, first, max(window, baseline))

@@ -126,3 +126,17 @@ def test_keys_of_a_summary_are_shuffled_twice(spark):
     held = panes._present(panes.pane_rollup(log, params), "domain", "unique_domains", params)
     plan = held._jdf.queryExecution().sparkPlan().toString()
     assert "Union" not in plan and plan.count("Scan ExistingRDD") == 1
+
+
+def test_long_windows_are_rolled_up_once(spark, monkeypatch):
+    """The rollup by panes is a report's rollup already; without a span it is written as such."""
+    day = datetime(2026, 3, 1, 10)
+    times = [(day + timedelta(days=d, minutes=m), "c", f"d{m % 3}") for d in range(4) for m in range(9)]
+    log, params = make_log(spark, times), ReportParams(window_hours=48)
+    copied = packet.backfill_packets(assign_report_days(log, params), params).collect()
+    written = []
+    write = packet.write_and_read
+    monkeypatch.setattr(packet, "write_and_read", lambda df, label: written.append(label) or write(df, label))
+    found = packet.backfill_packets(log, params).collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, copied))
+    assert written.count("rollup") == 1 and "report-rollup" not in written

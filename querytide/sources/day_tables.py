@@ -95,11 +95,11 @@ class DayChange:
         """Write the new rows and, of the folders they go to, the other reports' rows."""
         self._version, self._slots = current_slots(self._spark, self._path)
         held = {slot: commit for slot, commit in self._slots.items() if slot in self._touched}
-        rows = self._rows
+        rows = self._rows.withColumn("network_bucket", network_bucket())
         if held:
             old = _read(self._spark, self._path, held, self._schema, self._format)
-            rows = rows.unionByName(old.join(self._asked, list(DAY), "left_anti").drop("network_bucket"), allowMissingColumns=True)
-        rows = write_and_read(rows.withColumn("network_bucket", network_bucket()), "kept-days")
+            old = old.join(self._asked, list(DAY), "left_anti").withColumn("network_bucket", network_bucket())
+            rows = write_and_read(rows.unionByName(old, allowMissingColumns=True), "kept-days")
         self._filled = {(r.report_date, r.network_bucket) for r in rows.select(*FOLDERS).distinct().collect()}
         self._commit = uuid.uuid4().hex
         if self._filled:

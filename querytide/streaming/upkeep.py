@@ -109,6 +109,7 @@ class StateUpkeep:
         self._params = params
         self._compact_every = compact_every
         self._batches = f"{root}/batches"
+        self._sightings = f"{root}/sightings"
         self._counts = f"{root}/counts"
         self._closed = f"{root}/closed"
         self._alerts = f"{root}/alerts"
@@ -130,7 +131,7 @@ class StateUpkeep:
         counted.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("report_date", "batch").parquet(self._counts)
-        sightings = first_sightings(counted)
+        sightings = self._sighted(counted, batch_id)
         novel_after_state(
             sightings,
             self.known.read(spark, batch_id, lambda shares: self._needed(shares, sightings)),
@@ -145,6 +146,13 @@ class StateUpkeep:
             self.known.compact(spark, batch_id)
             self.volumes.compact(spark, batch_id)
 
+    def _sighted(self, counted: DataFrame, batch_id: int) -> DataFrame:
+        """A batch's domains and days, written once for the steps that read them."""
+        path = f"{self._sightings}/{_folder(batch_id)}"
+        first_sightings(counted).write.mode("overwrite").parquet(path)
+        delete_folder(counted.sparkSession, f"{self._sightings}/{_folder(batch_id - 1)}")
+        return counted.sparkSession.read.schema(ALERT_SCHEMA).parquet(path)
+
     def _needed(self, shares: DataFrame, sightings: DataFrame) -> DataFrame:
         """The state of a batch's domains, of each as far back as its own first day's window reaches."""
         first = sightings.groupBy("network_id", "domain").agg(F.min("report_date").alias("_first"))

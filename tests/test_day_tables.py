@@ -107,3 +107,18 @@ def test_any_order_of_publishing(spark, workdir, seed):
                 wanted.update({(n, d): v for n, v, d in done})
             staged = []
     assert held(spark, workdir) == sorted((n, v, d) for (n, d), v in wanted.items())
+
+
+def test_days_that_hold_nothing_are_not_copied(spark, workdir, monkeypatch):
+    """New rows are written once more only to join those of other reports in their folders."""
+    schema = "network_id STRING, report_date DATE, n INT"
+    written = []
+    write = day_tables.write_and_read
+    monkeypatch.setattr(day_tables, "write_and_read", lambda df, label: written.append(label) or write(df, label))
+    rows = [("a", date(2026, 1, 1), 1), ("b", date(2026, 1, 2), 2)]
+    day_tables.replace_days(spark.createDataFrame(rows, schema), f"{workdir}/t", schema)
+    assert "kept-days" not in written
+    day_tables.replace_days(spark.createDataFrame([("a", date(2026, 1, 1), 3)], schema), f"{workdir}/t", schema)
+    assert "kept-days" in written
+    found = day_tables.read_days(spark, f"{workdir}/t", schema).select("network_id", "report_date", "n")
+    assert sorted(map(tuple, found.collect())) == [("a", date(2026, 1, 1), 3), rows[1]]

@@ -120,7 +120,9 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
         on = ["start", "key", "rest"]
     else:
         on = ["start", "key"]
-    met = indexed.withColumnRenamed("fp", "a").join(probing.withColumnRenamed("fp", "b"), on)
+    # Each fingerprint has dozens of keys, but Spark sizes them like the fingerprints and would broadcast
+    # them, be it only once it has seen that no key is crowded.
+    met = indexed.withColumnRenamed("fp", "a").join(probing.withColumnRenamed("fp", "b").hint("merge"), on)
     apart = F.col("a").bitwiseXOR(F.col("b"))
     parts = [F.bit_count(apart.bitwiseAND(F.lit(mask).cast("long"))) for mask, _ in ring]
     chains = [

@@ -157,3 +157,14 @@ def test_keep_one_takes_the_smallest(spark):
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 9]
     assert kept.filter(F.col("doc_id") == 9).count() == 1
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_exploded_keys_are_never_broadcast(spark, most):
+    draw = random.Random(most)
+    prints = [draw.getrandbits(64) for _ in range(300)]
+    frame = spark.createDataFrame([(signed(p),) for p in [*prints, *(p ^ 1 << 5 for p in prints)]], "fp long")
+    met = simhash.links(frame, most)
+    assert {frozenset(r) for r in met.collect()} == {frozenset((signed(p), signed(p ^ 1 << 5))) for p in prints}
+    plan = met._jdf.queryExecution().executedPlan().toString()  # the one that ran, after no key was crowded
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.partition("== Initial Plan ==")[0]

@@ -53,6 +53,9 @@ _BLOCK_LINE = re.compile(
 _BRACKETS = re.compile(r"[\x20\t]*\[[^\[\]\n]+\]\s*$")
 _HEADING = re.compile(r"#{1,6}\x20+\S")
 
+#: Found spans that a broadcast may hold, some 50 MB with their keys.
+BROADCAST_SPANS = 250_000
+
 SPAN = "struct<kind: string, start: int, end: int>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
@@ -199,11 +202,12 @@ def _linked(scanned: DataFrame, reach: int) -> DataFrame:
         F.sequence(F.floor((F.col("span.start") - reach) / reach), F.floor((F.col("span.end") + reach) / reach)), lambda n: n * 4
     )
     # What a candidate reaches is longer than a stretch, so within one it covers the beginning or
-    # the end; the outermost positions decide.
+    # the end; the outermost positions decide. Spark sizes the exploded parts like the packed arrays
+    # they come from and would broadcast them, so the join is told to merge.
     within = (F.col("first") <= F.col("span.end") + reach) & (F.col("last") >= F.col("span.start") - reach)
     near = (
         weak.withColumn("place", F.explode(F.concat(around, "scopes")))
-        .join(outermost, ["key", "place"])
+        .join(outermost.hint("merge"), ["key", "place"])
         .filter((F.pmod("place", F.lit(4)) != 0) | within)
     )
     beside = near.groupBy("key", "span").agg(
@@ -282,6 +286,9 @@ def redact(docs: DataFrame, reach: int = 200, mask: str = "[secret]") -> DataFra
         F.col("key").alias(key), _in_order(F.concat("strong", linked)).alias(spans)
     )
     found = write_and_read(every.filter(F.size(spans) > 0), "found-spans")
+    # Their file may be a hundredth of what they take in memory, so they are counted.
+    if (found.agg(F.sum(F.size(spans))).first()[0] or 0) > BROADCAST_SPANS:
+        found = found.hint("merge")
     marked = docs.withColumn(key, digest).join(found, key, "left")
     hit = F.col(spans).isNotNull()
 

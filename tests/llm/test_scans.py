@@ -170,3 +170,26 @@ def test_licenses_odd_rows(spark):
     assert by_text([r["doc_id"] for r in rows]) == by_text([i for i, _ in ODD_TEXTS])
     assert all(r["license"] is None for r in rows)
     assert licenses.scan(no_docs(spark), F.col("source")).count() == 0
+
+
+def test_parts_and_many_spans_are_never_broadcast(spark, monkeypatch):
+    draw = random.Random(3)
+    value = lambda: "aB3" + "".join(draw.choices("xY7z", k=24))
+    docs = spark.createDataFrame(
+        [(k, "\n".join(f"client_id=user{j:04}\nvalue = {value()}\nword" for j in range(10)), 1) for k in range(20)],
+        "doc_id long, text string, n_chars long",
+    )
+
+    def ran(frame):
+        rows = sorted(frame.collect())
+        return rows, frame._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+
+    rows, plan = ran(secret_scan.scan(docs))
+    assert all(len(r["spans"]) == 20 for r in rows)
+    assert re.search(r"SortMergeJoin \[key#\w+, place#", plan) and not re.search(r"BroadcastHashJoin \[key#\w+, place#", plan)
+    few, plan = ran(secret_scan.redact(docs))
+    assert all(t.split() == ["[secret]", "value", "=", "[secret]", "word"] * 10 for _, t, _ in few)
+    assert "BroadcastHashJoin" in plan
+    monkeypatch.setattr(secret_scan, "BROADCAST_SPANS", 399)
+    many, plan = ran(secret_scan.redact(docs))
+    assert many == few and "SortMergeJoin" in plan and "Broadcast" not in plan
